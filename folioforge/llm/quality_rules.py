@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import LOWER, SPACE, UPPER, table
+from folioforge.llm.common import SPACE, Scratch, table
 
 RULES = ("word_length", "symbols", "repeats", "dup_lines", "capitals", "shouting", "sentences", "function_words", "bars")
 _SPLIT = r"[\x20\x09-\x0D]+"
@@ -33,8 +33,8 @@ COMMON = (
 
 
 def _count_of(text: Column, chars: str) -> Column:
-    """How many characters of ``text`` are among ``chars``."""
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+    """How many characters of ``text`` match the character class ``chars``."""
+    return F.size(F.regexp_extract_all(text, F.lit(f"[{chars}]"), F.lit(0))).cast("long")
 
 
 def base_measures(docs: DataFrame) -> DataFrame:
@@ -52,17 +52,18 @@ def base_measures(docs: DataFrame) -> DataFrame:
     ).otherwise(F.array().cast("array<bigint>"))
     lines = F.filter(F.split("t", "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     common = F.array(*map(F.lit, COMMON))
+    # one pass over the text leaves a short string of the characters that are counted
+    df = df.withColumn("marks", F.array_join(F.regexp_extract_all("t", F.lit("[A-Z!.?#*$%&|<>]"), F.lit(0)), ""))
     df = df.select(
         "doc_id",
         n.cast("long").alias("n_words"),
-        F.length(F.translate("t", SPACE, "")).cast("long").alias("word_chars"),
-        _count_of(F.col("t"), "#*$%&|<>").alias("n_symbols"),
-        _count_of(F.col("t"), UPPER).alias("n_upper"),
-        _count_of(F.col("t"), UPPER + LOWER).alias("n_letters"),
-        _count_of(F.col("t"), "!").alias("n_exclaim"),
-        _count_of(F.col("t"), "|").alias("n_bars"),
-        _count_of(F.col("t"), ".?").alias("n_stops"),
-        F.when(n > 0, F.size(F.array_intersect("w", common)) + F.size(F.array_intersect(F.transform(F.slice("w", 1, 40), F.lower), common))).alias("n_common"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        _count_of(F.col("marks"), "#*$%&|<>").alias("n_symbols"),
+        _count_of(F.col("marks"), "A-Z").alias("n_upper"),
+        _count_of(F.col("marks"), "!").alias("n_exclaim"),
+        _count_of(F.col("marks"), "|").alias("n_bars"),
+        _count_of(F.col("marks"), ".?").alias("n_stops"),
+        F.size(F.array_intersect("w", common)).cast("long").alias("n_common"),
         lines.alias("lines"),
         grams.alias("g"),
     )
@@ -97,7 +98,7 @@ def votes(m: DataFrame) -> DataFrame:
         "symbols": _vote(c("n_symbols") <= 0.05 * n, c("n_symbols") > 0.25 * n),
         "repeats": F.when(some, _vote(c("n_repeat_words") <= 0.15 * n, c("n_repeat_words") > 0.4 * n)).otherwise(0),
         "dup_lines": F.when(c("n_lines") >= 2, _vote(c("n_dup_lines") == 0, c("n_dup_lines") >= 0.3 * lines)).otherwise(0),
-        "capitals": F.when(c("n_letters") > 0, _vote(c("n_upper") <= 0.15 * c("n_letters"), c("n_upper") > 0.4 * c("n_letters"))).otherwise(0),
+        "capitals": F.when(c("word_chars") > 0, _vote(c("n_upper") <= 0.12 * c("word_chars"), c("n_upper") > 0.3 * c("word_chars"))).otherwise(0),
         "shouting": _vote(c("n_exclaim") <= 0.05 * n, c("n_exclaim") > 0.25 * n),
         "sentences": F.when(some, _vote(c("n_stops").between(0.02 * n, 0.5 * n), c("n_stops") < 0.005 * n)).otherwise(0),
         "function_words": F.when(some, _vote(c("n_common") >= 4, c("n_common") == 0)).otherwise(0),
@@ -129,7 +130,8 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], steps: int = 60) -> tu
 
 def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Measures, ``votes``, ``p_good`` and ``kept`` for each document."""
-    m = votes(base_measures(docs))
+    scratch = Scratch(docs.sparkSession)
+    m = scratch.write(votes(base_measures(docs)), "measures")  # some numbers a row; texts are read once
     counted = m.groupBy("v").count().collect()  # 3^9 rows at most
     prior, weight = estimate(sorted((tuple(r[0]), r[1]) for r in counted))
     odds = reduce(
