@@ -1 +1 @@
-
+"""Scalar rules of the document engine as Spark column expressions."""

@@ -1 +1 @@
-
+"""Document operators on line and node tables."""

@@ -1 +1 @@
-
+"""Readers: bytes or texts to rows of nodes."""
