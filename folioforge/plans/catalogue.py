@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions import formats, markers, values
-from folioforge.operators import outline, revisions, tables, tree
+from folioforge.operators import edits, outline, revisions, tables, tree
+from folioforge.plans import api
 from folioforge.sources import plain
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -535,3 +536,78 @@ def numbering_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = cross('[{"abstract_num_id":5,"level":0,"num_format":"decimal","start":1},{"abstract_num_id":5,"level":1,"num_format":"bullet","start":1}]', "abstract_num_id:bigint,level:bigint,num_format:string,start:bigint")
     overrides = cross('[{"num_id":0,"level":0,"start_override":7},{"num_id":1,"level":1,"num_format":"upper_roman","start":3}]', "num_id:bigint,level:bigint,start_override:bigint,num_format:string,start:bigint")
     return tree.numbering(uses, instances, levels, overrides)
+
+
+def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marked(spark, sf_dir).filter(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("content"))
+
+
+@query(
+    "txt_model_plain_text",
+    SQL["plain_text"],
+)
+def txt_model_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain text by way of the tree model, which every format shares."""
+    return api.convert(_contents(spark, sf_dir), "plain", "txt").select("doc_id", F.col("content").cast("string").alias("text"))
+
+
+@query("txt_model_export", SQL["txt_export"])
+def txt_model_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.convert(_contents(spark, sf_dir), "txt", "txt").select("doc_id", F.col("content").cast("string").alias("text"))
+
+
+def _round_trip(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    packed = api.convert(_contents(spark, sf_dir), kind, "txt")
+    return api.convert(packed.select("doc_id", "content"), "txt").select("doc_id", F.col("content").cast("string").alias("text"), "error")
+
+
+@query("docx_round_trip", "SELECT doc_id, text, CAST(NULL AS VARCHAR) AS error FROM (" + SQL["txt_export"] + ")")
+def docx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text to DOCX and back, found by its signature: nothing is lost."""
+    return _round_trip(spark, sf_dir, "docx")
+
+
+@query("odt_round_trip")
+def odt_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text to ODT and back: list kinds are bullets afterwards."""
+    return _round_trip(spark, sf_dir, "odt")
+
+
+@query("markdown_parse")
+def markdown_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    opened = api.open_documents(_contents(spark, sf_dir), "md")
+    return api.nodes_of(opened).groupBy("doc_id", "node_type").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query("json_round_trip", "SELECT doc_id, text FROM (" + SQL["plain_text"] + ")")
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = api.convert(_contents(spark, sf_dir), "json", "txt")
+    return api.convert(model.select("doc_id", "content"), "plain", "json").select("doc_id", F.col("content").cast("string").alias("text"))
+
+
+@query(
+    "package_parts",
+    "SELECT doc_id, p.path, true AS is_xml FROM documents, (VALUES ('[Content_Types].xml'), ('_rels/.rels'), ('word/document.xml'), ('word/_rels/document.xml.rels'), ('word/numbering.xml'), ('word/styles.xml')) p(path) WHERE text IS NOT NULL",
+)
+def package_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = api.convert(_contents(spark, sf_dir), "docx", "txt")
+    return api.package_parts(packed.select("doc_id", "content")).select("doc_id", "path", "is_xml")
+
+
+@query(
+    "edit_log",
+    """SELECT conv_id AS doc_id, count(*) AS n_paragraphs FROM conversations WHERE turn % 5 <> 4 GROUP BY 1""",
+)
+def edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn inserts a paragraph at the end of its conversation's body; every fifth is undone at once."""
+    turns = table(spark, sf_dir, "conversations")
+    ids = turns.select(F.col("conv_id").alias("doc_id")).distinct()
+    null = F.lit(None)
+    root = F.struct(F.lit(0).cast("long").alias("node_id"), null.cast("long").alias("parent_id"), F.lit(0).cast("long").alias("child_ix"), F.lit("Document").alias("node_type"), null.cast("string").alias("text"), F.lit("{}").alias("attrs"))
+    body = F.struct(F.lit(1).cast("long").alias("node_id"), F.lit(0).cast("long").alias("parent_id"), F.lit(0).cast("long").alias("child_ix"), F.lit("Body").alias("node_type"), null.cast("string").alias("text"), F.lit("{}").alias("attrs"))
+    nodes = ids.select("doc_id", F.inline(F.array(root, body)))
+    args = F.to_json(F.struct(F.lit(1).alias("parent"), F.lit(0).alias("ix"), F.lit("Paragraph").alias("kind"), F.create_map(F.lit("role"), F.col("role")).alias("attrs")))
+    edit = turns.select(F.col("conv_id").alias("doc_id"), (2 * F.col("turn")).alias("txn"), F.lit(0).cast("long").alias("seq"), F.lit("insert").alias("kind"), (F.col("turn") + 2).alias("node_id"), args.alias("args"))
+    undo = turns.filter("turn % 5 = 4").select(F.col("conv_id").alias("doc_id"), (2 * F.col("turn") + 1).alias("txn"), F.lit(0).cast("long").alias("seq"), F.lit("undo").alias("kind"), null.cast("long").alias("node_id"), null.cast("string").alias("args"))
+    folded = edits.apply_log(nodes, edit.union(undo))
+    return folded.filter("node_type = 'Paragraph'").groupBy("doc_id").agg(F.count("*").alias("n_paragraphs"))
