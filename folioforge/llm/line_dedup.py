@@ -1,6 +1,6 @@
 """Near-duplicate lines by an exact set-similarity join, in DataFrame operations alone.
 
-A line is the set of its words (lower-cased), each a number: the class of its rarity above the bits
+A line is the set of its words, each a number: the class of its rarity above the bits
 of its hash. Rarity is the number of occurrences in the whole corpus, counted in 2^BUCKETS buckets of
 hashes, a table of fixed size that a scalar subquery brings to the tasks; any two words are thereby
 ordered alike everywhere, which is all that exactness needs. Lines with equal sets are one class and
@@ -25,16 +25,21 @@ an empty result.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioforge.llm.common import SPACE, Scratch, table
 
-PERCENT, LEAST, BUCKETS, SHIFT = 90, 5, 18, 7
+PERCENT, LEAST, BUCKETS, SHIFT = 90, 5, 22, 7
 _BITS = 24  # of the bitmap that says which lines may stand in a pair: 2 MB
 
 
-def _words(line: Column) -> Column:
-    return F.split(F.btrim(F.lower(line), F.lit(SPACE)), r"[\x20\x09-\x0D]+")
+def _words(text: Column) -> Column:
+    """Words of a text. Other white space becomes spaces first: a split at one plain character needs no
+    regular expression."""
+    for c in SPACE[1:]:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.split(text, " ", -1)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -48,13 +53,21 @@ def rarity(docs: DataFrame) -> DataFrame:
     words = docs.filter(F.col("text").isNotNull()).select(F.explode(_words(F.col("text"))).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << BUCKETS) - 1)).alias("id")).count()
     every = docs.sparkSession.range(1 << BUCKETS).join(counts, "id", "left")
-    cell = F.struct("id", F.coalesce(F.floor(F.log2("count")), F.lit(0)).cast("tinyint").alias("k"))
-    return every.agg(F.transform(F.array_sort(F.collect_list(cell)), lambda x: x["k"]).alias("k"))
+    return _array_of(every.select("id", F.coalesce(F.floor(F.log2("count")), F.lit(0)).cast("tinyint").alias("k")), "k")
+
+
+def _array_of(cells: DataFrame, name: str) -> DataFrame:
+    """One row with the array of a column in the order of ``id``, gathered by way of runs of 4096."""
+    runs = cells.groupBy(F.shiftright("id", 12).alias("run")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", name))), lambda x: x[name]).alias("a"))
+    return runs.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("run", "a"))), lambda x: x["a"])).alias(name))
+
+
+_EMPTY_WORD = -7444071767201028348  # xxhash64 of the empty string: what stands between two spaces
 
 
 def _numbers(line: Column, rare: Column) -> Column:
     """A line's word numbers, rarest first."""
-    hashes = F.transform(F.array_distinct(_words(line)), lambda w: F.xxhash64(w))
+    hashes = F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), F.lit(_EMPTY_WORD))
     mask, top = F.lit((1 << BUCKETS) - 1), 64 - SHIFT
     number = lambda h: F.shiftleft(F.coalesce(F.get(rare, h.bitwiseAND(mask).cast("int")), F.lit(0).cast("tinyint")).cast("bigint"), top).bitwiseOR(F.shiftrightunsigned(h, SHIFT))
     return F.sort_array(F.transform(hashes, number))
@@ -65,29 +78,44 @@ def _need(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100).cast("int")
 
 
+_ROW = ("doc", "line", "h", "n", "pos")
+
+
 def _similar(a: str, b: str, percent: int) -> Column:
-    """Length and positional filters for two prefix rows."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    most = 1 + F.least(na - F.col(f"{a}.pos") - 1, nb - F.col(f"{b}.pos") - 1)
+    """Length and positional filters for two prefix rows, told apart by a letter before their columns."""
+    na, nb = F.col(f"{a}_n"), F.col(f"{b}_n")
+    most = 1 + F.least(na - F.col(f"{a}_pos") - 1, nb - F.col(f"{b}_pos") - 1)
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * most >= percent * (na + nb))
 
 
+def _named(rows: DataFrame, letter: str) -> DataFrame:
+    return rows.select(*[F.col(c).alias(f"{letter}_{c}") if c in _ROW else F.col(c) for c in rows.columns])
+
+
+def _earlier(a: str, b: str) -> Column:
+    doc, line = F.col(f"{a}_doc"), F.col(f"{a}_line")
+    return (doc < F.col(f"{b}_doc")) | ((doc == F.col(f"{b}_doc")) & (line < F.col(f"{b}_line")))
+
+
+_PAIR = ["a_doc", "a_line", "a_h", "b_doc", "b_line", "b_h"]
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
-    """(la, lb) of pairs of lines (structs of doc_id, line_no, dk) whose full sets are similar enough."""
-    ends = pairs.select(F.explode(F.array("la", "lb")).alias("l"))
-    spot = lambda l: F.pmod(F.xxhash64(l["doc_id"], l["line_no"]), F.lit(1 << _BITS))
-    words = ends.select(spot(F.col("l")).alias("s")).groupBy(F.floor(F.col("s") / 64).cast("int").alias("id")).agg(F.expr("bit_or(shiftleft(1L, CAST(s % 64 AS INT)))").alias("bits"))
+    """The pairs of lines whose full sets are similar enough. Sets are made anew from the texts, and only
+    of lines that a bitmap of fixed size says may stand in a pair; they are told apart by their hash."""
+    spot = lambda doc, line: F.pmod(F.xxhash64(doc, line), F.lit(1 << _BITS))
+    ends = pairs.select(F.explode(F.array(spot("a_doc", "a_line"), spot("b_doc", "b_line"))).alias("s"))
+    words = ends.groupBy(F.shiftright("s", 6).alias("id")).agg(F.expr("bit_or(shiftleft(1L, CAST(s % 64 AS INT)))").alias("bits"))
     every = docs.sparkSession.range(1 << (_BITS - 6)).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))
-    bitmap = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("b")).scalar()
-    own = spot({"doc_id": F.col("doc_id"), "line_no": F.col("line_no")})
-    lines = _lines(docs).withColumn("s", own)
-    bit = F.call_function("shiftright", F.get(bitmap, F.floor(F.col("s") / 64).cast("int")), (F.col("s") % 64).cast("int")).bitwiseAND(F.lit(1))
-    sets = lines.filter(bit == 1).withColumn("__rare", rare.scalar())
-    sets = sets.select(F.struct("doc_id", "line_no", "dk").alias("l"), _numbers(F.col("line"), F.col("__rare")).alias("e")).distinct()
-    left = pairs.join(sets.select(F.col("l").alias("lb"), F.col("e").alias("eb")), "lb")
-    both = left.join(sets.select(F.col("l").alias("la"), F.col("e").alias("ea")), "la")
-    inter = F.size(F.array_intersect("ea", "eb"))
-    return both.filter((100 + percent) * inter >= percent * (F.size("ea") + F.size("eb"))).select("la", "lb")
+    bitmap = _array_of(every, "bits").scalar()
+    lines = _lines(docs).withColumn("s", spot("doc_id", "line_no"))
+    bit = F.call_function("shiftright", F.get(bitmap, F.shiftright("s", 6).cast("int")), (F.col("s") % 64).cast("int")).bitwiseAND(F.lit(1))
+    sets = lines.filter(bit == 1).withColumn("__rare", rare.scalar()).select(F.col("doc_id").alias("doc"), F.col("line_no").alias("line"), _numbers(F.col("line"), F.col("__rare")).alias("e"))
+    sets = sets.withColumn("h", F.xxhash64("e"))
+    one = lambda k: sets.select(*[F.col(c).alias(f"{k}_{c}") for c in ("doc", "line", "h", "e")])
+    both = pairs.join(one("b"), ["b_doc", "b_line", "b_h"]).join(one("a"), ["a_doc", "a_line", "a_h"])
+    inter = F.size(F.array_intersect("a_e", "b_e"))
+    return both.filter((100 + percent) * inter >= percent * (F.size("a_e") + F.size("b_e"))).select(*_PAIR)
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -> DataFrame:
@@ -97,29 +125,32 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -
     docs = docs.select("doc_id", "text")
     rare = scratch.write(rarity(docs), "rarity")
     lines = _lines(docs).withColumn("__rare", rare.scalar()).select("doc_id", "dk", "line_no", _numbers(F.col("line"), F.col("__rare")).alias("e"))
-    n = F.size("e")
-    lines = lines.select("doc_id", "dk", "line_no", n.alias("n"), F.xxhash64("e").alias("h"), F.when(n > 0, F.slice("e", F.lit(1), n - _need(n, percent) + 1)).alias("prefix"))
-    lines = scratch.write(lines.filter(F.col("n") >= least), "lines")
-    classes = scratch.write(lines.groupBy("h", "n", "prefix").agg(F.min(F.struct("doc_id", "line_no", "dk")).alias("l")), "classes")
-
-    once = 1 << (64 - SHIFT)  # numbers below are words that occur once
-    rows = classes.filter(F.size("prefix") > 1).select("l", "n", F.posexplode("prefix").alias("pos", "word")).filter(F.col("word") >= once)
-    rows = rows.select("word", F.struct("l", "n", "pos").alias("x"))
-    first = rows.groupBy("word").agg(F.min("x").alias("a"), F.max("x").alias("z")).filter("a.l < z.l").select("word", "a")
-    met = scratch.write(rows.join(first, "word"), "met")
-    star = met.filter(F.col("a.l") < F.col("x.l")).filter(_similar("a", "x", percent)).select(F.col("a.l").alias("la"), F.col("x.l").alias("lb")).distinct()
-    star = scratch.write(star, "star")
-    hits = scratch.write(_verified(star, docs, rare, percent).select("lb").distinct(), "hits")
-
-    left = met.filter(F.col("a.l") < F.col("x.l")).join(hits.select(F.col("lb").alias("l")), F.col("x.l") == F.col("l"), "left_anti").select("word", F.col("x").alias("y"))
-    others = met.filter(F.col("a.l") < F.col("x.l")).select("word", "x").join(left, "word").filter(F.col("x.l") < F.col("y.l")).filter(_similar("x", "y", percent))
-    others = scratch.write(others.select(F.col("x.l").alias("la"), F.col("y.l").alias("lb")).distinct(), "others")
-    more = _verified(others, docs, rare, percent).select("lb")
-    similar = hits.union(more).distinct().select(F.col("lb").alias("l"), F.lit(True).alias("similar"))
-
-    marked = classes.select("h", "n", "l").join(similar, "l", "left")
+    n, once = F.size("e"), 1 << (64 - SHIFT)  # numbers below are words that occur once
+    places = F.filter(F.transform(F.slice("e", F.lit(1), n - _need(n, percent) + 1), lambda x, i: F.struct(x.alias("word"), i.alias("pos"))), lambda x: x["word"] >= once)
+    prefix = F.when(n - _need(n, percent) > 0, places)  # with a prefix of one word only equal sets are similar enough
+    lines = scratch.write(lines.filter(n >= least).select("doc_id", "dk", "line_no", n.alias("n"), F.xxhash64("e").alias("h"), prefix.alias("prefix")), "lines")
+    first = F.min(F.struct("doc_id", "line_no"))
+    classes = lines.groupBy("h", "n").agg(first.alias("l"))
+
+    heads = lines.filter(F.size("prefix") > 0).groupBy("h", "n", "prefix").agg(first.alias("l"))
+    rows = heads.select(F.col("l.doc_id").alias("doc"), F.col("l.line_no").alias("line"), "h", "n", F.inline("prefix"))
+    bucket = W.partitionBy("word").orderBy("b_doc", "b_line").rowsBetween(W.unboundedPreceding, W.currentRow)  # streams a bucket, holds one row
+    met = _named(rows, "b").select("word", *[F.col(f"b_{c}") for c in _ROW], *[F.first(f"b_{c}").over(bucket).alias(f"a_{c}") for c in _ROW])
+    met = scratch.write(met.filter(_earlier("a", "b")), "met")
+    star = scratch.write(met.filter(_similar("a", "b", percent)).select(*_PAIR).distinct(), "star")
+    hits = scratch.write(_verified(star, docs, rare, percent).select("b_doc", "b_line", "b_h").distinct(), "hits")
+
+    others = met.select("word", *[F.col(f"b_{c}") for c in _ROW])
+    left = others.join(hits, ["b_doc", "b_line", "b_h"], "left_anti")
+    before = others.select("word", *[F.col(f"b_{c}").alias(f"a_{c}") for c in _ROW])
+    pairs = before.join(left, "word").filter(_earlier("a", "b") & _similar("a", "b", percent)).select(*_PAIR).distinct()
+    pairs = scratch.write(pairs, "others")
+    more = _verified(pairs, docs, rare, percent).select("b_doc", "b_line", "b_h")
+    similar = hits.union(more).distinct().select(F.struct(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")).alias("l"), F.col("b_h").alias("h"), F.lit(True).alias("similar"))
+
+    marked = classes.join(similar, ["h", "l"], "left")
     every = lines.drop("prefix").join(marked, ["h", "n"])
-    goes = F.coalesce("similar", F.lit(False)) | (F.struct("doc_id", "line_no") > F.struct("l.doc_id", "l.line_no"))
+    goes = F.coalesce("similar", F.lit(False)) | (F.struct("doc_id", "line_no") > F.col("l"))
     return every.filter(goes).select("doc_id", "dk", "line_no", F.col("l.doc_id").alias("class_doc"), F.col("l.line_no").alias("class_line"), F.coalesce("similar", F.lit(False)).alias("similar"))
 
 
