@@ -140,6 +140,21 @@ def predictive(c: np.ndarray, t: np.ndarray, base: np.ndarray, d: float = DISCOU
     return (c - d * t + (theta + d * t.sum()) * base) / (theta + n)
 
 
+def _most_frequent(counts: DataFrame) -> list:
+    """Words from some count upward, as many as fit into COMMON, most frequent first. The count is found
+    from a histogram by eighths of powers of two, so nothing larger than COMMON rows comes to the driver."""
+    eighth = F.floor(F.log2("c") * 8)
+    least, total = None, 0
+    for bucket, n in sorted(((r[0], r[1]) for r in counts.groupBy(eighth.alias("b")).count().collect()), reverse=True):
+        total += n
+        if total > COMMON:
+            break
+        least = bucket
+    if least is None:
+        return []
+    return sorted(counts.filter(eighth >= least).collect(), key=lambda r: (-r.c, r.word))
+
+
 def train(docs: DataFrame, scratch: Scratch) -> dict:
     """The model over ``docs`` (text): word counts as a table, the head's numbers, and the averaged
     probabilities as one matrix."""
@@ -147,7 +162,7 @@ def train(docs: DataFrame, scratch: Scratch) -> dict:
     counts = scratch.write(docs.select("text").mapInArrow(_count_words, "word bigint, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "words")
     n, v = counts.agg(F.sum("c"), F.count("c")).first()
     n, v = n or 0, v or 0
-    top = counts.orderBy(F.desc("c"), "word").limit(COMMON).collect()
+    top = _most_frequent(counts)
     end = word_hash(END)
     numbers = {r.word: i for i, r in enumerate([r for r in top if r.word != end][:HEAD])} | {end: HEAD + 1}
     number = ByHash(numbers)
@@ -254,10 +269,10 @@ def score(docs: DataFrame, model: dict, scratch: Scratch) -> DataFrame:
     parts = docs.select("doc_id", "text", "held_out").mapInArrow(_parts(shared), schema).withColumn("row", F.monotonically_increasing_id())
     parts = scratch.write(parts, "parts")
     words = parts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
-    if model["complete"]:
+    if model["complete"]:  # a word that isn't common was never seen
         found = words.withColumn("c", F.lit(0).cast("bigint"))
     else:
-        found = words.join(model["counts"].filter(F.col("c") <= min(model["common"].values())), "word", "left").withColumn("c", F.coalesce("c", F.lit(0).cast("bigint")))
+        found = words.join(model["counts"].filter(F.col("c") < min(model["common"].values(), default=1 << 62)), "word", "left").withColumn("c", F.coalesce("c", F.lit(0).cast("bigint")))
     low = math.log10(n + 0.1 * (v + 1))
     tn, tv = model["tail"]
     spelt = F.log10((F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) + (STRENGTH + DISCOUNT * tv) / (tv + 1)) / (STRENGTH + tn))
