@@ -28,14 +28,14 @@ from folioforge.llm.quality_classifier import labelled_sample
 
 MAX_ROWS = 20_000
 MAX_FEATURES = 8192
-STEM = 5
+STEMS = (5, 7)
 _WORD = re.compile(r"\w+")
 #: Ends of sentences.
 _CUT = re.compile(r"[.!?\n]+")
 
 
 def features_of(word: str) -> tuple[str, ...]:
-    return (word, f"^{word[:STEM]}") if len(word) > STEM else (word,)
+    return (word, *(f"^{word[:n]}" for n in STEMS if len(word) > n))
 
 
 def sentences(text: str | None) -> Iterator[tuple[int, int]]:
@@ -48,9 +48,10 @@ def sentences(text: str | None) -> Iterator[tuple[int, int]]:
         start = m.end() if m else end
 
 
-def instances(text: str | None) -> list[set[str]]:
+def instances(text: str | None) -> list[list[str]]:
+    """Features of each sentence's distinct words; a beginning counts once for each word that has it."""
     low = (text or "").lower()
-    return [{f for w in set(_WORD.findall(low[a:b])) for f in features_of(w)} for a, b in sentences(low)]
+    return [[f for w in set(_WORD.findall(low[a:b])) for f in features_of(w)] for a, b in sentences(low)]
 
 
 @dataclass
@@ -80,26 +81,26 @@ class Model:
         rest, marked, n = 0.0, [], 0
         for a, b in sentences(low):
             n += 1
-            seen = {x for w in _WORD.findall(low, a, b) if (x := self.word(w))}
+            seen = [v for w in set(_WORD.findall(low, a, b)) for _, v in self.word(w)]
             if not seen:
                 rest += none
                 continue
-            z = self.bias + sum(dict(f for x in seen for f in x).values())
-            p = min(1 / (1 + np.exp(-z)), 1 - 1e-12)
+            z = self.bias + sum(seen)
+            p = min(1 / (1 + np.exp(-max(z, -500.0))), 1 - 1e-12)
             rest += np.log1p(-p)
             if p >= 0.5:
                 marked.append((a, b, float(p)))
         return (float(-np.expm1(rest)) if n else self.floor), marked
 
 
-def fit(bags: list[list[set[str]]], y: np.ndarray, steps: int = 300, rate: float = 0.1, l2: float = 2e-4) -> Model:
+def fit(bags: list[list[list[str]]], y: np.ndarray, steps: int = 300, rate: float = 0.1, l2: float = 2e-4) -> Model:
     n1, n0 = float((y == 1).sum()), float((y == 0).sum())
     if not n1 or not n0:
         p = n1 / max(1.0, n1 + n0)
         return Model({}, -30.0 if p < 1 else 30.0, p)
     df = [Counter(), Counter()]
     for bag, label in zip(bags, y, strict=True):
-        df[int(label)].update(set().union(*bag) if bag else ())
+        df[int(label)].update({f for inst in bag for f in inst})
     strength = {}
     for f, c1 in df[1].items():
         c0 = df[0][f]
@@ -138,7 +139,7 @@ def fit(bags: list[list[set[str]]], y: np.ndarray, steps: int = 300, rate: float
 def train(docs: DataFrame, labels: DataFrame, learn, max_rows: int = MAX_ROWS) -> Model:
     rows = labelled_sample(docs, labels, "toxic", learn, max_rows).mapInArrow(_bags, "y int, bag array<array<string>>").collect()
     rows.sort(key=lambda r: (r.y, r.bag))
-    return fit([[set(s) for s in r.bag] for r in rows], np.array([r.y for r in rows]))
+    return fit([r.bag for r in rows], np.array([r.y for r in rows]))
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
