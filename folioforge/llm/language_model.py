@@ -54,7 +54,7 @@ class Hashes(dict):
     """Words to hashes, remembered up to a bound."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[w] = word_hash(w)
         return h
@@ -205,7 +205,7 @@ class ByHash:
 
     def get(self, w: bytes, other: int) -> int:
         if (k := self.seen.get(w)) is None:
-            if len(self.seen) > 500_000:
+            if len(self.seen) > 250_000:
                 self.seen.clear()
             k = self.seen[w] = self.numbers.get(word_hash(w), -1)
         return other if k < 0 else k
