@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import crc_mod, table
+from folioforge.llm.common import Scratch, crc_mod, table
 from folioforge.llm.quality_classifier import labelled_sample
 
 MAX_ROWS = 20_000
@@ -93,35 +93,21 @@ class Model:
         return (float(-np.expm1(rest)) if n else self.floor), marked
 
 
-def fit(bags: list[list[list[str]]], y: np.ndarray, steps: int = 300, rate: float = 0.1, l2: float = 2e-4) -> Model:
+def fit(y: np.ndarray, names: list[str], bags: list[tuple[int, list[int], list[int]]], steps: int = 300, rate: float = 0.1, l2: float = 2e-4) -> Model:
+    """bags: for each document its number of sentences, and sentence and feature numbers that go together."""
     n1, n0 = float((y == 1).sum()), float((y == 0).sum())
     if not n1 or not n0:
         p = n1 / max(1.0, n1 + n0)
         return Model({}, -30.0 if p < 1 else 30.0, p)
-    df = [Counter(), Counter()]
-    for bag, label in zip(bags, y, strict=True):
-        df[int(label)].update({f for inst in bag for f in inst})
-    strength = {}
-    for f, c1 in df[1].items():
-        c0 = df[0][f]
-        p, q, m = (c1 + 0.1) / (n1 + 0.2), (c0 + 0.1) / (n0 + 0.2), (c1 + c0 + 0.2) / (n1 + n0 + 0.4)
-        z = (p - q) / np.sqrt(m * (1 - m) * (1 / n1 + 1 / n0))
-        if c1 + c0 >= 3 and z > 4:
-            strength[f] = z
-    names = sorted(strength, key=lambda f: (-strength[f], f))[:MAX_FEATURES]
-    ids = {f: i for i, f in enumerate(names)}
-    sent, feat, doc_of, s = [], [], [], 0
-    for d, bag in enumerate(bags):
-        for inst in bag:
-            own = [ids[f] for f in inst if f in ids]
-            sent += [s] * len(own)
-            feat += own
-            doc_of.append(d)
-            s += 1
-    sent, feat, doc_of = np.array(sent, int), np.array(feat, int), np.array(doc_of, int)
+    sizes = np.array([n for n, _, _ in bags])
+    starts = np.concatenate(([0], sizes.cumsum()))
+    s = int(starts[-1])
+    doc_of = np.repeat(np.arange(len(y)), sizes)
+    sent = np.concatenate([np.array(x, int) + a for (_, x, _), a in zip(bags, starts, strict=False)])
+    feat = np.concatenate([np.array(f, int) for _, _, f in bags])
     w, bias = np.zeros(len(names)), -5.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
-    has = np.bincount(doc_of, minlength=len(y)) > 0
+    has = sizes > 0
     for step in range(1, steps + 1):
         z = bias + np.bincount(sent, w[feat], s)
         p = np.clip(1 / (1 + np.exp(-z)), 1e-9, 1 - 1e-9)
@@ -136,16 +122,49 @@ def fit(bags: list[list[list[str]]], y: np.ndarray, steps: int = 300, rate: floa
     return Model({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-3}, float(bias), float(empty.sum() / (len(empty) + 10)))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn, max_rows: int = MAX_ROWS) -> Model:
-    rows = labelled_sample(docs, labels, "toxic", learn, max_rows).mapInArrow(_bags, "y int, bag array<array<string>>").collect()
-    rows.sort(key=lambda r: (r.y, r.bag))
-    return fit([r.bag for r in rows], np.array([r.y for r in rows]))
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many documents of either label a feature occurs."""
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
 
+    def out() -> pa.RecordBatch:
+        names = list(counts[0].keys() | counts[1].keys())
+        cols = [pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in counts)]
+        for c in counts:
+            c.clear()
+        return pa.RecordBatch.from_arrays(cols, names=["f", "c0", "c1"])
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        bags = [[sorted(s) for s in instances(t.as_py())] for t in b.column("text")]
-        yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(bags, pa.list_(pa.list_(pa.string())))], names=["y", "bag"])
+        for t, y in zip(b.column("text"), b.column("y"), strict=True):
+            counts[y.as_py() == 1].update({f for inst in instances(t.as_py()) for f in inst})
+            if len(counts[0]) > 200_000:
+                yield out()
+    yield out()
+
+
+def train(docs: DataFrame, labels: DataFrame, learn, max_rows: int = MAX_ROWS) -> Model:
+    """Counts and bags are made on the executors; the driver gets at most MAX_FEATURES names and, for each
+    sampled row, the numbers of the features that its sentences have among them."""
+    rows = Scratch(docs.sparkSession).write(labelled_sample(docs, labels, "toxic", learn, max_rows).repartition(16), "labelled")
+    n1, n0 = rows.agg(F.count(F.when(F.col("y") == 1, 1)), F.count(F.when(F.col("y") != 1, 1))).first()
+    p, q = (F.col("c1") + 0.1) / (n1 + 0.2), (F.col("c0") + 0.1) / (n0 + 0.2)
+    m = (F.col("c1") + F.col("c0") + 0.2) / (n1 + n0 + 0.4)
+    z = (p - q) / F.sqrt(m * (1 - m) * (1 / max(n1, 1) + 1 / max(n0, 1)))
+    counts = rows.mapInArrow(_document_counts, "f string, c0 bigint, c1 bigint").groupBy("f").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    best = counts.filter(F.col("c0") + F.col("c1") >= 3).filter((F.col("c0") + F.col("c1") < n0 + n1) & (z > 4)).select("f", z.alias("z"))
+    names = [r.f for r in best.orderBy(F.desc("z"), "f").limit(MAX_FEATURES).collect()]
+    shared = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = shared.value
+        for b in batches:
+            own = [instances(t.as_py()) for t in b.column("text")]
+            pairs = [sorted((k, ids[f]) for k, inst in enumerate(bag) for f in inst if f in ids) for bag in own]
+            cols = [pa.array(map(len, own), pa.int32()), pa.array([[k for k, _ in x] for x in pairs], pa.list_(pa.int32())), pa.array([[f for _, f in x] for x in pairs], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column("y"), *cols], names=["y", "n", "s", "f"])
+
+    got = rows.mapInArrow(bags, "y int, n int, s array<int>, f array<int>").collect()
+    got.sort(key=lambda r: (r.y, r.n, r.s, r.f))  # the fit doesn't depend on the order of tasks
+    return fit(np.array([int(r.y == 1) for r in got]), names, [(r.n, r.s, r.f) for r in got])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
