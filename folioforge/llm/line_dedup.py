@@ -8,7 +8,8 @@ keep only their first occurrence, so copies never meet each other in the join.
 
 Two sets with a Jaccard similarity of ``percent`` / 100 share a word among their rarest
 n - ceil(n * percent / 100) + 1 (prefix filter), differ little in size (length filter), and after a
-shared word at given places enough words are left (positional filter). Words that occur once in the
+shared word at given places enough words are left (positional filter), and 64 parity bits differ in no more
+places than the sets may differ in words. Words that occur once in the
 corpus are not joined. In each word's bucket all classes first meet the earliest class alone, a star;
 only those left without an earlier match then meet the bucket's other classes. Full sets decide.
 
@@ -35,11 +36,8 @@ _BITS = 24  # of the bitmap that says which lines may stand in a pair: 2 MB
 
 
 def _words(text: Column) -> Column:
-    """Words of a text. Other white space becomes spaces first: a split at one plain character needs no
-    regular expression."""
-    for c in SPACE[1:]:
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return F.split(text, " ", -1)
+    """Words of a text, perhaps with an empty one at either end."""
+    return F.split(text, r"[\x20\x09-\x0D]+", -1)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -62,15 +60,23 @@ def _array_of(cells: DataFrame, name: str) -> DataFrame:
     return runs.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("run", "a"))), lambda x: x["a"])).alias(name))
 
 
-_EMPTY_WORD = -7444071767201028348  # xxhash64 of the empty string: what stands between two spaces
-
-
 def _numbers(line: Column, rare: Column) -> Column:
     """A line's word numbers, rarest first."""
-    hashes = F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), F.lit(_EMPTY_WORD))
     mask, top = F.lit((1 << BUCKETS) - 1), 64 - SHIFT
-    number = lambda h: F.shiftleft(F.coalesce(F.get(rare, h.bitwiseAND(mask).cast("int")), F.lit(0).cast("tinyint")).cast("bigint"), top).bitwiseOR(F.shiftrightunsigned(h, SHIFT))
-    return F.sort_array(F.transform(hashes, number))
+
+    def number(w: Column) -> Column:
+        h = F.xxhash64(w)
+        rank = F.coalesce(F.get(rare, h.bitwiseAND(mask).cast("int")), F.lit(0).cast("tinyint")).cast("bigint")
+        return F.shiftleft(rank, top).bitwiseOR(F.shiftrightunsigned(h, SHIFT))
+
+    # One reference to the table: two would make Spark copy it into each row.
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(_words(line), ""), number)))
+
+
+def _parity(numbers: Column) -> Column:
+    """64 bits: for each, whether an odd number of the words fall on it. Two sets that differ in k words
+    differ in k bits at most."""
+    return F.aggregate(numbers, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def _need(n: Column, percent: int) -> Column:
@@ -78,14 +84,19 @@ def _need(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100).cast("int")
 
 
-_ROW = ("doc", "line", "h", "n", "pos")
+_ROW = ("doc", "line", "h", "n", "pos", "bits")
 
 
 def _similar(a: str, b: str, percent: int) -> Column:
-    """Length and positional filters for two prefix rows, told apart by a letter before their columns."""
+    """Length, positional and bitmap filters for two prefix rows, told apart by a letter before their columns."""
     na, nb = F.col(f"{a}_n"), F.col(f"{b}_n")
     most = 1 + F.least(na - F.col(f"{a}_pos") - 1, nb - F.col(f"{b}_pos") - 1)
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * most >= percent * (na + nb))
+    apart = F.bit_count(F.col(f"{a}_bits").bitwiseXOR(F.col(f"{b}_bits")))  # similar sets differ in few words
+    return (
+        (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
+        & ((100 + percent) * most >= percent * (na + nb))
+        & ((100 + percent) * apart <= (100 - percent) * (na + nb))
+    )
 
 
 def _named(rows: DataFrame, letter: str) -> DataFrame:
@@ -127,13 +138,14 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -
     lines = _lines(docs).withColumn("__rare", rare.scalar()).select("doc_id", "dk", "line_no", _numbers(F.col("line"), F.col("__rare")).alias("e"))
     n, once = F.size("e"), 1 << (64 - SHIFT)  # numbers below are words that occur once
     places = F.filter(F.transform(F.slice("e", F.lit(1), n - _need(n, percent) + 1), lambda x, i: F.struct(x.alias("word"), i.alias("pos"))), lambda x: x["word"] >= once)
-    prefix = F.when(n - _need(n, percent) > 0, places)  # with a prefix of one word only equal sets are similar enough
-    lines = scratch.write(lines.filter(n >= least).select("doc_id", "dk", "line_no", n.alias("n"), F.xxhash64("e").alias("h"), prefix.alias("prefix")), "lines")
+    prefix = F.when((n - _need(n, percent) > 0) & (n >= least), places)  # with a prefix of one word only equal sets are similar enough
+    # all lines are written: a filter on n would be pushed below and make the numbers twice
+    lines = scratch.write(lines.select("doc_id", "dk", "line_no", n.alias("n"), F.xxhash64("e").alias("h"), prefix.alias("prefix"), F.when(prefix.isNotNull(), _parity(F.col("e"))).alias("bits")), "lines").filter(F.col("n") >= least)
     first = F.min(F.struct("doc_id", "line_no"))
     classes = lines.groupBy("h", "n").agg(first.alias("l"))
 
-    heads = lines.filter(F.size("prefix") > 0).groupBy("h", "n", "prefix").agg(first.alias("l"))
-    rows = heads.select(F.col("l.doc_id").alias("doc"), F.col("l.line_no").alias("line"), "h", "n", F.inline("prefix"))
+    heads = lines.filter(F.size("prefix") > 0).groupBy("h", "n", "prefix", "bits").agg(first.alias("l"))
+    rows = heads.select(F.col("l.doc_id").alias("doc"), F.col("l.line_no").alias("line"), "h", "n", "bits", F.inline("prefix"))
     bucket = W.partitionBy("word").orderBy("b_doc", "b_line").rowsBetween(W.unboundedPreceding, W.currentRow)  # streams a bucket, holds one row
     met = _named(rows, "b").select("word", *[F.col(f"b_{c}") for c in _ROW], *[F.first(f"b_{c}").over(bucket).alias(f"a_{c}") for c in _ROW])
     met = scratch.write(met.filter(_earlier("a", "b")), "met")
@@ -149,7 +161,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -
     similar = hits.union(more).distinct().select(F.struct(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")).alias("l"), F.col("b_h").alias("h"), F.lit(True).alias("similar"))
 
     marked = classes.join(similar, ["h", "l"], "left")
-    every = lines.drop("prefix").join(marked, ["h", "n"])
+    every = lines.drop("prefix", "bits").join(marked, ["h", "n"])
     goes = F.coalesce("similar", F.lit(False)) | (F.struct("doc_id", "line_no") > F.col("l"))
     return every.filter(goes).select("doc_id", "dk", "line_no", F.col("l.doc_id").alias("class_doc"), F.col("l.line_no").alias("class_line"), F.coalesce("similar", F.lit(False)).alias("similar"))
 
