@@ -9,7 +9,8 @@ elements stop bidding once all slots of the document hold less than the level. S
 In every bucket all classes are compared with the bucket's smallest doc_id, a star and not all pairs;
 full sets confirm each link. Union-find within tasks and alternating star contraction across them turn
 links into components. Only classes of one bucket that are still in different components are then
-compared with each other, so that no link that could join two components is lost.
+compared with each other, so that no link that could join two components is lost; pairs whose whole
+signatures agree in fewer than ``LEAST_SLOTS`` slots are left out there.
 
 A row's links are those of its class: ``component_id`` is the smallest doc_id reachable.
 
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm.common import Scratch, byte_words, table
@@ -33,6 +34,8 @@ from folioforge.llm.language_model import Hashes
 
 WORDS, BANDS, ROWS = 5, 50, 5
 SLOTS = BANDS * ROWS
+#: A pair of similarity 0.75 has 187 equal slots of 250 on average, and fewer than 150 once in 30 million.
+LEAST_SLOTS = 150
 CHUNK = 1 << 15
 _GOLD, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -90,19 +93,38 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return out.view(np.int64)
 
 
+def small_bytes(sig: np.ndarray) -> np.ndarray:
+    """A byte of each slot, seven to a number so that sums of two never overflow."""
+    low = (mix(sig.view(np.uint64)) & np.uint64(0xFF)).reshape(len(sig), -1)
+    low = np.pad(low, ((0, 0), (0, -low.shape[1] % 7))).reshape(len(sig), -1, 7)
+    return (low << (np.arange(7, dtype=np.uint64) * np.uint64(8))).sum(2, dtype=np.uint64).view(np.int64)
+
+
+def equal_slots(a: Column, b: Column) -> Column:
+    """How many slots of two packed signatures have equal bytes; padding is not counted."""
+    low, high = F.lit(0x7F7F7F7F7F7F7F), F.lit(0x80808080808080)
+
+    def differing(p: Column, q: Column) -> Column:
+        x = p.bitwiseXOR(q)
+        return F.bit_count((x.bitwiseAND(low) + low).bitwiseOR(x).bitwiseAND(high))
+
+    return F.lit(SLOTS) - F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda s, x: s + x)
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = Hashes()
     for b in batches:
         for lo in range(0, b.num_rows, 512):
             part = b.slice(lo, 512)
             sets = [shingles(t.as_py(), hashes) for t in part.column("text")]
-            keys = band_keys(signatures(sets))
+            sig = signatures(sets)
+            keys, mins = band_keys(sig), small_bytes(sig)
             digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             k = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             bands = [list(row) if len(s) else [] for row, s in zip(keys, sets, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "k1", "k2", "bands"],
+                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(bands, pa.list_(pa.int64())), pa.array(list(mins), pa.list_(pa.int64()))],
+                names=["doc_id", "n", "k1", "k2", "bands", "mins"],
             )
 
 
@@ -211,7 +233,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs`` (doc_id, text)."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sig = scratch.write(docs.mapInArrow(_describe, "doc_id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>"), "signatures")
+    sig = scratch.write(docs.mapInArrow(_describe, "doc_id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>, mins array<bigint>"), "signatures")
     own = sig.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = scratch.write(own.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = own.join(classes.withColumnRenamed("rep", "doc_id"), ["k1", "k2", "doc_id"], "left_semi")
@@ -226,14 +248,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Classes of one bucket in different components: compared with each other, not again with the smallest.
     placed = buckets.join(found.toDF("rep", "c"), "rep", "left").select("key", "rep", F.coalesce("c", "rep").alias("c"))
     split = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("key")
-    mixed = scratch.write(placed.join(split, "key"), "mixed")
-    a, b = mixed.toDF("key", "lo", "ca"), mixed.toDF("key", "hi", "cb")
-    cross = a.join(b, "key").filter("lo < hi AND ca != cb").select("lo", "hi").distinct()
+    mixed = scratch.write(placed.join(split, "key").join(reps.select(F.col("doc_id").alias("rep"), "mins").dropDuplicates(["rep"]), "rep").select("key", "rep", "c", "mins"), "mixed")
+    a, b = mixed.toDF("key", "lo", "ca", "ma"), mixed.toDF("key", "hi", "cb", "mb")
+    cross = a.join(b, "key").filter("lo < hi AND ca != cb").filter(equal_slots(F.col("ma"), F.col("mb")) >= LEAST_SLOTS).select("lo", "hi").distinct()
     cross = scratch.write(cross.join(tried.select("lo", "hi"), ["lo", "hi"], "left_anti"), "cross")
     more = _linked(cross, docs).filter("linked").select("lo", "hi")
     found = components(links.union(more), scratch)
 
-    rows = sig.drop("bands").join(classes, ["k1", "k2"], "left")
+    rows = sig.drop("bands", "mins").join(classes, ["k1", "k2"], "left")
     rows = rows.join(found.toDF("rep", "c"), "rep", "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.coalesce("c", "rep"))

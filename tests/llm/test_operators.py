@@ -327,3 +327,19 @@ def test_seating_bounds():
 
 def test_sha_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_equal_slots(spark):
+    from pyspark.sql import functions as F
+
+    from folioforge.llm.near_duplicates import SLOTS, equal_slots, small_bytes
+
+    rng = np.random.default_rng(3)
+    a, b = rng.random((4, SLOTS)), rng.random((4, SLOTS))
+    b[:, :170] = a[:, :170]
+    b[3] = a[3]
+    p, q = small_bytes(a), small_bytes(b)
+    unpack = lambda m: (m.view(np.uint64)[:, :, None] >> (np.arange(7, dtype=np.uint64) * np.uint64(8)) & np.uint64(255)).reshape(4, -1)[:, :SLOTS]
+    want = (unpack(p) == unpack(q)).sum(1).tolist()
+    rows = spark.createDataFrame([(i, x.tolist(), y.tolist()) for i, (x, y) in enumerate(zip(p, q, strict=True))], "i int, a array<bigint>, b array<bigint>")
+    assert [r[0] for r in rows.orderBy("i").select(equal_slots(F.col("a"), F.col("b"))).collect()] == want and want[3] == SLOTS
