@@ -121,7 +121,7 @@ nodes AS (
 
 @query(
     "txt_nodes",
-    f"WITH {_NODES} SELECT doc_id, CAST(node_id AS BIGINT) AS node_id, CAST(parent_id AS BIGINT) AS parent_id, CAST(child_ix AS BIGINT) AS child_ix, depth, node_type, text FROM nodes",
+    f"WITH {_NODES} SELECT doc_id, CAST(node_id AS BIGINT) AS node_id, CAST(parent_id AS BIGINT) AS parent_id, CAST(child_ix AS BIGINT) AS child_ix, CAST(depth AS BIGINT) AS depth, node_type, text FROM nodes",
 )
 def txt_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain.nodes(lined(spark, sf_dir)).select("doc_id", "node_id", "parent_id", "child_ix", "depth", "node_type", "text")
@@ -388,12 +388,12 @@ def tracked_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisions.tracked_changes(_revised(spark, sf_dir))
 
 
-@query("accept_all", "SELECT user_id AS doc_id, count(*) AS n_left, CAST(sum(event_id) AS BIGINT) AS places, 0 AS n_tracked FROM events WHERE event_id % 4 <> 1 GROUP BY 1")
+@query("accept_all", "SELECT user_id AS doc_id, count(*) AS n_left, CAST(sum(event_id) AS BIGINT) AS places, CAST(0 AS BIGINT) AS n_tracked FROM events WHERE event_id % 4 <> 1 GROUP BY 1")
 def accept_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisions.decide(_revised(spark, sf_dir), True).groupBy("doc_id").agg(F.count("*").alias("n_left"), F.sum("pos").alias("places"), F.count("revision_type").alias("n_tracked"))
 
 
-@query("reject_all", "SELECT user_id AS doc_id, count(*) AS n_left, CAST(sum(event_id) AS BIGINT) AS places, 0 AS n_tracked FROM events WHERE event_id % 4 <> 0 GROUP BY 1")
+@query("reject_all", "SELECT user_id AS doc_id, count(*) AS n_left, CAST(sum(event_id) AS BIGINT) AS places, CAST(0 AS BIGINT) AS n_tracked FROM events WHERE event_id % 4 <> 0 GROUP BY 1")
 def reject_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisions.decide(_revised(spark, sf_dir), False).groupBy("doc_id").agg(F.count("*").alias("n_left"), F.sum("pos").alias("places"), F.count("revision_type").alias("n_tracked"))
 
