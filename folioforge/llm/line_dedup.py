@@ -138,7 +138,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -
     lines = _lines(docs).withColumn("__rare", rare.scalar()).select("doc_id", "dk", "line_no", _numbers(F.col("line"), F.col("__rare")).alias("e"))
     n, once = F.size("e"), 1 << (64 - SHIFT)  # numbers below are words that occur once
     places = F.filter(F.transform(F.slice("e", F.lit(1), n - _need(n, percent) + 1), lambda x, i: F.struct(x.alias("word"), i.alias("pos"))), lambda x: x["word"] >= once)
-    prefix = F.when((n - _need(n, percent) > 0) & (n >= least), places)  # with a prefix of one word only equal sets are similar enough
+    other = (_need(n, percent) < n) | (F.floor(100 * n / percent) > n)  # a smaller or a larger set may be similar enough
+    prefix = F.when(other & (n >= least), places)
     # all lines are written: a filter on n would be pushed below and make the numbers twice
     lines = scratch.write(lines.select("doc_id", "dk", "line_no", n.alias("n"), F.xxhash64("e").alias("h"), prefix.alias("prefix"), F.when(prefix.isNotNull(), _parity(F.col("e"))).alias("bits")), "lines").filter(F.col("n") >= least)
     first = F.min(F.struct("doc_id", "line_no"))

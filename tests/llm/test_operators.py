@@ -111,6 +111,12 @@ def test_line_dedup_matches_all_pairs(spark, corpus):
     assert removed_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_finds_one_word_more_than_nine(spark):
+    short = [f"{k}a {k}b {k}c {k}d {k}e {k}f {k}g {k}h newsletter" for k in "xy"]
+    rows = [(1, short[0]), (2, short[0] + " today"), (3, short[1] + " today"), (4, short[1]), (5, "p q r s t u v w"), (6, "p q r s t u v w today")]
+    assert {(r.doc_id, r.line_no) for r in removed_lines(frame(spark, rows)).collect()} == {(2, 0), (4, 0)}
+
+
 def test_quality_rules_measures(spark, corpus):
     rows = [*corpus, (400, "a b c a b c a b c\nx\nx\n\n \n# $%"), (401, "BUY!! NOW!! " * 60)]
     got = {(r.doc_id, r.n_words): r for r in judge(frame(spark, rows)).collect()}
