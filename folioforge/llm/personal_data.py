@@ -40,9 +40,13 @@ HINT = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "(?:[0-9][ -]?){13}", "phon
 #: Cue words of secrets and of contact data in four languages.
 SECRET_CUES = "password|passwd|pwd|passwort|passe|clave|token|secret|api_key|apikey|auth|bearer"
 CONTACT_CUES = "tel|phone|call|fax|mobile|contact|kontakt|telefon|appel|llame|mail|iban|account|konto|compte|cuenta|ssn"
+#: What leads to a secret: a cue word in any case, perhaps quoted, and a sign.
+_SAID = rf"(?i:{SECRET_CUES})[\"']? ?[=:] ?[\"']?"
+#: The last one to three characters of an account number; after a space a digit tells them from a word.
+_REST = r"(?:[A-Z0-9]{1,3}| (?=[A-Z]{0,2}[0-9])[A-Z0-9]{1,3})"
 _CANDIDATE = {
-    "secret": rf"(?:{SECRET_CUES}) ?[=:] ?\"?[A-Za-z0-9/_+.-]{{8,200}}",
-    "account": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}\b",
+    "secret": rf"{_SAID}[A-Za-z0-9/_+.-]{{8,}}+={{0,2}}+",
+    "account": rf"\b(?:(?:MU|SC)[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{6}} ?[A-Z]{{2,3}}|[A-Z]{{2}}[0-9]{{2}}(?:(?: ?[A-Z0-9]{{4}}){{3,7}}(?:{_REST})?|(?: ?[A-Z0-9]{{4}}){{2}}{_REST}))\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
     "local_phone": r"(?<![0-9+])\(?0?[0-9]{2,4}\)?[ ./-][0-9]{3}[ .-][0-9]{3,5}(?![0-9])",
     "written_mail": r"[A-Za-z0-9._%+-]{1,64} ?[(\[](?:at|AT)[)\]] ?[A-Za-z0-9-]{1,64}(?: ?(?:\.|[(\[](?:dot|DOT)[)\]]) ?[A-Za-z0-9-]{1,64}){1,4}",
@@ -106,13 +110,13 @@ def candidates(spans: DataFrame) -> DataFrame:
     df = spans.withColumn("c", _spans(F.col("t"), CANDIDATE, F.col("t").rlike(CANDIDATE), lambda m: F.lit(True), context=24))
     taken = F.concat(*[F.col(k) for k in BASE])
     kind = lambda x: F.coalesce(*[F.when(x["text"].rlike(f"^(?:{p})$"), k) for k, p in _CANDIDATE.items()], F.lit("secret"))
-    value = lambda x: F.regexp_replace(x["text"], "^[a-z_]+ ?[=:] ?\"?", "")
+    value = lambda x: F.regexp_replace(x["text"], f"^{_SAID}", "")
     near = lambda x, cues: F.lower(x["before"]).rlike(f"(?:{cues})[^A-Za-z]{{0,3}}$")
 
     def seen(x: Column) -> Column:
         v = value(x)
         mixed = v.rlike("[0-9]") & v.rlike("[A-Za-z]")
-        strict = F.when(v.rlike("^[0-9a-f]{16,}$|^[0-9]{3}-[0-9]{2}-[0-9]{4}$|^[A-Z]{2}[0-9]{2}[A-Z0-9 ]{12,}$|^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$|\\[at|\\(at"), 1).otherwise(0)
+        strict = F.when(v.rlike("^[0-9a-f]{16,}$|^[0-9]{3}-[0-9]{2}-[0-9]{4}$|^[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11,}$|^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$|\\[at|\\(at"), 1).otherwise(0)
         listed = F.when(F.lower(x["text"]).rlike(f"^(?:{SECRET_CUES})|(?:com|org|net|edu|example)$"), 1).otherwise(0)
         around = F.when(near(x, f"{SECRET_CUES}|{CONTACT_CUES}"), 1).when(x["before"].rlike("[$€#=*/]$") | x["after"].rlike("^[%€$]"), -1).otherwise(0)
         shape = F.when(mixed, 1).when(F.length(v) < 9, -1).otherwise(0)

@@ -198,6 +198,24 @@ def test_personal_data_base_spans(spark):
     assert find(frame(spark, [])).count() == 0
 
 
+def test_personal_data_candidates_are_whole(spark):
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefABCDEF0123456789_-.") for _ in range(300))
+    key = "q7Rt5mZx81LkPw"
+    values = [f"token={long}", f"Password: {key}", f"API_KEY={key}==", f'"token": "{key}"', f"'Secret':'{key}'"]
+    accounts = [
+        "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "FR1420041010050500013M02606", "FR14 2004 1010 0505 0001 3M02 606", "GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32",
+        "NL91ABNA0417164300", "IT60X0542811101000000123456", "NO93 8601 1117 947", "BE68 5390 0754 7034", "SC18 SSCB 1101 0000 0000 0000 1497 USD",
+    ]
+    texts = [f"see {v} here" for v in values] + [f"IBAN: {a} EUR, thanks" for a in accounts]
+    got = {r.doc_id: [(x["kind"], texts[r.doc_id][x["start"] : x["end"]]) for x in r.added] for r in find(frame(spark, list(enumerate(texts)))).collect()}
+    ends = [v.rstrip("\"'").lstrip("\"'") for v in values]
+    assert [got[i] for i in range(len(values))] == [[("secret", v)] for v in ends]
+    assert [got[len(values) + i] for i in range(len(accounts))] == [[("account", a)] for a in accounts]
+    masked = {r.doc_id: r.text for r in mask(frame(spark, list(enumerate(texts)))).collect()}
+    assert masked[0] == "see <secret> here" and masked[6] == "IBAN: <account> EUR, thanks"
+
+
 def test_html_text():
     page = (
         "<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var x='</p>';</script></head><body class=has-sidebar><header>Site</header>"
