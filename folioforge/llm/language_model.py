@@ -1,18 +1,21 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Two levels of restaurants. Each context (the word before) is a restaurant whose customers are the
-words that follow it; all context restaurants share one parent, the restaurant of single words, to
-which every table of a context sends one customer. The parent's own base is a uniform measure.
-Contexts and dishes of their own go to the ``HEAD`` most frequent words; other contexts share one
-restaurant, other dishes are one dish UNK, spelt out by a second Pitman-Yor restaurant over the rest
-of the vocabulary with a uniform base. So the seating has at most (CONTEXTS + 2) x (HEAD + 2) cells
-whatever the corpus, though it counts every token of every training document.
-
-Seating is sampled by Gibbs sweeps: in each, every cell's tables are drawn anew by the Chinese
-restaurant process given its parent's current predictive probabilities, then the parent is seated
-anew given the tables. Context restaurants are independent given the parent, so a sweep runs as one
-distributed pass over cells, grouped by context. The probabilities of the sweeps after burn-in are
-averaged; scores are sums of log10 of these averages.
+Two levels of restaurants. Each context (the word before, any word, or the start of a text) is a
+restaurant whose customers are the words that follow it; all context restaurants share one parent, the
+restaurant of single words, to which every table of a context sends one customer. The parent's own base
+is uniform over the whole vocabulary and one unseen word. All (context, word) cells of the training
+documents are kept, in a distributed table that grows with the corpus.
+
+Seating runs in sweeps: in each, every cell's tables are drawn anew by the Chinese restaurant process
+given its parent's current predictive probabilities, then the parent is seated anew given the tables. A
+cell of one customer always has one table, so only the others are drawn. Context restaurants are
+independent given the parent, so a sweep runs as one distributed pass over cells, grouped by context;
+the ``CONTEXTS`` most frequent contexts are split by word, given the number of their tables in the sweep
+before. Tables and the parent's probabilities are averaged over the sweeps after burn-in; scores are
+sums of log10 of the predictive probabilities that follow.
+
+Pairs of a context among the ``CONTEXTS`` and a word among the ``HEAD`` most frequent are scored from one
+matrix. All other pairs of the documents are joined to the cells, one row for each document and pair.
 
 Counts of all words (64-bit hashes of their bytes) stay distributed. The ``COMMON`` most frequent
 are broadcast, a bound; rarer ones reach the documents by a shuffled join on the word, with one row
@@ -42,7 +45,8 @@ DISCOUNT, STRENGTH = 0.75, 10.0
 SWEEPS, BURN_IN = 5, 2
 #: The end of a text, a token that no word equals: words hold no white space.
 END = b"\n"
-FLUSH = 400_000
+FLUSH, TOKENS, BLOCK = 400_000, 1_000_000, 500_000
+PARTS = 32  # of a frequent context
 
 
 def word_hash(w: bytes) -> int:
@@ -76,60 +80,139 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def _ids(words: list[bytes], number, other: int) -> np.ndarray:
-    return np.fromiter((number(w, other) for w in words), np.int64, len(words))
+class Codes(dict):
+    """Words to codes, remembered up to a bound: a common word's rank, any other word's hash."""
+
+    def __init__(self, ranks: dict[int, int]):
+        super().__init__()
+        self.ranks = ranks
+
+    def __reduce__(self):
+        return Codes, (self.ranks,)
+
+    def __missing__(self, w: bytes) -> int:
+        if len(self) > 250_000:
+            self.clear()
+        h = word_hash(w)
+        c = self[w] = self.ranks.get(h, h)
+        return c
+
+    def of(self, text: str | None) -> np.ndarray:
+        """Codes of a text's tokens."""
+        words = [*byte_words(text), END]
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def _distinct(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, and how often each occurs."""
+    order = np.lexsort((w, u))
+    u, w = u[order], w[order]
+    new = np.ones(len(u), bool)
+    new[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1])
+    first = np.flatnonzero(new)
+    return u[first], w[first], np.diff(np.append(first, len(u)))
 
 
 def _count_cells(shared):
-    """Occurrences of (context, dish) in a task, at most one row per cell and flush."""
+    """Occurrences of (context, word), summed over about TOKENS tokens at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, dishes = shared.value["number"], HEAD + 2
-        cells = np.zeros((CONTEXTS + 2) * dishes, np.int64)
+        codes, start = shared.value["codes"], [shared.value["start"]]
+        us, ws, size = [], [], 0
+
+        def out():
+            cols = _distinct(np.concatenate(us), np.concatenate(ws))
+            us.clear()
+            ws.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["u", "w", "c"])
+
         for b in batches:
             for t in b.column("text"):
-                ids = _ids([*byte_words(t.as_py()), END], number.get, HEAD)
-                before = np.concatenate(([CONTEXTS + 1], np.minimum(ids[:-1], CONTEXTS)))
-                np.add.at(cells, before * dishes + ids, 1)
-        at = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array((at // dishes).astype(np.int32)), pa.array((at % dishes).astype(np.int32)), pa.array(cells[at])], names=["u", "w", "c"])
+                w = codes.of(t.as_py())
+                us.append(np.concatenate((start, w[:-1])))
+                ws.append(w)
+                size += len(w)
+                if size > TOKENS:
+                    yield out()
+                    size = 0
+        if us:
+            yield out()
 
     return run
 
 
-def seat(c: np.ndarray, base: np.ndarray, restaurant: np.ndarray, rng, d: float = DISCOUNT, theta: float = STRENGTH) -> np.ndarray:
+def seat(c: np.ndarray, base: np.ndarray, restaurant: np.ndarray, rng, d: float = DISCOUNT, theta: float = STRENGTH, more=0.0, fixed=None) -> np.ndarray:
     """Tables of each cell with c customers, drawn by the Chinese restaurant process.
 
     Customers sit down in rounds that grow by an eighth: within a round, the new tables are a binomial
-    draw at the seating before it. The first eight customers sit down one by one."""
+    draw at the seating before it. The first eight customers sit down one by one. A restaurant has ``more``
+    tables of cells that aren't given; where ``fixed`` is a number, it has that many tables throughout."""
     tables, seated = np.minimum(c, 1), np.minimum(c, 1)
     of = np.zeros(int(restaurant.max(initial=-1)) + 1)
+    more = np.broadcast_to(more, c.shape)
     while True:
         left = np.flatnonzero(seated < c)
         if not len(left):
             return tables
-        total = np.bincount(restaurant, tables, len(of))
+        total = np.bincount(restaurant, tables, len(of))[restaurant[left]] + more[left]
+        if fixed is not None:
+            total = np.where(np.isnan(fixed[left]), total, fixed[left])
         step = np.minimum(c[left] - seated[left], np.maximum(1, seated[left] // 8))
-        fresh = (theta + d * total[restaurant[left]]) * base[left]
+        fresh = (theta + d * total) * base[left]
         old = seated[left] - d * tables[left]
         p = fresh / (fresh + old)
         tables[left] += rng.binomial(step, np.clip(p, 0, 1))
         seated[left] += step
 
 
+_CELL = ["u", "w", "c", "s", "tsum", "r"]
+
+
 def _sweep(shared):
-    """Seats the contexts of a task, which has each of its contexts whole."""
+    """Seats the contexts of a task, sorted; it has each of them whole, or a part of a frequent one."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[b.column(x).to_numpy() for x in ("u", "w", "c")] for b in batches if b.num_rows]
-        if not got:
-            return
-        u, w, c = (np.concatenate(x) for x in zip(*got, strict=True))
+    def seated(u, w, c, s, tsum, r) -> pa.RecordBatch:
+        m = shared.value
         order = np.lexsort((w, u))
-        u, w, c = u[order], w[order], c[order]
-        rng = np.random.default_rng([shared.value["sweep"], int(u[0])])
-        t = seat(c, shared.value["root"][w], np.unique(u, return_inverse=True)[1], rng)
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(w), pa.array(c), pa.array(t)], names=["u", "w", "c", "t"])
+        u, w, c, s, tsum, r = (x[order] for x in (u, w, c, s, tsum, r))
+        size = len(m["root"])
+        cu, cw = (u >= 0) & (u < size), (w >= 0) & (w < size)
+        r, s, fixed = r.copy(), s.astype(float), np.full(len(u), np.nan)
+        r[cw], s[cu], fixed[cu] = m["root"][w[cw]], m["single"][u[cu]], m["fixed"][u[cu]]
+        rng = np.random.default_rng([m["sweep"], int(u[0]) % (1 << 63), int(w[0]) % (1 << 63)])
+        t = seat(c, r, np.unique(u, return_inverse=True)[1], rng, more=s, fixed=fixed)
+        cols = [u, w, c, s.astype(np.int64), t, tsum + t * m["keep"]]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["u", "w", "c", "s", "t", "tsum"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append([b.column(x).to_numpy(zero_copy_only=False) for x in _CELL])
+            size += b.num_rows
+            if size >= BLOCK:
+                cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+                cut = int(np.flatnonzero(cols[0] == cols[0][-1])[0])
+                if cut:
+                    yield seated(*(x[:cut] for x in cols))
+                held, size = [[x[cut:] for x in cols]], size - cut
+        if held:
+            yield seated(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def _seat_words(base: float, total: float, sweep: int):
+    """Seats words of the parent that aren't common, given its number of tables in the sweep before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                w, n = b.column("w").to_numpy(), b.column("n").to_numpy()
+                rng = np.random.default_rng([sweep, int(w[0]) % (1 << 63)])
+                t = seat(n, np.full(len(n), base), np.zeros(len(n), np.int64), rng, fixed=np.full(len(n), total))
+                yield pa.RecordBatch.from_arrays([b.column("w"), b.column("s"), b.column("n"), pa.array(t, pa.int64()), b.column("rsum")], names=["w", "s", "n", "t", "rsum"])
 
     return run
 
@@ -155,133 +238,218 @@ def _most_frequent(counts: DataFrame) -> list:
     return sorted(counts.filter(eighth >= least).collect(), key=lambda r: (-r.c, r.word))
 
 
+def _filled(size: int, rows: DataFrame, kind=np.int64) -> list[np.ndarray]:
+    """Arrays of a table's columns by the code in its first one; common codes alone, so of bounded size."""
+    got, out = rows.toArrow(), []
+    at = got.column(0).to_numpy()
+    for k in range(1, got.num_columns):
+        x = np.zeros(size, kind)
+        x[at] = got.column(k).to_numpy()
+        out.append(x)
+    return out
+
+
 def train(docs: DataFrame, scratch: Scratch) -> dict:
-    """The model over ``docs`` (text): word counts as a table, the head's numbers, and the averaged
-    probabilities as one matrix."""
+    """The model over ``docs`` (text): tables of word counts, cells, rarer contexts and rarer words, arrays
+    of the common ones, and the most frequent pairs' probabilities as one matrix."""
     spark = docs.sparkSession
     counts = scratch.write(docs.select("text").mapInArrow(_count_words, "word bigint, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "words")
     n, v = counts.agg(F.sum("c"), F.count("c")).first()
     n, v = n or 0, v or 0
     top = _most_frequent(counts)
     end = word_hash(END)
-    numbers = {r.word: i for i, r in enumerate([r for r in top if r.word != end][:HEAD])} | {end: HEAD + 1}
-    number = ByHash(numbers)
-    shared = spark.sparkContext.broadcast({"number": number})
-    cells = scratch.write(docs.select("text").mapInArrow(_count_cells(shared), "u int, w int, c bigint").groupBy("u", "w").agg(F.sum("c").alias("c")), "cells")
-    dishes = HEAD + 2
-    # The parent starts from one table for each cell.
-    root, sums, kept, spelling = np.full(dishes, 1 / dishes), np.zeros((CONTEXTS + 2, dishes)), 0, None
+    ranked = [r for r in top if r.word != end]
+    k = len(ranked)  # the end of a text has the code k, its start k + 1
+    size, tail = k + 2, v > k + (n > 0)
+    codes = Codes({r.word: i for i, r in enumerate(ranked)} | {end: k})
+    common = lambda x: (F.col(x) >= 0) & (F.col(x) < size)
+    hot = (F.col("u") >= 0) & (F.col("u") < min(CONTEXTS, k)) | (F.col("u") == k + 1)
+    head = (F.col("w") >= 0) & (F.col("w") < min(HEAD, k)) | (F.col("w") == k)
+
+    shared = spark.sparkContext.broadcast({"codes": codes, "start": k + 1})
+    cells = scratch.write(docs.select("text").mapInArrow(_count_cells(shared), "u bigint, w bigint, c bigint").groupBy("u", "w").agg(F.sum("c").alias("c")), "cells")
+    one, every = F.sum((F.col("c") == 1).cast("bigint")).alias("s"), F.count("c").alias("m")
+    contexts = scratch.write(cells.groupBy("u").agg(F.sum("c").alias("c"), one, every), "contexts")
+    dishes = scratch.write(cells.groupBy("w").agg(one, every), "dishes")
+    c_u, s_u, m_u = _filled(size, contexts.filter(common("u")))
+    s_w, m_w = _filled(size, dishes.filter(common("w")))
+
+    # The parent starts from one table for each cell, and from one table of its own for each word.
+    base, total, n_cells = 1 / (v + 1), float(v), float(contexts.agg(F.sum("m")).first()[0] or 0)
+    share = lambda c, t, cs, ts: (c - DISCOUNT * t + (STRENGTH + DISCOUNT * ts) * base) / (STRENGTH + cs)
+    root, root_sum, unseen_sum, kept = share(m_w, np.minimum(m_w, 1), n_cells, total), np.zeros(size), 0.0, 0
+    tails = dishes.filter(~common("w")).select("w", "s", share(F.col("m"), 1, n_cells, total).alias("r"), F.lit(0.0).alias("rsum"))
+    state = cells.filter("c > 1")
+    if tail:
+        rarer = state.filter(~common("u")).join(contexts.filter(~common("u")).select("u", "s"), "u")
+        state = state.filter(common("u")).withColumn("s", F.lit(0).cast("bigint")).unionByName(rarer)
+    else:
+        state = state.withColumn("s", F.lit(0).cast("bigint"))
+    state = scratch.write(state.select("u", "w", "c", "s", F.lit(0).cast("bigint").alias("tsum")), "seated")
+    fixed = np.full(size, np.nan)
+    fixed[: min(CONTEXTS, k)], fixed[k + 1] = m_u[: min(CONTEXTS, k)], m_u[k + 1]
+    part = F.when(hot, F.pmod(F.xxhash64("w"), F.lit(PARTS))).otherwise(0)
     rng = np.random.default_rng(7)
     for sweep in range(SWEEPS if n else 0):
-        state = spark.sparkContext.broadcast({"root": root, "sweep": sweep})
-        seated = cells.repartition("u").mapInArrow(_sweep(state), "u int, w int, c bigint, t bigint").toArrow()  # at most (CONTEXTS + 2) x (HEAD + 2) rows
-        u, w, c, t = (seated.column(x).to_numpy() for x in ("u", "w", "c", "t"))
-        customers = np.bincount(w, t, dishes).astype(np.int64)
-        root_t = seat(customers, np.full(dishes, 1 / dishes), np.zeros(dishes, np.int64), rng)
-        root = predictive(customers, root_t, np.full(dishes, 1 / dishes))
-        if sweep >= BURN_IN:
-            cu, tu = np.bincount(u, c, CONTEXTS + 2), np.bincount(u, t, CONTEXTS + 2)
-            one = ((STRENGTH + DISCOUNT * tu) / (STRENGTH + cu))[:, None] * root[None, :]
-            one[u, w] += (c - DISCOUNT * t) / (STRENGTH + cu[u])
-            sums += one
-            kept += 1
-    probs = sums / kept if kept else np.full((CONTEXTS + 2, dishes), 1 / dishes)
-    tail_n = n - sum(r.c for r in top if r.word in numbers)
-    tail_v = v - len([r for r in top if r.word in numbers])
+        keep = int(sweep >= BURN_IN)
+        known = spark.sparkContext.broadcast({"root": root, "single": s_u, "fixed": fixed, "sweep": sweep, "keep": keep})
+        rows = state.select("u", "w", "c", "s", "tsum")
+        if tail:
+            rows = rows.filter(common("w")).withColumn("r", F.lit(0.0)).unionByName(rows.filter(~common("w")).join(tails.select("w", "r"), "w"))
+        else:
+            rows = rows.withColumn("r", F.lit(0.0))
+        dealt = rows.repartition("u", part).sortWithinPartitions("u").select(*_CELL)
+        before, state = state, scratch.write(dealt.mapInArrow(_sweep(known), "u bigint, w bigint, c bigint, s bigint, t bigint, tsum bigint"), "seated")
+        scratch.drop(before)
+        tables = F.sum("t").alias("t")
+        customers = s_w + _filled(size, state.filter(common("w")).groupBy("w").agg(tables))[0]
+        t = seat(customers, np.full(size, base), np.zeros(size, np.int64), rng, fixed=np.full(size, total))
+        all_c, all_t = float(customers.sum()), float(t.sum())
+        if tail:
+            own = tails.select("w", "s", "rsum").join(state.filter(~common("w")).groupBy("w").agg(tables), "w", "left")
+            own = own.select("w", "s", (F.col("s") + F.coalesce("t", F.lit(0))).alias("n"), "rsum")
+            seated = scratch.write(own.mapInArrow(_seat_words(base, total, sweep), "w bigint, s bigint, n bigint, t bigint, rsum double"), "tails")
+            more = seated.agg(F.sum("n"), F.sum("t")).first()
+            all_c, all_t = all_c + more[0], all_t + more[1]
+            r = share(F.col("n"), F.col("t"), all_c, all_t)
+            tails = seated.select("w", "s", r.alias("r"), (F.col("rsum") + r * keep).alias("rsum"))
+        total, root = all_t, share(customers, t, all_c, all_t)
+        if keep:
+            root_sum, unseen_sum, kept = root_sum + root, unseen_sum + share(0, 0, all_c, all_t), kept + 1
+        seats = s_u + _filled(size, state.filter(hot).groupBy("u").agg(tables))[0]
+        fixed = np.where(np.isnan(fixed), np.nan, seats)
+
+    kept = max(kept, 1)
+    root, unseen = (root_sum, unseen_sum) if n else (root, base)
+    root, unseen = root / kept, unseen / kept
+    mean = (F.sum("tsum") / kept).alias("t")
+    t_u = s_u + _filled(size, state.filter(common("u")).groupBy("u").agg(mean), float)[0]
+    back = lambda c, t: (STRENGTH + DISCOUNT * t) / (STRENGTH + c)
+    num = F.lit(1 - DISCOUNT).alias("num"), (F.col("c") - DISCOUNT * F.col("tsum") / kept).alias("num")
+    final = cells.filter("c = 1").select("u", "w", num[0].cast("float").alias("num")).union(state.select("u", "w", num[1].cast("float").alias("num")))
+    rare_contexts = None
+    if tail:
+        own = contexts.filter(~common("u")).select("u", "c", "s").join(state.filter(~common("u")).groupBy("u").agg(mean), "u", "left")
+        rare_contexts = own.select("u", back(F.col("c"), F.col("s") + F.coalesce("t", F.lit(0.0))).alias("b"), (1 / (STRENGTH + F.col("c"))).alias("g"))
+        rare_contexts = scratch.write(rare_contexts, "rare_contexts")
+    b_u, g_u = back(c_u, t_u), 1 / (STRENGTH + c_u)
+
+    a, b = min(CONTEXTS, k), min(HEAD, k)
+    by_row, to_row, by_column = np.ones(CONTEXTS + 2), np.zeros(CONTEXTS + 2), np.zeros(HEAD + 2)
+    by_row[:a], by_row[-1], to_row[:a], to_row[-1] = b_u[:a], b_u[k + 1], g_u[:a], g_u[k + 1]
+    by_column[:b], by_column[-1] = root[:b], root[k]
+    probs = by_row[:, None] * by_column[None, :]
+    got = final.filter(hot & head).toArrow()  # at most (CONTEXTS + 1) x (HEAD + 1) rows
+    u, w, x = (got.column(c).to_numpy() for c in ("u", "w", "num"))
+    u, w = np.where(u < a, u, CONTEXTS + 1), np.where(w < b, w, HEAD + 1)
+    probs[u, w] += x * to_row[u]
+    probs[:, HEAD] = 1 - probs.sum(1)  # all other words
+    log = np.log10(np.maximum(probs, 1e-30)).astype(np.float32)
+    n_of = np.array([r.c for r in ranked] + [c_u[k + 1], 0], float)
     return {
-        "counts": counts, "number": number, "log": np.log10(probs).astype(np.float32), "n": n, "v": v,
-        "common": {r.word: r.c for r in top}, "complete": v <= len(top), "tail": (max(tail_n, 0), max(tail_v, 0)),
+        "counts": counts, "codes": codes, "log": log, "n": n, "v": v, "complete": not tail, "n_of": n_of, "back": b_u, "seats": g_u, "root": root, "unseen": float(unseen),
+        "cells": final, "rare_contexts": rare_contexts, "rare_words": tails.select("w", (F.col("rsum") / kept).alias("r")), "bounds": (a, b, CONTEXTS, HEAD),
     }
 
 
-class ByHash:
-    """Numbers of words by their hashes; pickles as a plain dictionary."""
+_KNOWN, _ODD = ("u", "w", "k", "q", "g"), ("u", "w", "k", "b", "g", "r")
+_LISTS = {"u": "bigint", "w": "bigint", "k": "int", "q": "float", "g": "float", "b": "float", "r": "float"}
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "float": pa.float32()}
 
-    def __init__(self, numbers: dict[int, int]):
-        self.numbers, self.seen = numbers, {}
 
-    def __reduce__(self):
-        return ByHash, (self.numbers,)
-
-    def get(self, w: bytes, other: int) -> int:
-        if (k := self.seen.get(w)) is None:
-            if len(self.seen) > 250_000:
-                self.seen.clear()
-            k = self.seen[w] = self.numbers.get(word_hash(w), -1)
-        return other if k < 0 else k
-
-
-def _spelt(c: np.ndarray, tail: tuple[int, int]) -> np.ndarray:
-    """log10 of the spelling restaurant's probability of rare words seen c times, each at one table;
-    its base is uniform over the rare vocabulary and one unseen word."""
-    n, t = tail
-    return np.log10((np.maximum(c - DISCOUNT, 0) + (STRENGTH + DISCOUNT * t) / (t + 1)) / (STRENGTH + n))
+def _lists(rows: list[np.ndarray], kind) -> pa.Array:
+    ends = np.cumsum([0, *(len(x) for x in rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0), *rows]) if kind == pa.float32() else np.concatenate([np.zeros(0, np.int64), *rows]), kind))
 
 
 def _parts(shared):
-    """Sums over a document's tokens whose counts are broadcast, and its other words with their
-    multiplicities."""
+    """Sums over a document's tokens that arrays and the matrix decide; its other words and pairs with their
+    multiplicities. ``known`` pairs lack their cell alone, ``odd`` ones also what hangs on a rarer word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        number, log, common, hashes = m["number"], m["log"], m["common"], Hashes()
+        codes, log, n_of, back, seats, root, complete = (m[x] for x in ("codes", "log", "n_of", "back", "seats", "root", "complete"))
+        size, (a, b, contexts, heads) = len(n_of), m["bounds"]
         low = math.log10(m["n"] + 0.1 * (m["v"] + 1))
-        base_of = lambda c: np.log10(c + 0.1) - low
-        for b in batches:
-            rows = []
-            for t in b.column("text"):
-                words = [*byte_words(t.as_py()), END]
-                ids = _ids(words, number.get, HEAD)
-                before = np.concatenate(([CONTEXTS + 1], np.minimum(ids[:-1], CONTEXTS)))
-                score = float(log[before, ids].sum(dtype=np.float64))
-                counts = Counter(words)
-                known, base, rare, times = 0, 0.0, [], []
-                cs, ks, spelt = [], [], []
-                for w, k in counts.items():
-                    h = hashes[w]
-                    c = common.get(h)
-                    if c is None:
-                        rare.append(h)
-                        times.append(k)
-                    else:
-                        cs.append(c)
-                        ks.append(k)
-                        known += k
-                        spelt.append(number.get(w, HEAD) == HEAD)
-                cs, ks, spelt = np.array(cs, float), np.array(ks, float), np.array(spelt, bool)
-                base += float((base_of(cs) * ks).sum())
-                score += float((_spelt(cs[spelt], m["tail"]) * ks[spelt]).sum())
-                rows.append((len(words), known, base, score, rare, times))
+        base_of = np.log10(n_of + 0.1) - low
+
+        def look(array: np.ndarray, at: np.ndarray, there: np.ndarray, other: float) -> np.ndarray:
+            return np.where(there, array[np.where(there, at, 0)], other)
+
+        for batch in batches:
+            rows, known, odd = [], [], []
+            for text in batch.column("text"):
+                w = codes.of(text.as_py())
+                u = np.concatenate(([size - 1], w[:-1]))
+                ws, ks = np.unique(w, return_counts=True)
+                here = (ws >= 0) & (ws < size)
+                base = float((base_of[ws[here]] * ks[here]).sum())
+                inside = ((u >= 0) & (u < a) | (u == size - 1)) & ((w >= 0) & (w < b) | (w == size - 2))
+                iu, iw = u[inside], w[inside]
+                score = float(log[np.where(iu < a, iu, contexts + 1), np.where(iw < b, iw, heads + 1)].sum(dtype=np.float64))
+                pu, pw, pk = _distinct(u[~inside], w[~inside])
+                cu, cw = (pu >= 0) & (pu < size), (pw >= 0) & (pw < size)
+                both = cu & cw
+                pb, pg = look(back, pu, cu, 1.0 if complete else np.nan), look(seats, pu, cu, 0.0 if complete else np.nan)
+                pr = look(root, pw, cw, m["unseen"] if complete else np.nan)
+                if complete:  # a pair with a word that isn't common was never seen
+                    score += float((np.log10(pb * pr) * pk)[~both].sum())
+                rest = ~both & (not complete)
+                known.append([x[both] for x in (pu, pw, pk, pb * pr, pg)])
+                odd.append([x[rest] for x in (pu, pw, pk, pb, pg, pr)])
+                rows.append((len(w), int((ks[here] * (n_of[ws[here]] > 0)).sum()), base, score, ws[~here].tolist(), ks[~here].tolist()))
             cols = list(zip(*rows, strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *(pa.array(list(x), k) for x, k in zip(cols, kinds, strict=True))], names=["doc_id", "held_out", "n_tokens", "known", "base", "part", "rare", "times"])
+            arrays = [batch.column("doc_id"), batch.column("held_out"), *(pa.array(list(x), t) for x, t in zip(cols, kinds, strict=True))]
+            names = ["doc_id", "held_out", "n_tokens", "known", "base", "part", "rare", "times"]
+            for prefix, lists, own in (("known", known, _KNOWN), ("odd", odd, _ODD)):
+                for i, c in enumerate(own):
+                    arrays.append(_lists([x[i] for x in lists], _ARROW[_LISTS[c]]))
+                    names.append(f"{prefix}_{c}")
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run
 
 
+def _pairs(parts: DataFrame, prefix: str, own: tuple[str, ...]) -> DataFrame:
+    return parts.select("row", F.inline(F.arrays_zip(*[F.col(f"{prefix}_{c}").alias(c) for c in own]))).toDF("row", *own)
+
+
+def _joined(rows: DataFrame, table: DataFrame, on: str, fill: dict[str, float]) -> DataFrame:
+    """Rows whose numbers of ``table`` are missing get them; a word that it lacks was never seen."""
+    names, lacks = list(fill), F.isnan(next(iter(fill)))
+    found = rows.filter(lacks).drop(*names).join(table, on, "left").withColumns({c: F.coalesce(F.col(c).cast("float"), F.lit(x).cast("float")) for c, x in fill.items()})
+    return rows.filter(~lacks).unionByName(found)
+
+
 def score(docs: DataFrame, model: dict, scratch: Scratch) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, base_score, score) for rows of doc_id, text, held_out."""
     spark = docs.sparkSession
     n, v = model["n"], model["v"]
-    shared = spark.sparkContext.broadcast({k: model[k] for k in ("number", "log", "n", "v", "common", "tail")})
+    shared = spark.sparkContext.broadcast({k: model[k] for k in ("codes", "log", "n", "v", "complete", "n_of", "back", "seats", "root", "unseen", "bounds")})
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, part double, rare array<bigint>, times array<bigint>"
+    lists = [f"{p}_{c} array<{_LISTS[c]}>" for p, own in (("known", _KNOWN), ("odd", _ODD)) for c in own]
+    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, part double, rare array<bigint>, times array<bigint>, {', '.join(lists)}"
     parts = docs.select("doc_id", "text", "held_out").mapInArrow(_parts(shared), schema).withColumn("row", F.monotonically_increasing_id())
     parts = scratch.write(parts, "parts")
     words = parts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
+    pairs = _pairs(parts, "known", _KNOWN)
     if model["complete"]:  # a word that isn't common was never seen
         found = words.withColumn("c", F.lit(0).cast("bigint"))
     else:
-        found = words.join(model["counts"].filter(F.col("c") < min(model["common"].values(), default=1 << 62)), "word", "left").withColumn("c", F.coalesce("c", F.lit(0).cast("bigint")))
+        least = float(model["n_of"][:-2].min(initial=math.inf))
+        found = words.join(model["counts"].filter(F.col("c") < least), "word", "left").withColumn("c", F.coalesce("c", F.lit(0).cast("bigint")))
+        odd = _joined(_pairs(parts, "odd", _ODD), model["rare_contexts"], "u", {"b": 1.0, "g": 0.0})
+        odd = _joined(odd, model["rare_words"], "w", {"r": model["unseen"]})
+        pairs = pairs.union(odd.select("row", "u", "w", "k", (F.col("b") * F.col("r")).alias("q"), "g"))
     low = math.log10(n + 0.1 * (v + 1))
-    tn, tv = model["tail"]
-    spelt = F.log10((F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) + (STRENGTH + DISCOUNT * tv) / (tv + 1)) / (STRENGTH + tn))
     more = found.groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("more_known"),
         F.sum(F.col("k") * (F.log10(F.col("c") + 0.1) - low)).alias("more_base"),
-        F.sum(F.col("k") * spelt).alias("more_score"),
     )
-    out = parts.drop("rare", "times").join(more, "row", "left")
+    chance = F.coalesce(F.col("num"), F.lit(0.0)).cast("double") * F.col("g") + F.col("q")
+    scored = pairs.join(model["cells"], ["u", "w"], "left").groupBy("row").agg(F.sum(F.col("k") * F.log10(chance)).alias("more_score"))
+    out = parts.select("doc_id", "held_out", "n_tokens", "known", "base", "part", "row").join(more, "row", "left").join(scored, "row", "left")
     add = lambda a, b, zero: F.col(a) + F.coalesce(b, F.lit(zero))
     return out.select(
         "doc_id", "held_out", "n_tokens", add("known", "more_known", 0).alias("n_known"), add("base", "more_base", 0.0).alias("base_score"), add("part", "more_score", 0.0).alias("score")

@@ -340,6 +340,30 @@ def test_language_model_base_and_normalisation(spark, corpus):
     assert language_model.score(docs.limit(0), model, scratch).count() == 0
 
 
+def test_language_model_keeps_pairs_of_rare_words(spark, monkeypatch):
+    from folioforge.llm.common import Scratch
+
+    monkeypatch.setattr(language_model, "HEAD", 8)
+    monkeypatch.setattr(language_model, "CONTEXTS", 4)
+    rng = random.Random(9)
+    vocab = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(rng.choice(vocab[: 5 + k % 55]) for _ in range(30))) for k in range(60)]
+    rows += [(100 + k, f"ra{k} rb{k} ra{k} rb{k}") for k in range(10)]
+    held = [(200, "ra1 rb1"), (201, "ra1 rb2"), (202, "ra1 never"), (203, "never ra1 rb1 never"), *rows[:20]]
+    tables = lambda x: spark.createDataFrame([(*r, False) for r in x], "doc_id bigint, text string, held_out boolean")
+    got = {}
+    for size in (1 << 18, 40):
+        monkeypatch.setattr(language_model, "COMMON", size)
+        scratch = Scratch(spark)
+        model = language_model.train(tables(rows), scratch)
+        assert model["complete"] == (size > 40)
+        got[size] = {r.doc_id: (r.score, r.n_known) for r in language_model.score(tables(held), model, scratch).collect()}
+        assert got[size][200][0] > got[size][201][0] + 0.5 > got[size][202][0]
+        assert got[size][203][1] == 3
+    few, all_ = got[40], got[1 << 18]
+    assert all(few[i][1] == all_[i][1] and abs(few[i][0] - all_[i][0]) < 0.03 * abs(all_[i][0]) for i in few)
+
+
 def test_seating_bounds():
     rng = np.random.default_rng(0)
     c = np.array([1, 2, 50, 5000, 0])
