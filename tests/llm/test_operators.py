@@ -236,6 +236,21 @@ def test_html_query_columns(spark):
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, "", 0), (1, "x y", 3), (1, "x y", 3), (2, "", 0)]
 
 
+def test_html_boilerplate_of_a_whole_host(spark):
+    rng = random.Random(10)
+    own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(20)) for _ in range(700)]
+    line = "the same notice stands on three pages of this host far apart"
+    pages = [f"<body><div>{line}</div><p>{t}</p></body>" if k in (0, 300, 699) else f"<body><p>{t}</p></body>" for k, t in enumerate(own)]
+    rows = [(k, "http://big.example/p", h) for k, h in enumerate(pages)] + [(1000 + k, f"http://h{k}.example/", pages[0]) for k in range(2)]
+    rows += [(2000, "http://big.example/a", f"<article><p>{line}</p></article>")]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert len(got) == len(rows) and all(got[k] == t for k, t in enumerate(own))
+    assert got[1000] == got[1001] == f"{line}\n{own[0]}" and got[2000] == line
+    host = pages[0], pages[300], pages[699], "<body><p>a <b>b</b></p><nav>n</nav>", pages[5]
+    few = spark.createDataFrame([(k, "http://few.example/", h) for k, h in enumerate(host)], "page_id bigint, url string, html string")
+    assert [r.text for r in html_text.main_text(few).orderBy("page_id").collect()] == html_text.extract(list(host))
+
+
 def test_suffix_array_runs_match_brute_force():
     rng = np.random.default_rng(2)
     tokens, page = rng.integers(0, 3, 300), np.repeat(np.arange(6), 50)
