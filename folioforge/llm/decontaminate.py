@@ -11,7 +11,7 @@ of bounded size and one pass over the documents, so a larger benchmark costs mor
 memory. No document row is shuffled.
 
 Defined cases: null or empty text has no words, is not contaminated and hits no item; an item
-without words is no pattern; repeated rows are scored each for itself; an item whose text occurs
+without words is no pattern, nor is one with a null item_id; repeated rows are scored each for itself; an item whose text occurs
 twice under two ids counts twice; other columns are ignored; empty tables give empty results or rows
 without hits.
 """
