@@ -1,25 +1,27 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Two levels of restaurants. Each context (the word before, any word, or the start of a text) is a
-restaurant whose customers are the words that follow it; all context restaurants share one parent, the
-restaurant of single words, to which every table of a context sends one customer. The parent's own base
-is uniform over the whole vocabulary and one unseen word. All (context, word) cells of the training
-documents are kept, in a distributed table that grows with the corpus.
-
-Seating runs in sweeps: in each, every cell's tables are drawn anew by the Chinese restaurant process
-given its parent's current predictive probabilities, then the parent is seated anew given the tables. A
-cell of one customer always has one table, so only the others are drawn. Context restaurants are
-independent given the parent, so a sweep runs as one distributed pass over cells, grouped by context;
-the ``CONTEXTS`` most frequent contexts are split by word, given the number of their tables in the sweep
-before. Tables and the parent's probabilities are averaged over the sweeps after burn-in; scores are
-sums of log10 of the predictive probabilities that follow.
-
-Pairs of a context among the ``CONTEXTS`` and a word among the ``HEAD`` most frequent are scored from one
-matrix. All other pairs of the documents are joined to the cells, one row for each document and pair.
-
-Counts of all words (64-bit hashes of their bytes) stay distributed. The ``COMMON`` most frequent
-are broadcast, a bound; rarer ones reach the documents by a shuffled join on the word, with one row
-for each document and rare word.
+Two levels of restaurants. A context is a restaurant whose customers are the words that follow it: each
+of the ``COMMON`` most frequent words has one of its own, so has the start of a text, and rarer words
+share ``SHARED`` restaurants by hash. All contexts share one parent, the restaurant of single words, to
+which every table of a context sends one customer. The parent's own base is uniform over the whole
+vocabulary and one unseen word. Every (context, word) cell of the training documents is kept, whatever
+its word, so the tables grow with the corpus; only numbers by context and by common word, arrays of
+bounded size, are broadcast.
+
+Seating is Gibbs sampling by cells: a cell's customers get up and sit down again given all others, so its
+number of tables is drawn from its full conditional, generalised Stirling numbers times the chance of that
+many new tables. Beyond ``EXACT`` customers a cell's further ones sit down by the Chinese restaurant
+process in rounds of an eighth of their number. A cell of one customer has one table. Cells of one sweep
+are drawn side by side, given contexts and parent as the sweep before left them, and the parent's
+restaurant is then seated anew. Draws hash (sweep, cell), so results hang on the data alone and not on
+how they are dealt out. Predictive probabilities are averaged over the sweeps after burn-in by way of
+tables and parent's probabilities. The contexts' discount follows from the counts of cells seen once and twice.
+
+What moves are not rows but blobs: each task sorts the pairs of some two million tokens, deals them to
+buckets by hash and sends a bucket's part as one compressed row. Pairs with a common word go by the hash
+of the pair, others by the word, so a bucket holds all cells of its rarer words, and no key can fill one.
+A bucket's size is set by ``BUCKET``, their number grows with the corpus. Documents are scored likewise:
+their pairs meet the cells by bucket, and each bucket sends sums by document back to the documents' chunk.
 
 Defined cases: null text counts as empty: its only token is the end; a null doc_id's row trains and
 is not held out; repeated rows train as often as they occur and are scored each for itself; other
@@ -29,24 +31,28 @@ columns are ignored; an empty table gives an empty result, and with no training
 from __future__ import annotations
 
 import math
+import struct
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm.common import Scratch, byte_words, crc_mod, table
 
-CONTEXTS, HEAD, COMMON = 1024, 4096, 1 << 18
+COMMON, SHARED = 1 << 18, 1 << 16
 DISCOUNT, STRENGTH = 0.75, 10.0
-SWEEPS, BURN_IN = 5, 2
+SWEEPS, BURN_IN, EXACT = 5, 2, 32
 #: The end of a text, a token that no word equals: words hold no white space.
 END = b"\n"
-FLUSH, TOKENS, BLOCK = 400_000, 1_000_000, 500_000
-PARTS = 32  # of a frequent context
+FLUSH, TOKENS, BUCKET = 400_000, 2_000_000, 2_000_000
+_WORD_BITS, _ROW_BITS = np.uint64(20), np.uint64(24)
+_RARE = 1 << 63
+_GOLD, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
 def word_hash(w: bytes) -> int:
@@ -64,6 +70,59 @@ class Hashes(dict):
         return h
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
+
+
+def _chance(key: np.ndarray, *salt: int) -> np.ndarray:
+    """Numbers in (0, 1) that hang on the key and the salt alone."""
+    for s in salt:
+        key = _mix(key * _GOLD + np.uint64(s + 1))
+    return ((key >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+
+
+# Blobs: some arrays by byte planes, compressed.
+
+
+def _narrow(a: np.ndarray) -> np.ndarray:
+    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
+
+
+def _gaps(a: np.ndarray) -> np.ndarray:
+    """A sorted array by its differences."""
+    return _narrow(np.diff(a, prepend=np.zeros(1, a.dtype)))
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    codec, out = pa.Codec("zstd", compression_level=1), []
+    for a in arrays:
+        planes = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T)
+        body = codec.compress(planes, asbytes=True)
+        out += [struct.pack("<4sQQ", a.dtype.str.encode(), len(a), len(body)), body]
+    return b"".join(out)
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    codec, out, at = pa.Codec("zstd"), [], 0
+    while at < len(blob):
+        kind, n, size = struct.unpack_from("<4sQQ", blob, at)
+        at += 20
+        kind = np.dtype(kind.rstrip(b"\0").decode())
+        planes = np.frombuffer(codec.decompress(blob[at : at + size], n * kind.itemsize, asbytes=True), np.uint8)
+        out.append(np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind).reshape(n))
+        at += size
+    return out
+
+
+def _sorted(gaps: np.ndarray) -> np.ndarray:
+    return np.cumsum(gaps, dtype=np.uint64)
+
+
+# Words and pairs.
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter[bytes] = Counter()
 
@@ -81,151 +140,259 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Codes(dict):
-    """Words to codes, remembered up to a bound: a common word's rank, any other word's hash."""
+    """Words to codes, remembered up to a bound: a common word's rank, else its hash with the top bit set."""
 
-    def __init__(self, ranks: dict[int, int]):
+    def __init__(self, common: np.ndarray):
         super().__init__()
-        self.ranks = ranks
-
-    def __reduce__(self):
-        return Codes, (self.ranks,)
+        self.ranks = {h: i for i, h in enumerate(common.tolist())}
 
     def __missing__(self, w: bytes) -> int:
         if len(self) > 250_000:
             self.clear()
         h = word_hash(w)
-        c = self[w] = self.ranks.get(h, h)
+        c = self[w] = self.ranks[h] if h in self.ranks else h & (_RARE - 1) | _RARE
         return c
 
     def of(self, text: str | None) -> np.ndarray:
         """Codes of a text's tokens."""
         words = [*byte_words(text), END]
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def _contexts(codes: np.ndarray, k: int) -> np.ndarray:
+    """The restaurant of each token of a text: below k a common word's, k the start's, then shared ones."""
+    before = codes[:-1]
+    shared = np.uint64(k + 1) + (before & np.uint64(SHARED - 1))
+    return np.concatenate((np.full(1, k, np.uint64), np.where(before >> np.uint64(63) == 1, shared, before)))
+
+
+def _first(*sorted_by: np.ndarray) -> np.ndarray:
+    """Where a new combination begins in sorted arrays."""
+    new = np.ones(len(sorted_by[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in sorted_by])
+    return np.flatnonzero(new)
 
 
-def _distinct(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs in order, and how often each occurs."""
-    order = np.lexsort((w, u))
-    u, w = u[order], w[order]
-    new = np.ones(len(u), bool)
-    new[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1])
-    first = np.flatnonzero(new)
-    return u[first], w[first], np.diff(np.append(first, len(u)))
+def _dealt(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Columns by bucket, in the order they are in."""
+    order = np.argsort(_narrow(bucket), kind="stable")
+    bucket = bucket[order]
+    starts = _first(bucket)
+    for a, z in zip(starts, np.append(starts, len(bucket))[1:], strict=True):
+        yield int(bucket[a]), [c[order[a:z]] for c in columns]
 
 
-def _count_cells(shared):
-    """Occurrences of (context, word), summed over about TOKENS tokens at a time."""
+def _summed_runs(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, first) if len(first) else values[:0]
+
+
+def _count_pairs(shared):
+    """Blobs of the distinct pairs of about TOKENS tokens, by bucket: 2 b with a common word, else 2 b + 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, start = shared.value["codes"], [shared.value["start"]]
-        us, ws, size = [], [], 0
+        k, parts = shared.value["k"], np.uint64(shared.value["parts"])
+        codes, ws, us, size = Codes(shared.value["common"]), [], [], 0
 
         def out():
-            cols = _distinct(np.concatenate(us), np.concatenate(ws))
-            us.clear()
+            w, u = np.concatenate(ws), np.concatenate(us)
             ws.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["u", "w", "c"])
+            us.clear()
+            own = w < k
+            keys, counts = np.unique(u[own] << _WORD_BITS | w[own], return_counts=True)
+            rows = [(2 * b, pack(_gaps(x), _narrow(c))) for b, (x, c) in _dealt(_mix(keys) % parts, keys, counts)]
+            w, u = w[~own], u[~own]
+            order = np.lexsort((u, w))
+            w, u = w[order], u[order]
+            first = _first(w, u)
+            counts = np.diff(np.append(first, len(w)))
+            w, u = w[first], u[first]
+            rows += [(2 * b + 1, pack(_gaps(x), _narrow(y), _narrow(c))) for b, (x, y, c) in _dealt(w % parts, w, u, counts)]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
 
         for b in batches:
             for t in b.column("text"):
                 w = codes.of(t.as_py())
-                us.append(np.concatenate((start, w[:-1])))
                 ws.append(w)
+                us.append(_contexts(w, k))
                 size += len(w)
                 if size > TOKENS:
                     yield out()
                     size = 0
-        if us:
+        if size:
             yield out()
 
     return run
 
 
-def seat(c: np.ndarray, base: np.ndarray, restaurant: np.ndarray, rng, d: float = DISCOUNT, theta: float = STRENGTH, more=0.0, fixed=None) -> np.ndarray:
-    """Tables of each cell with c customers, drawn by the Chinese restaurant process.
+def _merge(shared):
+    """One bucket's cells, its first state and its numbers by context and common word."""
+
+    def run(key, rows):
+        m, bucket = shared.value, key[0].as_py()
+        k, nc = m["k"], m["contexts"]
+        blobs = [unpack(x.as_py()) for x in rows.column("blob")]
+        c = np.concatenate([b[-1].astype(np.int64) for b in blobs])
+        extra = np.zeros(8)
+        if bucket % 2 == 0:
+            keys = np.concatenate([_sorted(b[0]) for b in blobs])
+            order = np.argsort(keys, kind="stable")
+            keys, c = keys[order], c[order]
+            first = _first(keys)
+            keys, c = keys[first], _summed_runs(c, first)
+            u, w = (keys >> _WORD_BITS).astype(np.int64), (keys & np.uint64((1 << 20) - 1)).astype(np.int64)
+            cells = pack(_gaps(keys), _narrow(c))
+            many = c > 1
+            state = pack(_gaps(keys[many]), _narrow(c[many]), np.ones(many.sum(), np.uint8), np.zeros(many.sum(), np.uint8))
+            words = [np.bincount(w, x, k) for x in (c, c == 1, np.ones(len(c)))]
+        else:
+            w, u = np.concatenate([_sorted(b[0]) for b in blobs]), np.concatenate([b[1].astype(np.int64) for b in blobs])
+            order = np.lexsort((u, w))
+            w, u, c = w[order], u[order], c[order]
+            first = _first(w, u)
+            w, u, c = w[first], u[first], _summed_runs(c, first)
+            cells = pack(_gaps(w), _narrow(u), _narrow(c))
+            own = _first(w)
+            n_cells = np.diff(np.append(own, len(w)))
+            singles = _summed_runs((c == 1).astype(np.int64), own)
+            seated = (n_cells > 1) | (singles == 0)  # a word of a single cell of one customer has one table everywhere
+            place = np.repeat(np.cumsum(seated) - 1, n_cells)
+            many, n = c > 1, seated.sum()
+            state = pack(_gaps(w[own][seated]), _narrow(singles[seated]), _narrow(n_cells[seated]), np.ones(n, np.uint8), np.zeros(n), _gaps(place[many].astype(np.uint64)), _narrow(u[many]), _narrow(c[many]), np.ones(many.sum(), np.uint8), np.zeros(many.sum(), np.uint8))
+            words = [np.zeros(k)] * 3
+            extra[2:5] = len(own), len(own) - n, len(w)
+        extra[:2] = (c == 1).sum(), (c == 2).sum()
+        stats = np.concatenate([*(np.bincount(u, x, nc) for x in (c, c == 1, np.ones(len(c)))), *words, extra]).astype(np.int64)
+        return pa.table({"bucket": pa.array([bucket], pa.int64()), "cells": pa.array([cells], pa.binary()), "state": pa.array([state], pa.binary()), "stats": pa.array([pack(_narrow(stats))], pa.binary())})
 
-    Customers sit down in rounds that grow by an eighth: within a round, the new tables are a binomial
-    draw at the seating before it. The first eight customers sit down one by one. A restaurant has ``more``
-    tables of cells that aren't given; where ``fixed`` is a number, it has that many tables throughout."""
-    tables, seated = np.minimum(c, 1), np.minimum(c, 1)
-    of = np.zeros(int(restaurant.max(initial=-1)) + 1)
-    more = np.broadcast_to(more, c.shape)
-    while True:
-        left = np.flatnonzero(seated < c)
-        if not len(left):
-            return tables
-        total = np.bincount(restaurant, tables, len(of))[restaurant[left]] + more[left]
-        if fixed is not None:
-            total = np.where(np.isnan(fixed[left]), total, fixed[left])
-        step = np.minimum(c[left] - seated[left], np.maximum(1, seated[left] // 8))
-        fresh = (theta + d * total) * base[left]
-        old = seated[left] - d * tables[left]
-        p = fresh / (fresh + old)
-        tables[left] += rng.binomial(step, np.clip(p, 0, 1))
-        seated[left] += step
+    return run
 
 
-_CELL = ["u", "w", "c", "s", "tsum", "r"]
+# Seating.
 
 
-def _sweep(shared):
-    """Seats the contexts of a task, sorted; it has each of them whole, or a part of a frequent one."""
+def stirling(d: float, most: int = EXACT) -> np.ndarray:
+    """Logarithms of generalised Stirling numbers: weights of seatings of n customers at k tables."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[1, 1] = 0
+    for n in range(1, most):
+        for k in range(1, n + 2):
+            stay = out[n, k] + math.log(n - d * k) if k <= n else -math.inf
+            out[n + 1, k] = np.logaddexp(out[n, k - 1], stay)
+    return out
 
-    def seated(u, w, c, s, tsum, r) -> pa.RecordBatch:
-        m = shared.value
-        order = np.lexsort((w, u))
-        u, w, c, s, tsum, r = (x[order] for x in (u, w, c, s, tsum, r))
-        size = len(m["root"])
-        cu, cw = (u >= 0) & (u < size), (w >= 0) & (w < size)
-        r, s, fixed = r.copy(), s.astype(float), np.full(len(u), np.nan)
-        r[cw], s[cu], fixed[cu] = m["root"][w[cw]], m["single"][u[cu]], m["fixed"][u[cu]]
-        rng = np.random.default_rng([m["sweep"], int(u[0]) % (1 << 63), int(w[0]) % (1 << 63)])
-        t = seat(c, r, np.unique(u, return_inverse=True)[1], rng, more=s, fixed=fixed)
-        cols = [u, w, c, s.astype(np.int64), t, tsum + t * m["keep"]]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["u", "w", "c", "s", "t", "tsum"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            held.append([b.column(x).to_numpy(zero_copy_only=False) for x in _CELL])
-            size += b.num_rows
-            if size >= BLOCK:
-                cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-                cut = int(np.flatnonzero(cols[0] == cols[0][-1])[0])
-                if cut:
-                    yield seated(*(x[:cut] for x in cols))
-                held, size = [[x[cut:] for x in cols]], size - cut
-        if held:
-            yield seated(*(np.concatenate(x) for x in zip(*held, strict=True)))
+def _binomial(n: np.ndarray, p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Binomial draws from two even numbers each: by inversion, by the normal curve for means from 12."""
+    mean = n * p
+    out = np.clip(np.rint(mean + np.sqrt(mean * (1 - p)) * np.sqrt(-2 * np.log(a)) * np.cos(2 * np.pi * b)), 0, n)
+    low = np.flatnonzero(mean < 12)
+    m, q, x = n[low], p[low], a[low]
+    pmf = np.exp(m * np.log1p(-np.minimum(q, 1 - 1e-12)))
+    total, got = pmf.copy(), np.zeros(len(low))
+    for j in range(60):
+        above = (x > total) & (got < m)
+        if not above.any():
+            break
+        got += above
+        pmf = pmf * np.maximum(m - j, 0) / (j + 1) * q / np.maximum(1 - q, 1e-12)
+        total = total + pmf
+    out[low] = got
+    return out
 
-    return run
 
+def draw(c: np.ndarray, parent: np.ndarray, tables: np.ndarray, key: np.ndarray, sweep: int, weights: np.ndarray, d: float = DISCOUNT, theta: float = STRENGTH) -> np.ndarray:
+    """Tables of cells with c customers, given the dish's chance at the parent and the restaurant's other tables."""
+    t, most = np.minimum(c, 1).astype(np.int64), len(weights) - 1
+    open_ = theta + d * tables
+    for n in range(2, most + 1):
+        own = np.flatnonzero(c == n) if n < most else np.flatnonzero(c >= n)
+        if len(own):
+            x = np.log(np.maximum(parent[own], 1e-300))[:, None] + np.log(open_[own][:, None] + d * np.arange(n))
+            x = np.cumsum(x, 1) + weights[n, 1 : n + 1]
+            x = np.cumsum(np.exp(x - x.max(1, keepdims=True)), 1)
+            t[own] = 1 + (x[:, :-1] < (_chance(key[own], sweep) * x[:, -1])[:, None]).sum(1)
+    left, seated, turn = np.flatnonzero(c > most), most, 0
+    while len(left):
+        step = np.minimum(c[left] - seated, max(1, seated // 8))
+        fresh = parent[left] * (open_[left] + d * t[left])
+        p = fresh / (fresh + seated - d * t[left])
+        t[left] += _binomial(step, p, _chance(key[left], sweep, turn, 0), _chance(key[left], sweep, turn, 1)).astype(np.int64)
+        seated, turn = seated + max(1, seated // 8), turn + 1
+        left = left[c[left] > seated]
+    return t
+
+
+def share(n, t, customers: float, tables: float, base: float, d: float, theta: float = STRENGTH):
+    """A dish's predictive chance in a restaurant."""
+    return (n - d * t + (theta + d * tables) * base) / (theta + customers)
 
-def _seat_words(base: float, total: float, sweep: int):
-    """Seats words of the parent that aren't common, given its number of tables in the sweep before."""
 
+def _sweep(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        k, nc, d, sweep, keep = m["k"], m["contexts"], m["d"], m["sweep"], m["keep"]
+        weights, own_weights = stirling(d), stirling(DISCOUNT)
+
+        def seat(bucket: int, blob: bytes) -> tuple[bytes, bytes]:
+            extra = np.zeros(2)
+            if bucket % 2 == 0:
+                gaps, c, t, tsum = unpack(blob)
+                keys = _sorted(gaps)
+                u, w = (keys >> _WORD_BITS).astype(np.int64), (keys & np.uint64((1 << 20) - 1)).astype(np.int64)
+                t = draw(c.astype(np.int64), m["root"][w], m["tables"][u] - t, keys, sweep, weights, d)
+                state = gaps, c, _narrow(t), _narrow(tsum.astype(np.int64) + keep * t)
+                by_word = np.bincount(w, t, k)
+            else:
+                words, singles, n, tw, rsum, place, u, c, t, tsum = unpack(blob)
+                at, w = _sorted(place).astype(np.int64), _sorted(words)
+                r = share(n, tw, *m["totals"], m["base"], DISCOUNT)
+                t = draw(c.astype(np.int64), r[at], m["tables"][u] - t, _mix(w[at]) + u.astype(np.uint64), sweep, weights, d)
+                n = singles.astype(np.int64) + np.bincount(at, t, len(w)).astype(np.int64)
+                tw = draw(n, np.full(len(n), m["base"]), np.full(len(n), m["totals"][1]) - tw, w, sweep, own_weights)
+                state = words, singles, _narrow(n), _narrow(tw), rsum + r * m["kept_before"], place, u, c, _narrow(t), _narrow(tsum.astype(np.int64) + keep * t)
+                by_word = np.zeros(k)
+                extra[:] = n.sum(), tw.sum()
+            stats = np.concatenate([np.bincount(u, t, nc), by_word, extra]).astype(np.int64)
+            return pack(*state), pack(_narrow(stats))
+
         for b in batches:
-            if b.num_rows:
-                w, n = b.column("w").to_numpy(), b.column("n").to_numpy()
-                rng = np.random.default_rng([sweep, int(w[0]) % (1 << 63)])
-                t = seat(n, np.full(len(n), base), np.zeros(len(n), np.int64), rng, fixed=np.full(len(n), total))
-                yield pa.RecordBatch.from_arrays([b.column("w"), b.column("s"), b.column("n"), pa.array(t, pa.int64()), b.column("rsum")], names=["w", "s", "n", "t", "rsum"])
+            for bucket, blob in zip(b.column("bucket"), b.column("state"), strict=True):
+                state, stats = seat(bucket.as_py(), blob.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([bucket.as_py()], pa.int64()), pa.array([state], pa.binary()), pa.array([stats], pa.binary())], names=["bucket", "state", "stats"])
 
     return run
 
 
-def predictive(c: np.ndarray, t: np.ndarray, base: np.ndarray, d: float = DISCOUNT, theta: float = STRENGTH) -> np.ndarray:
-    """Probabilities of one restaurant's dishes."""
-    n = c.sum()
-    return (c - d * t + (theta + d * t.sum()) * base) / (theta + n)
+_SLICES = 8
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for b in batches:
+        for x in b.column("stats"):
+            own = unpack(x.as_py())[0].astype(np.int64)
+            total = own if total is None else total + own
+    if total is not None:
+        parts = [pack(_narrow(x)) for x in np.array_split(total, _SLICES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "stats"])
+
+
+def _add_slice(key, rows):
+    total = sum(unpack(x.as_py())[0].astype(np.int64) for x in rows.column("stats"))
+    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "stats": pa.array([pack(_narrow(total))], pa.binary())})
+
 
+def _totals(rows: DataFrame, sizes: list[int]) -> list[np.ndarray]:
+    """The buckets' numbers added up: arrays by context and by common word, of bounded size."""
+    added = rows.select("stats").mapInArrow(_add_up, "slice int, stats binary").groupBy("slice").applyInArrow(_add_slice, "slice int, stats binary")
+    got = [unpack(r.stats)[0].astype(np.int64) for r in sorted(added.collect(), key=lambda r: r.slice)]
+    return np.split(np.concatenate(got) if got else np.zeros(sum(sizes), np.int64), np.cumsum(sizes)[:-1])
 
-def _most_frequent(counts: DataFrame) -> list:
-    """Words from some count upward, as many as fit into COMMON, most frequent first. The count is found
-    from a histogram by eighths of powers of two, so nothing larger than COMMON rows comes to the driver."""
+
+def _most_frequent(counts: DataFrame) -> np.ndarray:
+    """Hashes of the words from some count upward, as many as fit into COMMON, most frequent first. The count is
+    found from a histogram by eighths of powers of two, so nothing larger than COMMON rows comes to the driver."""
     eighth = F.floor(F.log2("c") * 8)
     least, total = None, 0
     for bucket, n in sorted(((r[0], r[1]) for r in counts.groupBy(eighth.alias("b")).count().collect()), reverse=True):
@@ -234,226 +401,219 @@ def _most_frequent(counts: DataFrame) -> list:
             break
         least = bucket
     if least is None:
-        return []
-    return sorted(counts.filter(eighth >= least).collect(), key=lambda r: (-r.c, r.word))
-
-
-def _filled(size: int, rows: DataFrame, kind=np.int64) -> list[np.ndarray]:
-    """Arrays of a table's columns by the code in its first one; common codes alone, so of bounded size."""
-    got, out = rows.toArrow(), []
-    at = got.column(0).to_numpy()
-    for k in range(1, got.num_columns):
-        x = np.zeros(size, kind)
-        x[at] = got.column(k).to_numpy()
-        out.append(x)
-    return out
+        return np.zeros(0, np.int64)
+    got = counts.filter(eighth >= least).toArrow()
+    word, c = got.column("word").to_numpy(), got.column("c").to_numpy()
+    return word[np.lexsort((word, -c))]
 
 
 def train(docs: DataFrame, scratch: Scratch) -> dict:
-    """The model over ``docs`` (text): tables of word counts, cells, rarer contexts and rarer words, arrays
-    of the common ones, and the most frequent pairs' probabilities as one matrix."""
+    """The model over ``docs`` (text): tables of cells and of their seating, by bucket, and arrays by context and
+    common word."""
     spark = docs.sparkSession
     counts = scratch.write(docs.select("text").mapInArrow(_count_words, "word bigint, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "words")
     n, v = counts.agg(F.sum("c"), F.count("c")).first()
     n, v = n or 0, v or 0
-    top = _most_frequent(counts)
-    end = word_hash(END)
-    ranked = [r for r in top if r.word != end]
-    k = len(ranked)  # the end of a text has the code k, its start k + 1
-    size, tail = k + 2, v > k + (n > 0)
-    codes = Codes({r.word: i for i, r in enumerate(ranked)} | {end: k})
-    common = lambda x: (F.col(x) >= 0) & (F.col(x) < size)
-    hot = (F.col("u") >= 0) & (F.col("u") < min(CONTEXTS, k)) | (F.col("u") == k + 1)
-    head = (F.col("w") >= 0) & (F.col("w") < min(HEAD, k)) | (F.col("w") == k)
-
-    shared = spark.sparkContext.broadcast({"codes": codes, "start": k + 1})
-    cells = scratch.write(docs.select("text").mapInArrow(_count_cells(shared), "u bigint, w bigint, c bigint").groupBy("u", "w").agg(F.sum("c").alias("c")), "cells")
-    one, every = F.sum((F.col("c") == 1).cast("bigint")).alias("s"), F.count("c").alias("m")
-    contexts = scratch.write(cells.groupBy("u").agg(F.sum("c").alias("c"), one, every), "contexts")
-    dishes = scratch.write(cells.groupBy("w").agg(one, every), "dishes")
-    c_u, s_u, m_u = _filled(size, contexts.filter(common("u")))
-    s_w, m_w = _filled(size, dishes.filter(common("w")))
-
-    # The parent starts from one table for each cell, and from one table of its own for each word.
-    base, total, n_cells = 1 / (v + 1), float(v), float(contexts.agg(F.sum("m")).first()[0] or 0)
-    share = lambda c, t, cs, ts: (c - DISCOUNT * t + (STRENGTH + DISCOUNT * ts) * base) / (STRENGTH + cs)
-    root, root_sum, unseen_sum, kept = share(m_w, np.minimum(m_w, 1), n_cells, total), np.zeros(size), 0.0, 0
-    tails = dishes.filter(~common("w")).select("w", "s", share(F.col("m"), 1, n_cells, total).alias("r"), F.lit(0.0).alias("rsum"))
-    state = cells.filter("c > 1")
-    if tail:
-        rarer = state.filter(~common("u")).join(contexts.filter(~common("u")).select("u", "s"), "u")
-        state = state.filter(common("u")).withColumn("s", F.lit(0).cast("bigint")).unionByName(rarer)
-    else:
-        state = state.withColumn("s", F.lit(0).cast("bigint"))
-    state = scratch.write(state.select("u", "w", "c", "s", F.lit(0).cast("bigint").alias("tsum")), "seated")
-    fixed = np.full(size, np.nan)
-    fixed[: min(CONTEXTS, k)], fixed[k + 1] = m_u[: min(CONTEXTS, k)], m_u[k + 1]
-    part = F.when(hot, F.pmod(F.xxhash64("w"), F.lit(PARTS))).otherwise(0)
-    rng = np.random.default_rng(7)
+    common = _most_frequent(counts)
+    scratch.drop(counts)
+    k = len(common)
+    nc, parts = k + 1 + SHARED, max(1, -(-n // BUCKET))
+    sizes = {"k": k, "contexts": nc, "parts": parts, "common": common}
+    shared = spark.sparkContext.broadcast(sizes)
+    pairs = docs.select("text").mapInArrow(_count_pairs(shared), "bucket bigint, blob binary")
+    cells = scratch.write(pairs.groupBy("bucket").applyInArrow(_merge(shared), "bucket bigint, cells binary, state binary, stats binary"), "cells")
+    c_u, s_u, tables, c_w, s_w, customers, extra = _totals(cells, [nc, nc, nc, k, k, k, 8])
+    once, twice, rare_words, hapaxes, rare_cells = (int(x) for x in extra[:5])
+    d = min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else DISCOUNT
+
+    # All cells begin with one table, and so do all words at the parent.
+    base, all_t, all_c = 1 / (v + 1), float(v), float(customers.sum() + rare_cells)
+    t_w, keys, weights = np.minimum(customers, 1), common.view(np.uint64), stirling(DISCOUNT)
+    root = share(customers, t_w, all_c, all_t, base, DISCOUNT)
+    root_sum, t_sum, single, unseen, kept, keep = np.zeros(k), np.zeros(nc), 0.0, 0.0, 0, 0
+    state = cells.select("bucket", "state")
     for sweep in range(SWEEPS if n else 0):
-        keep = int(sweep >= BURN_IN)
-        known = spark.sparkContext.broadcast({"root": root, "single": s_u, "fixed": fixed, "sweep": sweep, "keep": keep})
-        rows = state.select("u", "w", "c", "s", "tsum")
-        if tail:
-            rows = rows.filter(common("w")).withColumn("r", F.lit(0.0)).unionByName(rows.filter(~common("w")).join(tails.select("w", "r"), "w"))
-        else:
-            rows = rows.withColumn("r", F.lit(0.0))
-        dealt = rows.repartition("u", part).sortWithinPartitions("u").select(*_CELL)
-        before, state = state, scratch.write(dealt.mapInArrow(_sweep(known), "u bigint, w bigint, c bigint, s bigint, t bigint, tsum bigint"), "seated")
-        scratch.drop(before)
-        tables = F.sum("t").alias("t")
-        customers = s_w + _filled(size, state.filter(common("w")).groupBy("w").agg(tables))[0]
-        t = seat(customers, np.full(size, base), np.zeros(size, np.int64), rng, fixed=np.full(size, total))
-        all_c, all_t = float(customers.sum()), float(t.sum())
-        if tail:
-            own = tails.select("w", "s", "rsum").join(state.filter(~common("w")).groupBy("w").agg(tables), "w", "left")
-            own = own.select("w", "s", (F.col("s") + F.coalesce("t", F.lit(0))).alias("n"), "rsum")
-            seated = scratch.write(own.mapInArrow(_seat_words(base, total, sweep), "w bigint, s bigint, n bigint, t bigint, rsum double"), "tails")
-            more = seated.agg(F.sum("n"), F.sum("t")).first()
-            all_c, all_t = all_c + more[0], all_t + more[1]
-            r = share(F.col("n"), F.col("t"), all_c, all_t)
-            tails = seated.select("w", "s", r.alias("r"), (F.col("rsum") + r * keep).alias("rsum"))
-        total, root = all_t, share(customers, t, all_c, all_t)
+        before, keep = keep, int(sweep >= BURN_IN)
+        known = spark.sparkContext.broadcast({"k": k, "contexts": nc, "d": d, "sweep": sweep, "keep": keep, "kept_before": before, "root": root, "tables": tables, "totals": (all_c, all_t), "base": base})
+        old, state = state, scratch.write(state.mapInArrow(_sweep(known), "bucket bigint, state binary, stats binary"), "state")
+        if sweep:
+            scratch.drop(old)
+        t_u, more, rare = _totals(state, [nc, k, 2])
+        state, kind = state.select("bucket", "state"), state
+        state._scratch_path = kind._scratch_path
+        tables, customers = s_u + t_u, s_w + more
+        t_w = draw(customers, np.full(k, base), all_t - t_w, keys, sweep, weights)
+        all_c, all_t = float(customers.sum() + rare[0] + hapaxes), float(t_w.sum() + rare[1] + hapaxes)
+        root = share(customers, t_w, all_c, all_t, base, DISCOUNT)
         if keep:
-            root_sum, unseen_sum, kept = root_sum + root, unseen_sum + share(0, 0, all_c, all_t), kept + 1
-        seats = s_u + _filled(size, state.filter(hot).groupBy("u").agg(tables))[0]
-        fixed = np.where(np.isnan(fixed), np.nan, seats)
-
-    kept = max(kept, 1)
-    root, unseen = (root_sum, unseen_sum) if n else (root, base)
-    root, unseen = root / kept, unseen / kept
-    mean = (F.sum("tsum") / kept).alias("t")
-    t_u = s_u + _filled(size, state.filter(common("u")).groupBy("u").agg(mean), float)[0]
-    back = lambda c, t: (STRENGTH + DISCOUNT * t) / (STRENGTH + c)
-    num = F.lit(1 - DISCOUNT).alias("num"), (F.col("c") - DISCOUNT * F.col("tsum") / kept).alias("num")
-    final = cells.filter("c = 1").select("u", "w", num[0].cast("float").alias("num")).union(state.select("u", "w", num[1].cast("float").alias("num")))
-    rare_contexts = None
-    if tail:
-        own = contexts.filter(~common("u")).select("u", "c", "s").join(state.filter(~common("u")).groupBy("u").agg(mean), "u", "left")
-        rare_contexts = own.select("u", back(F.col("c"), F.col("s") + F.coalesce("t", F.lit(0.0))).alias("b"), (1 / (STRENGTH + F.col("c"))).alias("g"))
-        rare_contexts = scratch.write(rare_contexts, "rare_contexts")
-    b_u, g_u = back(c_u, t_u), 1 / (STRENGTH + c_u)
-
-    a, b = min(CONTEXTS, k), min(HEAD, k)
-    by_row, to_row, by_column = np.ones(CONTEXTS + 2), np.zeros(CONTEXTS + 2), np.zeros(HEAD + 2)
-    by_row[:a], by_row[-1], to_row[:a], to_row[-1] = b_u[:a], b_u[k + 1], g_u[:a], g_u[k + 1]
-    by_column[:b], by_column[-1] = root[:b], root[k]
-    probs = by_row[:, None] * by_column[None, :]
-    got = final.filter(hot & head).toArrow()  # at most (CONTEXTS + 1) x (HEAD + 1) rows
-    u, w, x = (got.column(c).to_numpy() for c in ("u", "w", "num"))
-    u, w = np.where(u < a, u, CONTEXTS + 1), np.where(w < b, w, HEAD + 1)
-    probs[u, w] += x * to_row[u]
-    probs[:, HEAD] = 1 - probs.sum(1)  # all other words
-    log = np.log10(np.maximum(probs, 1e-30)).astype(np.float32)
-    n_of = np.array([r.c for r in ranked] + [c_u[k + 1], 0], float)
+            kept, root_sum, t_sum = kept + 1, root_sum + root, t_sum + tables
+            single, unseen = single + share(1, 1, all_c, all_t, base, DISCOUNT), unseen + share(0, 0, all_c, all_t, base, DISCOUNT)
+    some = max(kept, 1)
     return {
-        "counts": counts, "codes": codes, "log": log, "n": n, "v": v, "complete": not tail, "n_of": n_of, "back": b_u, "seats": g_u, "root": root, "unseen": float(unseen),
-        "cells": final, "rare_contexts": rare_contexts, "rare_words": tails.select("w", (F.col("rsum") / kept).alias("r")), "bounds": (a, b, CONTEXTS, HEAD),
+        **sizes, "n": n, "v": v, "d": d, "base": base, "totals": (all_c, all_t), "kept": some, "cells": cells.select("bucket", "cells"), "state": state,
+        "root": root_sum / some if kept else root, "single": single / some if kept else base, "unseen": unseen / some if kept else base,
+        "back": (STRENGTH + d * t_sum / some) / (STRENGTH + c_u), "seats": 1 / (STRENGTH + c_u), "c_w": c_w,
     }
 
 
-_KNOWN, _ODD = ("u", "w", "k", "q", "g"), ("u", "w", "k", "b", "g", "r")
-_LISTS = {"u": "bigint", "w": "bigint", "k": "int", "q": "float", "g": "float", "b": "float", "r": "float"}
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "float": pa.float32()}
-
+# Scoring.
 
-def _lists(rows: list[np.ndarray], kind) -> pa.Array:
-    ends = np.cumsum([0, *(len(x) for x in rows)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0), *rows]) if kind == pa.float32() else np.concatenate([np.zeros(0, np.int64), *rows]), kind))
 
-
-def _parts(shared):
-    """Sums over a document's tokens that arrays and the matrix decide; its other words and pairs with their
-    multiplicities. ``known`` pairs lack their cell alone, ``odd`` ones also what hangs on a rarer word."""
+def _post(shared):
+    """Pairs of some documents, a chunk, by bucket with the rows that hold them; and the chunk's own row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        codes, log, n_of, back, seats, root, complete = (m[x] for x in ("codes", "log", "n_of", "back", "seats", "root", "complete"))
-        size, (a, b, contexts, heads) = len(n_of), m["bounds"]
-        low = math.log10(m["n"] + 0.1 * (m["v"] + 1))
-        base_of = np.log10(n_of + 0.1) - low
-
-        def look(array: np.ndarray, at: np.ndarray, there: np.ndarray, other: float) -> np.ndarray:
-            return np.where(there, array[np.where(there, at, 0)], other)
-
-        for batch in batches:
-            rows, known, odd = [], [], []
-            for text in batch.column("text"):
-                w = codes.of(text.as_py())
-                u = np.concatenate(([size - 1], w[:-1]))
-                ws, ks = np.unique(w, return_counts=True)
-                here = (ws >= 0) & (ws < size)
-                base = float((base_of[ws[here]] * ks[here]).sum())
-                inside = ((u >= 0) & (u < a) | (u == size - 1)) & ((w >= 0) & (w < b) | (w == size - 2))
-                iu, iw = u[inside], w[inside]
-                score = float(log[np.where(iu < a, iu, contexts + 1), np.where(iw < b, iw, heads + 1)].sum(dtype=np.float64))
-                pu, pw, pk = _distinct(u[~inside], w[~inside])
-                cu, cw = (pu >= 0) & (pu < size), (pw >= 0) & (pw < size)
-                both = cu & cw
-                pb, pg = look(back, pu, cu, 1.0 if complete else np.nan), look(seats, pu, cu, 0.0 if complete else np.nan)
-                pr = look(root, pw, cw, m["unseen"] if complete else np.nan)
-                if complete:  # a pair with a word that isn't common was never seen
-                    score += float((np.log10(pb * pr) * pk)[~both].sum())
-                rest = ~both & (not complete)
-                known.append([x[both] for x in (pu, pw, pk, pb * pr, pg)])
-                odd.append([x[rest] for x in (pu, pw, pk, pb, pg, pr)])
-                rows.append((len(w), int((ks[here] * (n_of[ws[here]] > 0)).sum()), base, score, ws[~here].tolist(), ks[~here].tolist()))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            arrays = [batch.column("doc_id"), batch.column("held_out"), *(pa.array(list(x), t) for x, t in zip(cols, kinds, strict=True))]
-            names = ["doc_id", "held_out", "n_tokens", "known", "base", "part", "rare", "times"]
-            for prefix, lists, own in (("known", known, _KNOWN), ("odd", odd, _ODD)):
-                for i, c in enumerate(own):
-                    arrays.append(_lists([x[i] for x in lists], _ARROW[_LISTS[c]]))
-                    names.append(f"{prefix}_{c}")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+        k, parts = m["k"], np.uint64(m["parts"])
+        codes, low = Codes(m["common"]), math.log10(m["n"] + 0.1 * (m["v"] + 1))
+        base_of, seen = np.log10(m["c_w"] + 0.1) - low, (m["c_w"] > 0).astype(float)
+        task, number = TaskContext.get().partitionId(), 0
+        ws, us, ids, held, size = [], [], [], [], 0
+
+        def out(kind: pa.DataType):
+            nonlocal number
+            chunk, number = task << 24 | number, number + 1
+            lengths = np.array([len(w) for w in ws], np.int64)
+            w, u, row = np.concatenate(ws), np.concatenate(us), np.repeat(np.arange(len(ws), dtype=np.uint64), lengths)
+            own = w < k
+            at, place = w[own].astype(np.int64), row[own].astype(np.int64)
+            meta = pack(lengths, *(np.bincount(place, x[at], len(ws)).astype(float) for x in (seen, base_of)))
+            rows = []
+            key, times = np.unique((u[own] << _WORD_BITS | w[own]) << _ROW_BITS | row[own], return_counts=True)
+            for b, (x, y) in _dealt(_mix(key >> _ROW_BITS) % parts, key, times):
+                pair, who = x >> _ROW_BITS, x & np.uint64((1 << 24) - 1)
+                first = _first(pair)
+                rows.append((2 * b, pack(_gaps(pair[first]), _narrow(np.diff(np.append(first, len(pair)))), _narrow(who), _narrow(y))))
+            w, key = w[~own], u[~own] << _ROW_BITS | row[~own]
+            order = np.lexsort((key, w))
+            w, key = w[order], key[order]
+            first = _first(w, key)
+            times = np.diff(np.append(first, len(w)))
+            w, key = w[first], key[first]
+            for b, (x, y, z) in _dealt(w % parts, w, key, times):
+                rows.append((2 * b + 1, pack(_gaps(x), _narrow(y >> _ROW_BITS), _narrow(y & np.uint64((1 << 24) - 1)), _narrow(z))))
+            rows.append((-1 - chunk, meta))
+            none = [None] * (len(rows) - 1)
+            cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([0] * len(rows), pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())]
+            cols += [pa.array([*none, [i for part in ids for i in part.to_pylist()]], pa.list_(kind)), pa.array([*none, [i for part in held for i in part.to_pylist()]], pa.list_(pa.bool_()))]
+            for x in (ws, us, ids, held):
+                x.clear()
+            return pa.RecordBatch.from_arrays(cols, names=["bucket", "kind", "chunk", "blob", "ids", "held"])
+
+        kind = None
+        for b in batches:
+            kind, start = b.column("doc_id").type, 0
+            for i, t in enumerate(b.column("text")):
+                w = codes.of(t.as_py())
+                ws.append(w)
+                us.append(_contexts(w, k))
+                size += len(w)
+                if size > TOKENS or i == b.num_rows - 1:
+                    ids.append(b.column("doc_id").slice(start, i + 1 - start))
+                    held.append(b.column("held_out").slice(start, i + 1 - start))
+                    start = i + 1
+                    if size > TOKENS:
+                        yield out(kind)
+                        size = 0
+        if size:
+            yield out(kind)
 
     return run
 
 
-def _pairs(parts: DataFrame, prefix: str, own: tuple[str, ...]) -> DataFrame:
-    return parts.select("row", F.inline(F.arrays_zip(*[F.col(f"{prefix}_{c}").alias(c) for c in own]))).toDF("row", *own)
+def _met(shared, kind: pa.DataType):
+    """A bucket's cells and the documents' pairs: sums by chunk and row."""
+
+    def run(key, rows):
+        m, bucket = shared.value, key[0].as_py()
+        names = ["chunk", "blob", "ids", "held"]
+        if bucket < 0:
+            return rows.select(names)
+        d, kept, low = m["d"], m["kept"], math.log10(m["n"] + 0.1 * (m["v"] + 1))
+        kinds = rows.column("kind").to_pylist()
+        blob = lambda i: unpack(rows.column("blob")[i].as_py())
+        cells, state = (next((blob(i) for i, x in enumerate(kinds) if x == y), None) for y in (1, 2))
+        num = np.zeros(0)
+        if cells is not None:
+            c, tsum = cells[-1].astype(np.int64), state[-1]
+            num = np.where(c > 1, c, 1 - d)
+            num[c > 1] -= d * tsum / kept
+        if bucket % 2 == 0:
+            keys = _sorted(cells[0]) if cells is not None else np.zeros(0, np.uint64)
+        else:
+            keys, words, r, c_of = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(1), np.zeros(1)
+            if cells is not None:
+                w = _sorted(cells[0])
+                own = _first(w)
+                words, place = w[own], np.repeat(np.arange(len(own)), np.diff(np.append(own, len(w))))
+                keys = place.astype(np.uint64) << _ROW_BITS | cells[1].astype(np.uint64)
+                c_of = np.append(_summed_runs(c, own), 0)
+                seated, _, n, tw, rsum, *_ = state
+                r = np.append(np.full(len(words), m["single"]), m["unseen"])
+                r[np.searchsorted(words, _sorted(seated))] = (rsum + share(n, tw, *m["totals"], m["base"], DISCOUNT)) / kept
+            else:
+                r = np.full(1, m["unseen"])
+        out = []
+        for i, x in enumerate(kinds):
+            if x:
+                continue
+            if bucket % 2 == 0:
+                gaps, posts, who, times = blob(i)
+                pair = _sorted(gaps)
+                u, w = (pair >> _WORD_BITS).astype(np.int64), (pair & np.uint64((1 << 20) - 1)).astype(np.int64)
+                parent = m["root"][w]
+            else:
+                gaps, u, who, times = blob(i)
+                w = _sorted(gaps)
+                at = np.searchsorted(words, w)
+                at = np.where((at < len(words)) & (np.append(words, 0)[at] == w), at, len(words))
+                pair, parent, u = at.astype(np.uint64) << _ROW_BITS | u.astype(np.uint64), r[at], u.astype(np.int64)
+            here = np.searchsorted(keys, pair)
+            there = (here < len(keys)) & (np.append(keys, np.uint64(0))[here] == pair)
+            p = m["back"][u] * parent + np.where(there, np.append(num, 0)[here], 0) * m["seats"][u]
+            score, times = np.log10(p), times.astype(float)
+            if bucket % 2 == 0:
+                score = np.repeat(score, posts)
+            who, place = np.unique(who, return_inverse=True)
+            sums = [np.bincount(place, score * times)]
+            if bucket % 2:
+                sums += [np.bincount(place, (c_of[at] > 0) * times), np.bincount(place, (np.log10(c_of[at] + 0.1) - low) * times)]
+            out.append((rows.column("chunk")[i].as_py(), pack(_narrow(who), *sums)))
+        return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.nulls(len(out), pa.list_(kind)), pa.nulls(len(out), pa.list_(pa.bool_()))], names=names)
 
+    return run
 
-def _joined(rows: DataFrame, table: DataFrame, on: str, fill: dict[str, float]) -> DataFrame:
-    """Rows whose numbers of ``table`` are missing get them; a word that it lacks was never seen."""
-    names, lacks = list(fill), F.isnan(next(iter(fill)))
-    found = rows.filter(lacks).drop(*names).join(table, on, "left").withColumns({c: F.coalesce(F.col(c).cast("float"), F.lit(x).cast("float")) for c, x in fill.items()})
-    return rows.filter(~lacks).unionByName(found)
+
+def _finish(rows):
+    """A chunk's documents with the buckets' sums."""
+    own = next(i for i, x in enumerate(rows.column("ids")) if x.is_valid)
+    lengths, known, base = unpack(rows.column("blob")[own].as_py())
+    score = np.zeros(len(lengths))
+    for i, blob in enumerate(rows.column("blob")):
+        if i != own:
+            who, part, *more = unpack(blob.as_py())
+            score[who] += part
+            if more:
+                known[who] += more[0]
+                base[who] += more[1]
+    ids, held = (rows.column(c).combine_chunks()[own].values for c in ("ids", "held"))
+    cols = [ids, held, pa.array(lengths, pa.int64()), pa.array(np.rint(known).astype(np.int64)), pa.array(base), pa.array(score)]
+    return pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
 def score(docs: DataFrame, model: dict, scratch: Scratch) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, base_score, score) for rows of doc_id, text, held_out."""
     spark = docs.sparkSession
-    n, v = model["n"], model["v"]
-    shared = spark.sparkContext.broadcast({k: model[k] for k in ("codes", "log", "n", "v", "complete", "n_of", "back", "seats", "root", "unseen", "bounds")})
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    lists = [f"{p}_{c} array<{_LISTS[c]}>" for p, own in (("known", _KNOWN), ("odd", _ODD)) for c in own]
-    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, part double, rare array<bigint>, times array<bigint>, {', '.join(lists)}"
-    parts = docs.select("doc_id", "text", "held_out").mapInArrow(_parts(shared), schema).withColumn("row", F.monotonically_increasing_id())
-    parts = scratch.write(parts, "parts")
-    words = parts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
-    pairs = _pairs(parts, "known", _KNOWN)
-    if model["complete"]:  # a word that isn't common was never seen
-        found = words.withColumn("c", F.lit(0).cast("bigint"))
-    else:
-        least = float(model["n_of"][:-2].min(initial=math.inf))
-        found = words.join(model["counts"].filter(F.col("c") < least), "word", "left").withColumn("c", F.coalesce("c", F.lit(0).cast("bigint")))
-        odd = _joined(_pairs(parts, "odd", _ODD), model["rare_contexts"], "u", {"b": 1.0, "g": 0.0})
-        odd = _joined(odd, model["rare_words"], "w", {"r": model["unseen"]})
-        pairs = pairs.union(odd.select("row", "u", "w", "k", (F.col("b") * F.col("r")).alias("q"), "g"))
-    low = math.log10(n + 0.1 * (v + 1))
-    more = found.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("k") * (F.log10(F.col("c") + 0.1) - low)).alias("more_base"),
-    )
-    chance = F.coalesce(F.col("num"), F.lit(0.0)).cast("double") * F.col("g") + F.col("q")
-    scored = pairs.join(model["cells"], ["u", "w"], "left").groupBy("row").agg(F.sum(F.col("k") * F.log10(chance)).alias("more_score"))
-    out = parts.select("doc_id", "held_out", "n_tokens", "known", "base", "part", "row").join(more, "row", "left").join(scored, "row", "left")
-    add = lambda a, b, zero: F.col(a) + F.coalesce(b, F.lit(zero))
-    return out.select(
-        "doc_id", "held_out", "n_tokens", add("known", "more_known", 0).alias("n_known"), add("base", "more_base", 0.0).alias("base_score"), add("part", "more_score", 0.0).alias("score")
-    )
+    shared = spark.sparkContext.broadcast({x: y for x, y in model.items() if x not in ("cells", "state")})
+    field = docs.schema["doc_id"].dataType
+    name, kind = field.simpleString(), pa.schema(docs.select("doc_id").limit(0).toArrow().schema).field(0).type
+    columns = f"blob binary, ids array<{name}>, held array<boolean>"
+    none = F.lit(0).cast("bigint").alias("chunk"), F.lit(None).cast(f"array<{name}>").alias("ids"), F.lit(None).cast("array<boolean>").alias("held")
+    rows = docs.select("doc_id", "text", "held_out").mapInArrow(_post(shared), f"bucket bigint, kind int, chunk bigint, {columns}")
+    for number, x in ((1, "cells"), (2, "state")):
+        rows = rows.union(model[x].select("bucket", F.lit(number).alias("kind"), none[0], F.col(x).alias("blob"), *none[1:]))
+    sums = rows.groupBy("bucket").applyInArrow(_met(shared, kind), f"chunk bigint, {columns}")
+    return sums.groupBy("chunk").applyInArrow(_finish, f"doc_id {name}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
 
 
 def perplexity(scored: DataFrame) -> DataFrame:
@@ -465,6 +625,6 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out"))
     model = train(docs.filter(~F.col("held_out")), scratch)
-    return score(docs, model, scratch).select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model["n"]).cast("long").alias("train_tokens"), "base_score", "score"
+    return perplexity(score(docs, model, scratch)).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model["n"]).cast("long").alias("train_tokens"), "base_score", "score", "perplexity"
     )

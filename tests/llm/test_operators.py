@@ -330,7 +330,11 @@ def test_toxicity_finds_sentences(spark):
     assert 0 <= got[900].score < 0.5 and got[900].score == got[901].score and "zz" in text[902][got[902].offending[0]["start"] : got[902].offending[0]["end"]]
 
 
-def test_language_model_base_and_normalisation(spark, corpus):
+def held(spark, rows):
+    return spark.createDataFrame([(*r, False) for r in rows], "doc_id bigint, text string, held_out boolean")
+
+
+def test_language_model_base(spark, corpus):
     from pyspark.sql import functions as F
 
     from folioforge.llm.common import Scratch, crc_mod
@@ -349,43 +353,101 @@ def test_language_model_base_and_normalisation(spark, corpus):
     want = sorted((i or -1, len(w), sum(1 for x in w if counts[x]), round(sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 6)) for i, w in tokens.elements())
     assert model["n"] == n and model["v"] == v
     assert sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
-    probs = 10.0 ** model["log"].astype(float)
-    assert np.allclose(probs.sum(1), 1, atol=1e-3)
     assert sum(r.score for r in got if not r.held_out) > sum(r.base_score for r in got if not r.held_out)
     assert language_model.score(docs.limit(0), model, scratch).count() == 0
+    none = language_model.train(docs.limit(0), scratch)
+    assert none["n"] == 0 and {(r.n_known, r.score) for r in language_model.score(docs, none, scratch).collect()} == {(0, 0.0)}
 
 
-def test_language_model_keeps_pairs_of_rare_words(spark, monkeypatch):
+def test_language_model_scores_match_a_dictionary_of_cells(spark, monkeypatch):
+    """All cells of the written tables, as one dictionary, give every score; contexts and parent sum to 1; few tokens
+    to a chunk and a bucket, other numbers of partitions and other common words leave the sums what they are."""
     from folioforge.llm.common import Scratch
 
-    monkeypatch.setattr(language_model, "HEAD", 8)
-    monkeypatch.setattr(language_model, "CONTEXTS", 4)
     rng = random.Random(9)
     vocab = [f"w{k}" for k in range(60)]
     rows = [(k, " ".join(rng.choice(vocab[: 5 + k % 55]) for _ in range(30))) for k in range(60)]
     rows += [(100 + k, f"ra{k} rb{k} ra{k} rb{k}") for k in range(10)]
-    held = [(200, "ra1 rb1"), (201, "ra1 rb2"), (202, "ra1 never"), (203, "never ra1 rb1 never"), *rows[:20]]
-    tables = lambda x: spark.createDataFrame([(*r, False) for r in x], "doc_id bigint, text string, held_out boolean")
-    got = {}
-    for size in (1 << 18, 40):
+    docs = [(200, "ra1 rb1"), (201, "ra1 rb2"), (202, "ra1 never"), (203, "never ra1 rb1 never"), (204, None), (None, "w1 w2"), *rows[:20]]
+    got, partitions = {}, spark.conf.get("spark.sql.shuffle.partitions")
+    for size, tokens, parts in ((1 << 18, 2_000_000, "4"), (40, 2_000_000, "2"), (40, 300, "7")):
         monkeypatch.setattr(language_model, "COMMON", size)
+        monkeypatch.setattr(language_model, "TOKENS", tokens)
+        monkeypatch.setattr(language_model, "BUCKET", 500)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
         scratch = Scratch(spark)
-        model = language_model.train(tables(rows), scratch)
-        assert model["complete"] == (size > 40)
-        got[size] = {r.doc_id: (r.score, r.n_known) for r in language_model.score(tables(held), model, scratch).collect()}
-        assert got[size][200][0] > got[size][201][0] + 0.5 > got[size][202][0]
-        assert got[size][203][1] == 3
-    few, all_ = got[40], got[1 << 18]
-    assert all(few[i][1] == all_[i][1] and abs(few[i][0] - all_[i][0]) < 0.03 * abs(all_[i][0]) for i in few)
-
-
-def test_seating_bounds():
-    rng = np.random.default_rng(0)
-    c = np.array([1, 2, 50, 5000, 0])
-    t = language_model.seat(c, np.full(5, 0.2), np.zeros(5, np.int64), rng)
-    assert (t <= c).all() and (t[:4] >= 1).all() and t[4] == 0
-    p = language_model.predictive(c, t, np.full(5, 0.2))
-    assert abs(p.sum() - 1) < 1e-9
+        m = language_model.train(held(spark, rows).repartition(int(parts)), scratch)
+        out = language_model.score(held(spark, docs).repartition(int(parts)), m, scratch).collect()
+        got[size, tokens] = {r.doc_id: (r.score, r.n_known) for r in out}
+        assert len(out) == len(docs)
+
+        k, cells, parent, states = m["k"], {}, {}, {r.bucket: language_model.unpack(r.state) for r in m["state"].collect()}
+        for r in m["cells"].collect():
+            one, state = language_model.unpack(r.cells), states[r.bucket]
+            c = one[-1].astype(int)
+            num = c - m["d"]
+            num[c > 1] = c[c > 1] - m["d"] * state[-1] / m["kept"]
+            keys = language_model._sorted(one[0])
+            if r.bucket % 2:
+                pairs = list(zip(one[1].tolist(), keys.tolist(), strict=True))
+                many = dict(zip(language_model._sorted(state[0]).tolist(), (state[4] + language_model.share(state[2], state[3], *m["totals"], m["base"], language_model.DISCOUNT)) / m["kept"], strict=True))
+                parent |= {w: many.get(w, m["single"]) for w in keys.tolist()}
+            else:
+                pairs = [(x >> 20, x & (1 << 20) - 1) for x in keys.tolist()]
+            assert not cells.keys() & set(pairs)
+            cells |= dict(zip(pairs, num, strict=True))
+        parent |= dict(enumerate(m["root"]))
+        assert abs(sum(parent.values()) + m["unseen"] - 1) < 1e-6
+        mass = collections.Counter()
+        for (u, _), x in cells.items():
+            mass[u] += x
+        assert all(abs(x * m["seats"][u] + m["back"][u] - 1) < 1e-6 for u, x in mass.items())
+        codes = language_model.Codes(m["common"])
+        for i, t in docs:
+            w = codes.of(t)
+            u = language_model._contexts(w, k)
+            want = sum(math.log10(m["back"][a] * parent.get(b, m["unseen"]) + cells.get((a, b), 0) * m["seats"][a]) for a, b in zip(u.tolist(), w.tolist(), strict=True))
+            assert abs(got[size, tokens][i][0] - want) < 1e-6
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    for one in got.values():
+        assert one[200][0] > one[201][0] + 0.5 > one[202][0] and one[203][1] == 3
+    few, again, all_ = got[40, 2_000_000], got[40, 300], got[1 << 18, 2_000_000]
+    assert all(few[i][1] == again[i][1] and abs(few[i][0] - again[i][0]) < 1e-9 for i in few)
+    assert all(few[i][1] == all_[i][1] and abs(few[i][0] - all_[i][0]) < 0.05 * abs(all_[i][0]) for i in few)
+
+
+def test_seating_follows_its_full_conditional():
+    """Against all seatings of a cell's customers, enumerated; large cells against seating one by one."""
+    d, theta, r, others = 0.6, 2.0, 0.3, 3
+    weights = language_model.stirling(d)
+    exact = collections.Counter()
+
+    def seat(n, sizes, p):
+        if n == 0:
+            exact[len(sizes)] += p
+            return
+        seat(n - 1, [*sizes, 1], p * (theta + d * (others + len(sizes))) * r)
+        for i, x in enumerate(sizes):
+            seat(n - 1, [*sizes[:i], x + 1, *sizes[i + 1 :]], p * (x - d))
+
+    seat(5, [], 1.0)
+    many = 40_000
+    keys = np.arange(many, dtype=np.uint64)
+    t = language_model.draw(np.full(many, 5), np.full(many, r), np.full(many, others), keys, 1, weights, d, theta)
+    total = sum(exact.values())
+    for n, p in exact.items():
+        assert abs((t == n).mean() - p / total) < 0.01
+    c = np.array([0, 1, 2, 40, 50_000])
+    t = language_model.draw(c, np.full(5, 0.2), np.zeros(5, np.int64), keys[:5], 0, weights, d)
+    assert t[0] == 0 and t[1] == 1 and (t <= c).all() and (t[1:] >= 1).all()
+    few = language_model._binomial(np.full(many, 20), np.full(many, 0.1), language_model._chance(keys, 1), language_model._chance(keys, 2))
+    big = language_model._binomial(np.full(many, 900), np.full(many, 0.1), language_model._chance(keys, 3), language_model._chance(keys, 4))
+    assert abs(few.mean() - 2) < 0.05 and abs(few.var() - 1.8) < 0.1 and abs(big.mean() - 90) < 0.3 and abs(big.var() - 81) < 3
+
+
+def test_blobs_round_trip():
+    a = [np.array([], np.uint64), np.array([3, 3, 2**63], np.uint64), np.array([1.5, -2.0]), np.array([7], np.uint8)]
+    assert all((x == y).all() and x.dtype == y.dtype for x, y in zip(a, language_model.unpack(language_model.pack(*a)), strict=True))
 
 
 def test_sha_of_no_items():
