@@ -1,6 +1,6 @@
 """Near-duplicate lines by an exact set-similarity join, in DataFrame operations alone.
 
-A line is the set of its words, each a number: the class of its rarity above the bits
+A line is the set of its words, each a number: the class of its rarity above 57 bits
 of its hash. Rarity is the number of occurrences in the whole corpus, counted in 2^BUCKETS buckets of
 hashes, a table of fixed size that a scalar subquery brings to the tasks; any two words are thereby
 ordered alike everywhere, which is all that exactness needs. Lines with equal sets are one class and
@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.common import SPACE, Scratch, table
 
-PERCENT, LEAST, BUCKETS, SHIFT = 90, 5, 22, 7
-_BITS = 24  # of the bitmap that says which lines may stand in a pair: 2 MB
+PERCENT, LEAST, BUCKETS, SHIFT = 90, 5, 20, 7
+_BITS = 22  # of the bitmap that says which lines may stand in a pair: 512 KB
 
 
-def _words(text: Column) -> Column:
-    """Words of a text, perhaps with an empty one at either end."""
-    return F.split(text, r"[\x20\x09-\x0D]+", -1)
+def _words(line: Column) -> Column:
+    """Words of a line, and empty ones where white space stands at an end or twice."""
+    return F.when(line.rlike(r"[\x09-\x0D]"), F.split(line, r"[\x20\x09-\x0D]+", -1)).otherwise(F.split(line, " ", -1))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -47,11 +47,14 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def rarity(docs: DataFrame) -> DataFrame:
-    """One row with an array of 2^BUCKETS numbers: the whole part of log2 of a bucket's occurrences."""
-    words = docs.filter(F.col("text").isNotNull()).select(F.explode(_words(F.col("text"))).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << BUCKETS) - 1)).alias("id")).count()
+    """One row with an array of 2^BUCKETS numbers, by the top bits of a word's hash. Exclusive or with the hash
+    puts the word's rarity, the whole part of log2 of its bucket's occurrences, in place of the top SHIFT bits."""
+    lines = docs.filter(F.col("text").isNotNull()).select(F.explode(F.split("text", "\n", -1)).alias("line"))
+    words = lines.select(F.explode(_words(F.col("line"))).alias("w"))
+    counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - BUCKETS).alias("id")).count()
     every = docs.sparkSession.range(1 << BUCKETS).join(counts, "id", "left")
-    return _array_of(every.select("id", F.coalesce(F.floor(F.log2("count")), F.lit(0)).cast("tinyint").alias("k")), "k")
+    rank = F.coalesce(F.floor(F.log2("count")), F.lit(0)).bitwiseXOR(F.shiftright("id", BUCKETS - SHIFT))
+    return _array_of(every.select("id", F.shiftleft(rank, 64 - SHIFT).alias("k")), "k")
 
 
 def _array_of(cells: DataFrame, name: str) -> DataFrame:
@@ -62,15 +65,9 @@ def _array_of(cells: DataFrame, name: str) -> DataFrame:
 
 def _numbers(line: Column, rare: Column) -> Column:
     """A line's word numbers, rarest first."""
-    mask, top = F.lit((1 << BUCKETS) - 1), 64 - SHIFT
-
-    def number(w: Column) -> Column:
-        h = F.xxhash64(w)
-        rank = F.coalesce(F.get(rare, h.bitwiseAND(mask).cast("int")), F.lit(0).cast("tinyint")).cast("bigint")
-        return F.shiftleft(rank, top).bitwiseOR(F.shiftrightunsigned(h, SHIFT))
-
+    words = F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     # One reference to the table: two would make Spark copy it into each row.
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(_words(line), ""), number)))
+    return F.sort_array(F.transform(words, lambda h: h.bitwiseXOR(F.get(rare, F.shiftrightunsigned(h, 64 - BUCKETS).cast("int")))))
 
 
 def _parity(numbers: Column) -> Column:
@@ -113,15 +110,15 @@ _PAIR = ["a_doc", "a_line", "a_h", "b_doc", "b_line", "b_h"]
 
 def _verified(pairs: DataFrame, docs: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
     """The pairs of lines whose full sets are similar enough. Sets are made anew from the texts, and only
-    of lines that a bitmap of fixed size says may stand in a pair; they are told apart by their hash."""
-    spot = lambda doc, line: F.pmod(F.xxhash64(doc, line), F.lit(1 << _BITS))
-    ends = pairs.select(F.explode(F.array(spot("a_doc", "a_line"), spot("b_doc", "b_line"))).alias("s"))
+    of documents and lines that a bitmap of fixed size says may stand in a pair; they are told apart by their hash."""
+    spot = lambda *of: F.pmod(F.xxhash64(*of), F.lit(1 << _BITS))
+    ends = pairs.select(F.explode(F.array(spot("a_doc", "a_line"), spot("b_doc", "b_line"), spot("a_doc"), spot("b_doc"))).alias("s"))
     words = ends.groupBy(F.shiftright("s", 6).alias("id")).agg(F.expr("bit_or(shiftleft(1L, CAST(s % 64 AS INT)))").alias("bits"))
     every = docs.sparkSession.range(1 << (_BITS - 6)).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))
     bitmap = _array_of(every, "bits").scalar()
-    lines = _lines(docs).withColumn("s", spot("doc_id", "line_no"))
-    bit = F.call_function("shiftright", F.get(bitmap, F.shiftright("s", 6).cast("int")), (F.col("s") % 64).cast("int")).bitwiseAND(F.lit(1))
-    sets = lines.filter(bit == 1).withColumn("__rare", rare.scalar()).select(F.col("doc_id").alias("doc"), F.col("line_no").alias("line"), _numbers(F.col("line"), F.col("__rare")).alias("e"))
+    bit = lambda s: F.call_function("shiftright", F.get(bitmap, F.shiftright(s, 6).cast("int")), (s % 64).cast("int")).bitwiseAND(F.lit(1))
+    likely = docs.filter(F.col("doc_id").isNotNull()).filter(bit(spot(F.col("doc_id").cast("bigint"))) == 1)
+    sets = _lines(likely).filter(bit(spot("doc_id", "line_no")) == 1).withColumn("__rare", rare.scalar()).select(F.col("doc_id").alias("doc"), F.col("line_no").alias("line"), _numbers(F.col("line"), F.col("__rare")).alias("e"))
     sets = sets.withColumn("h", F.xxhash64("e"))
     one = lambda k: sets.select(*[F.col(c).alias(f"{k}_{c}") for c in ("doc", "line", "h", "e")])
     both = pairs.join(one("b"), ["b_doc", "b_line", "b_h"]).join(one("a"), ["a_doc", "a_line", "a_h"])
