@@ -61,6 +61,24 @@ def highlight_colour(name: Column) -> Column:
     return F.try_element_at(literal_map(HIGHLIGHTS), name)
 
 
+def highlight_name(colour: Column) -> Column:
+    """The name of a highlight colour, null if none has it."""
+    return F.try_element_at(literal_map({v: k for k, v in HIGHLIGHTS.items()}), F.upper(colour))
+
+
+def picture_media_type(extension: Column) -> Column:
+    more = {"jpeg": "image/jpeg", "tiff": "image/tiff"}
+    return F.coalesce(F.try_element_at(literal_map({v: k for k, v in PICTURES.items()} | more), F.lower(extension)), F.lit("application/octet-stream"))
+
+
+def field_instruction(kind: Column) -> Column:
+    """The instruction that names a field type, null for custom fields."""
+    names: dict[str, str] = {}
+    for start, name in FIELDS:
+        names.setdefault(name, start)
+    return F.try_element_at(literal_map(names), kind)
+
+
 def picture_extension(media_type: Column) -> Column:
     return F.coalesce(F.try_element_at(literal_map(PICTURES), media_type), F.lit("bin"))
 

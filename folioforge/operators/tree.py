@@ -41,24 +41,41 @@ def children(nodes: DataFrame) -> DataFrame:
     return own.select("doc_id", F.col("parent_id").alias("node_id"), F.size("kids").cast("long").alias("n_children"), "kids")
 
 
-def intervals(nodes: DataFrame) -> DataFrame:
-    """Adds ``pos``, a node's place in document order, and ``ancestors``, ids from the root down to its
-    parent. Readers hand out ids in document order, so the place is the rank of the id, and the ancestor
-    of a depth is the last node of that depth before. Trees are at most nine levels deep."""
+def intervals(nodes: DataFrame, deepest: int | None = None) -> DataFrame:
+    """Adds ``pos``, a node's place in document order, ``above``, its ancestors from the root down to its
+    parent (pos, node_id, node_type and, where there is one, revision_type), and ``ancestors``, their ids.
+    Readers hand out ids in document order, so the place is the rank of the id, and the ancestor of a depth
+    is the last node of that depth before. ``deepest`` is the largest depth, counted if it isn't given."""
+    if deepest is None:
+        deepest = nodes.agg(F.max("depth")).first()[0] or 0
     order = W.partitionBy("doc_id").orderBy("node_id")
     placed = nodes.withColumn("pos", (F.row_number().over(order) - 1).cast("long"))
     path = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return placed.withColumn("ancestors", F.array(*[F.last(F.when(F.col("depth") == d, F.struct("pos", "node_id")), ignorenulls=True).over(path) for d in range(9)])).withColumn(
-        "ancestors", F.transform(F.slice("ancestors", F.lit(1), F.col("depth").cast("int")), lambda x: x["node_id"])
-    )
+    own = F.struct("pos", "node_id", "node_type", *(["revision_type"] if "revision_type" in nodes.columns else []))
+    levels = [F.last(F.when(F.col("depth") == d, own), ignorenulls=True).over(path) for d in range(max(int(deepest), 1))]
+    placed = placed.withColumn("above", F.array(*levels))
+    placed = placed.withColumn("above", F.slice("above", F.lit(1), F.col("depth").cast("int")))
+    return placed.withColumn("ancestors", F.transform("above", lambda x: x["node_id"]))
 
 
-def descendants(nodes: DataFrame) -> DataFrame:
+def descendants(nodes: DataFrame, deepest: int | None = None) -> DataFrame:
     """(doc_id, node_id, n_descendants): an equi-join-free count by exploding each node's ancestors."""
-    up = intervals(nodes).select("doc_id", F.explode("ancestors").alias("node_id"))
+    up = intervals(nodes, deepest).select("doc_id", F.explode("ancestors").alias("node_id"))
     return up.groupBy("doc_id", "node_id").agg(F.count("*").alias("n_descendants"))
 
 
+def is_descendant(pairs: DataFrame, nodes: DataFrame, deepest: int | None = None) -> DataFrame:
+    """Adds ``below`` to pairs (doc_id, node_id, ancestor_id): whether the ancestor stands above the node."""
+    paths = intervals(nodes, deepest).select("doc_id", "node_id", "ancestors")
+    both = pairs.join(paths, ["doc_id", "node_id"], "left")
+    return both.select(*pairs.columns, F.coalesce(F.array_contains("ancestors", F.col("ancestor_id")), F.lit(False)).alias("below"))
+
+
+def roots(nodes: DataFrame) -> DataFrame:
+    """(doc_id, root_id, body_id): the node without parent and the first Body."""
+    return nodes.groupBy("doc_id").agg(F.min(F.when(F.col("parent_id").isNull(), F.col("node_id"))).alias("root_id"), F.min(F.when(F.col("node_type") == "Body", F.col("node_id"))).alias("body_id"))
+
+
 def grammar_violations(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, parent_type, node_type) of nodes that may not stand where they stand."""
     parents = nodes.select("doc_id", F.col("node_id").alias("parent_id"), F.col("node_type").alias("parent_type"))
@@ -66,10 +83,12 @@ def grammar_violations(nodes: DataFrame) -> DataFrame:
     return pairs.join(F.broadcast(grammar(nodes.sparkSession)), ["parent_type", "node_type"], "left_anti").select("doc_id", "node_id", "parent_type", "node_type")
 
 
-def plain_text(nodes: DataFrame) -> DataFrame:
-    """(doc_id, text): texts of paragraphs in document order; empty paragraphs leave at most a last line end."""
-    para = F.get("ancestors", F.lit(2))
-    rows = intervals(nodes).select("doc_id", "pos", F.when(F.col("node_type") == "Paragraph", F.col("node_id")).otherwise(para).alias("para"), "text").filter("para IS NOT NULL")
+def plain_text(nodes: DataFrame, deepest: int | None = None) -> DataFrame:
+    """(doc_id, text): texts of paragraphs, those of table cells too, in document order; empty paragraphs
+    leave at most a last line end."""
+    near = F.filter("above", lambda x: x["node_type"] == "Paragraph")
+    para = F.when(F.col("node_type") == "Paragraph", F.col("node_id")).otherwise(F.get(near, F.size(near) - 1)["node_id"])
+    rows = intervals(nodes, deepest).select("doc_id", "pos", para.alias("para"), "text").filter("para IS NOT NULL")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))), "")
     paras = rows.groupBy("doc_id", "para").agg(joined.alias("t"))
     each = F.transform(F.array_sort(F.collect_list(F.struct("para", "t"))), lambda x: x["t"])
@@ -78,11 +97,13 @@ def plain_text(nodes: DataFrame) -> DataFrame:
     return texts.select("doc_id", F.concat(F.array_join(full, "\n"), F.when((F.size(full) > 0) & (F.element_at("ts", -1) == ""), "\n").otherwise("")).alias("text"))
 
 
-def style_chains(styles: DataFrame, depth: int = 32) -> DataFrame:
+def style_chains(styles: DataFrame) -> DataFrame:
     """(doc_id, style_id, chain): a style and its parents, nearest first; a cycle ends the chain.
 
-    ``styles`` has doc_id, style_id, parent_id. Each round doubles the reach of a pointer, so chains of
-    ``depth`` need few joins; parents that do not exist end a chain too."""
+    ``styles`` has doc_id, style_id, parent_id. Each round doubles the reach of a pointer, until it is as
+    long as the largest number of styles of a document, so chains of any length need few joins; parents
+    that do not exist end a chain too."""
+    depth = styles.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 1
     now = styles.select("doc_id", "style_id", F.array("style_id").alias("chain"), F.col("parent_id").alias("next"))
     reach = 1
     while reach < depth:

@@ -182,14 +182,14 @@ def package_parts(docs: DataFrame) -> DataFrame:
 def register(spark: SparkSession) -> None:
     """SQL functions: ff_extract_text(bytes, format), ff_convert(bytes, from, to), ff_nodes(bytes, format).
 
-    All are Arrow-optimised; a bad document gives null."""
+    The first two are Arrow-optimised; a bad document gives null, or no node."""
     spark.udf.register("ff_extract_text", F.udf(lambda b, f: attempt(lambda: _write(_read(b, f), "plain").decode())[0], T.StringType(), useArrow=True))
     spark.udf.register("ff_convert", F.udf(lambda b, f, t: attempt(lambda: _write(_read(b, f), t))[0], T.BinaryType(), useArrow=True))
 
     @F.udtf(returnType=model.NODE)
     class Nodes:
         def eval(self, data: bytes, fmt: str):
-            for r in model.to_rows(_read(data, fmt)):
+            for r in attempt(lambda: model.to_rows(_read(data, fmt)))[0] or ():
                 yield r["node_id"], r["parent_id"], r["child_ix"], r["depth"], r["node_type"], r["text"], dict(r["attrs"])
 
     spark.udtf.register("ff_nodes", Nodes)

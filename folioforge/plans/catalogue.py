@@ -110,7 +110,7 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NODES = f"""{_LINES},
-para AS (SELECT *, 2 + coalesce(sum(CASE WHEN content = '' THEN 1 ELSE 3 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM lines),
+para AS (SELECT *, 2 + coalesce(CAST(sum(CASE WHEN content = '' THEN 1 ELSE 3 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS p FROM lines),
 nodes AS (
   SELECT doc_id, 0 AS node_id, CAST(NULL AS BIGINT) AS parent_id, 0 AS child_ix, 0 AS depth, 'Document' AS node_type, CAST(NULL AS VARCHAR) AS text FROM para WHERE line_no = 0
   UNION ALL SELECT doc_id, 1, 0, 0, 1, 'Body', NULL FROM para WHERE line_no = 0
@@ -145,7 +145,7 @@ up AS (SELECT doc_id, CAST(parent_id AS BIGINT) AS anc, CAST(node_id AS BIGINT)
 SELECT doc_id, anc AS node_id, count(*) AS n_descendants FROM up GROUP BY ALL""",
 )
 def descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.descendants(plain.nodes(lined(spark, sf_dir)))
+    return tree.descendants(plain.nodes(lined(spark, sf_dir)), 4)
 
 
 _GRAMMAR = ", ".join(f"('{p}', '{c}')" for p, cs in tree.GRAMMAR.items() for c in cs.split())
@@ -154,7 +154,7 @@ _GRAMMAR = ", ".join(f"('{p}', '{c}')" for p, cs in tree.GRAMMAR.items() for c i
 @query(
     "grammar_violations",
     f"""WITH {_NODES}, g(parent_type, node_type) AS (VALUES {_GRAMMAR}),
-o AS (SELECT doc_id, node_id, parent_id, CASE WHEN node_type = 'Run' AND node_id % 7 = 0 THEN 'TableCell' ELSE node_type END AS node_type FROM nodes)
+o AS MATERIALIZED (SELECT doc_id, node_id, parent_id, CASE WHEN node_type = 'Run' AND node_id % 7 = 0 THEN 'TableCell' ELSE node_type END AS node_type FROM nodes)
 SELECT a.doc_id, CAST(a.node_id AS BIGINT) AS node_id, b.node_type AS parent_type, a.node_type
 FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.parent_id = b.node_id
 WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.parent_type = b.node_type AND g.node_type = a.node_type)""",
@@ -172,7 +172,7 @@ SELECT doc_id, coalesce(string_agg(content, chr(10) ORDER BY line_no) FILTER (WH
 FROM lines GROUP BY doc_id""",
 )
 def nodes_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.plain_text(plain.nodes(lined(spark, sf_dir)))
+    return tree.plain_text(plain.nodes(lined(spark, sf_dir)), 4)
 
 
 @query("headings", f"WITH {_LINES} SELECT doc_id, line_no, level, content AS title FROM lines WHERE kind = 'heading'")

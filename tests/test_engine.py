@@ -210,7 +210,7 @@ def test_queries_match_their_sql(spark):
     import duckdb
 
     import __spark_entry__ as entry
-    from folioforge.plans import catalogue
+    from folioforge.plans import catalogue, node_queries  # noqa: F401  (registers more)
 
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split():
