@@ -25,7 +25,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import table
+from folioforge.llm.common import Scratch, table
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: Base kinds in the order of the listing.
@@ -165,9 +165,11 @@ def fit(rows: list[tuple[tuple[str, int, int, int], float, int]], steps: int = 3
     return bias, dict(w)
 
 
-def find(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """(doc_id, t, email, ip, card, phone, added): base spans, and accepted candidates with kinds."""
+def find(docs: DataFrame, least: float = 0.5, texts: bool = True) -> DataFrame:
+    """(doc_id, t, email, ip, card, phone, added): base spans, and accepted candidates with kinds. Patterns run
+    once: what they find is written, with the texts ``t`` only if they are asked for."""
     spans = candidates(base_spans(docs))
+    spans = Scratch(docs.sparkSession).write(spans if texts else spans.drop("t"), "spans")
     one = F.explode("c").alias("x")
     votes = spans.select(one).groupBy(*[F.col(f"x.{c}").alias(c) for c in ("kind", "size", "a", "b", "d", "e")]).count().collect()  # by pattern: a few thousand rows at most
     by_vote: dict[tuple[int, ...], int] = defaultdict(int)
@@ -224,7 +226,7 @@ def mask(docs: DataFrame, spans: DataFrame | None = None) -> DataFrame:
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find(table(spark, sf_dir, "documents"))
+    found = find(table(spark, sf_dir, "documents"), texts=False)
     found = found.withColumn("base", F.concat(*[F.transform(k, _said(k)) for k in BASE]))
     more = F.concat("base", *[F.transform(F.filter("added", _of_kind(k)), _said(k)) for k in _CANDIDATE])
     return found.select(
