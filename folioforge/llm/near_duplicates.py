@@ -263,9 +263,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, one row of each; rows without doc_id stay."""
-    keep = near_duplicates(docs).filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates().select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """The documents that are kept, one row of each; rows without doc_id stay. Only rows whose doc_id occurs
+    again are compared with each other in all columns, so texts move once."""
+    rows = near_duplicates(docs).filter(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.count("*") > 1).alias("__again"))
+    kept = docs.join(rows, "doc_id").select(*docs.columns, "__again")
+    once, again = kept.filter(~F.col("__again")).drop("__again"), kept.filter("__again").drop("__again").dropDuplicates()
+    return once.unionByName(again).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
