@@ -1,17 +1,18 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
 Patterns are the windows of ``window`` consecutive words of each benchmark item; an item with
-fewer words is one pattern. Patterns of one length share three tables: a block shift table tells
+fewer words is one pattern. Patterns of one length share three tables: a block shift table, by hash, tells
 how far the search may jump when the last two words of its window end no pattern, a suffix table
 holds the patterns by their last block, keyed again by their first block, and a direct comparison
 confirms each occurrence.
 
 The benchmark is cut into chunks of at most ``chunk_bytes`` of text. Each chunk becomes one broadcast
-of bounded size and one pass over the documents, so a larger benchmark costs more passes, not more
-memory. No document row is shuffled.
+of bounded size, flat arrays and one dictionary of its words, and one pass over the documents, so a larger
+benchmark costs more passes, not more memory. No document row is shuffled.
 
 Defined cases: null or empty text has no words, is not contaminated and hits no item; an item
-without words is no pattern, nor is one with a null item_id; repeated rows are scored each for itself; an item whose text occurs
+without words is no pattern; the windows of an item without item_id hit words, but it is neither counted nor
+listed among the items; repeated rows are scored each for itself; an item whose text occurs
 twice under two ids counts twice; other columns are ignored; empty tables give empty results or rows
 without hits.
 """
@@ -22,6 +23,7 @@ import hashlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,82 +34,112 @@ from folioforge.llm.common import Scratch, table
 WORD_TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES, HASH_BITS = 8 << 20, 20
 
 
 def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_TABLE).split() if text else []
 
 
+def _block_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - HASH_BITS)
+
+
 class LengthGroup:
-    """Wu-Manber tables for patterns of one length, over word numbers (0: in no pattern)."""
-
-    def __init__(self, m: int, patterns: dict[tuple[int, ...], list[int]], base: int):
-        self.m, self.base, self.block = m, base, min(2, m)
-        self.default = m - self.block + 1
-        self.shift: dict[int, int] = {}
-        self.suffix: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-        for p, items in patterns.items():
-            for end in range(self.block, m + 1):
-                key = self._key(p, end - 1)
-                self.shift[key] = min(self.shift.get(key, self.default), m - end)
-            self.suffix[self._key(p, m - 1)][self._key(p, self.block - 1)].append((p, items))
-        self.suffix = {k: dict(v) for k, v in self.suffix.items()}
-
-    def _key(self, ids, i: int) -> int:
-        return ids[i] if self.block == 1 else ids[i - 1] * self.base + ids[i]
-
-    def search(self, ids: list[int]) -> Iterator[tuple[int, list[int]]]:
-        """Starts of occurrences, with the items of the pattern found there."""
-        m, base, two, shift, default, n = self.m, self.base, self.block == 2, self.shift, self.default, len(ids)
-        i = m - 1
+    """Wu-Manber tables for patterns of one length, over word numbers (0: in no pattern), in flat arrays.
+
+    A pattern is a place in ``words``, the numbers of all items one after another. ``shift`` says by the hash
+    of a block how far the search may jump, the least of what its blocks allow; ``keys`` are the suffix blocks
+    of all patterns in order, each with the pattern's first block, place and item."""
+
+    def __init__(self, m: int, words: np.ndarray, places: np.ndarray, items: np.ndarray):
+        self.m, self.block, self.words = m, min(2, m), words
+        self.shift = np.full(1 << HASH_BITS, m - self.block + 1, np.uint8 if m < 256 else np.uint32)
+        for end in range(self.block, m + 1):
+            np.minimum.at(self.shift, _block_hash(*self._blocks(words, places + end - 1)), m - end)
+        suffix, first = (self._key(*self._blocks(words, places + k)) for k in (m - 1, self.block - 1))
+        order = np.lexsort((items, places, first, suffix))
+        self.keys, self.first, self.places, self.items = suffix[order], first[order], places[order], items[order]
+
+    def _blocks(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (ids[at - 1] if self.block == 2 else np.zeros(len(at), ids.dtype)), ids[at]
+
+    def _key(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+
+    def ends(self, ids: np.ndarray) -> np.ndarray:
+        """Places where a pattern may end: the search jumps by the shift of the block at its place."""
+        m, n = self.m, len(ids)
+        if n < m:
+            return np.zeros(0, np.int64)
+        last = np.arange(m - 1, n)
+        steps = np.where(ids[last] == 0, m, self.shift[_block_hash(*self._blocks(ids, last))]).tolist()
+        i, n, out = 0, n - m + 1, []
         while i < n:
-            last = ids[i]
-            if not last:
-                i += m
-                continue
-            key = ids[i - 1] * base + last if two else last
-            step = shift.get(key, default)
+            step = steps[i]
             if step:
                 i += step
-                continue
-            start = i - m + 1
-            first = ids[start] * base + ids[start + 1] if two else ids[start]
-            for p, items in self.suffix[key].get(first, ()):
-                if p == tuple(ids[start : i + 1]):
-                    yield start, items
-            i += 1
+            else:
+                out.append(i + m - 1)
+                i += 1
+        return np.array(out, np.int64)
+
+    def search(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Starts of occurrences, each with an item whose pattern stands there."""
+        ends = self.ends(ids)
+        if not len(ends):
+            return
+        keys, firsts = self._key(*self._blocks(ids, ends)), self._key(*self._blocks(ids, ends - self.m + self.block))
+        lo, hi = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, "right")
+        for k in np.flatnonzero(lo < hi).tolist():
+            start = int(ends[k]) - self.m + 1
+            a, z = int(lo[k]), int(hi[k])
+            own = self.first[a:z]
+            a, z = a + int(np.searchsorted(own, firsts[k])), a + int(np.searchsorted(own, firsts[k], "right"))
+            text, last, same = ids[start : start + self.m].tobytes(), -1, False
+            for p in range(a, z):
+                place = int(self.places[p])
+                if place != last:
+                    last, same = place, self.words[place : place + self.m].tobytes() == text
+                if same:
+                    yield start, int(self.items[p])
 
 
 class Index:
     """Search tables of one benchmark chunk."""
 
     def __init__(self, items: Iterable[tuple[object, str | None]], window: int):
-        self.names: list[str] = []
+        self.names: list[str | None] = []
         self.vocabulary: dict[bytes, int] = {}
-        groups: dict[int, dict[tuple[int, ...], list[int]]] = defaultdict(lambda: defaultdict(list))
+        number, texts, of, lengths = self.vocabulary.setdefault, [], [], []
         for name, text in items:
             ws = words(text)
-            if not ws or name is None:
-                continue
-            k = len(self.names)
-            self.names.append(str(name))
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws]
-            m = min(window, len(ids))
-            for p in {tuple(ids[i : i + m]) for i in range(len(ids) - m + 1)}:
-                groups[m][p].append(k)
-        self.groups = [LengthGroup(m, g, len(self.vocabulary) + 1) for m, g in sorted(groups.items())]
+            if ws:
+                of.append(len(self.names))
+                self.names.append(None if name is None else str(name))
+                texts.append(np.fromiter((number(w, len(self.vocabulary) + 1) for w in ws), np.uint32, len(ws)))
+                lengths.append(min(window, len(ws)))
+        every = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
+        starts = np.cumsum([0, *(len(t) for t in texts)])
+        by_length: dict[int, list[int]] = defaultdict(list)
+        for k, m in enumerate(lengths):
+            by_length[m].append(k)
+        self.groups = []
+        for m, own in sorted(by_length.items()):
+            places = [np.arange(starts[k], starts[k + 1] - m + 1) for k in own]
+            self.groups.append(LengthGroup(m, every, np.concatenate(places), np.repeat(np.array([of[k] for k in own], np.int64), [len(p) for p in places])))
 
     def find(self, doc: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Hit word intervals (end exclusive, not merged) and item numbers."""
         get = self.vocabulary.get
-        ids = [get(w, 0) for w in doc]
-        spans, found = [], set()
-        for g in self.groups:
-            for start, items in g.search(ids):
-                spans.append((start, start + g.m))
-                found.update(items)
-        return spans, found
+        ids = np.fromiter((get(w, 0) for w in doc), np.uint32, len(doc))
+        spans, found = set(), set()
+        if ids.any():
+            for g in self.groups:
+                for start, item in g.search(ids):
+                    spans.add((start, start + g.m))
+                    found.add(item)
+        return list(spans), found
 
 
 def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -131,7 +163,7 @@ def _pass(broadcast, keep: list[str]):
                 new, found = index.find(ws)
                 n.append(len(ws))
                 spans.append([x for s in merged([*zip(old[::2], old[1::2], strict=True), *new]) for x in s] if new else old)
-                items.append(sorted({*had, *(index.names[k] for k in found)}) if found else had)
+                items.append(sorted({*had, *(index.names[k] for k in found if index.names[k] is not None)}) if found else had)
             own = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays(
                 [*own, pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],

@@ -48,7 +48,7 @@ b AS (
   SELECT item_id,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                             '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w
-  FROM benchmark WHERE item_id IS NOT NULL),
+  FROM benchmark),
 bp AS (SELECT item_id, w, least(len(w), 10) AS m, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0),
 win AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM bp),
 dp AS (SELECT rid, w, m, unnest(range(1, len(w) - m + 2)) AS i
@@ -58,7 +58,7 @@ occ AS (SELECT DISTINCT dp.rid, dp.i, dp.m, win.item_id
 hit AS (SELECT rid, count(DISTINCT p) AS n_hit
         FROM (SELECT rid, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT rid, i, m FROM occ)) GROUP BY rid),
 its AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
-        FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item_id FROM occ) GROUP BY rid)
+        FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item_id FROM occ WHERE item_id IS NOT NULL) GROUP BY rid)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(hit.n_hit, 0) AS n_hit, coalesce(its.n_items, 0) AS n_items,
        sha256(coalesce(its.ids, '')) AS items_sha256, coalesce(hit.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
