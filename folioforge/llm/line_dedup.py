@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.common import SPACE, Scratch, table
 
-PERCENT, LEAST, BUCKETS, SHIFT = 90, 5, 20, 7
+PERCENT, LEAST, BUCKETS, SHIFT = 90, 5, 22, 7
 _BITS = 22  # of the bitmap that says which lines may stand in a pair: 512 KB
 
 
@@ -47,14 +47,12 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def rarity(docs: DataFrame) -> DataFrame:
-    """One row with an array of 2^BUCKETS numbers, by the top bits of a word's hash. Exclusive or with the hash
-    puts the word's rarity, the whole part of log2 of its bucket's occurrences, in place of the top SHIFT bits."""
+    """One row with an array of 2^BUCKETS numbers: the whole part of log2 of a bucket's occurrences."""
     lines = docs.filter(F.col("text").isNotNull()).select(F.explode(F.split("text", "\n", -1)).alias("line"))
     words = lines.select(F.explode(_words(F.col("line"))).alias("w"))
-    counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - BUCKETS).alias("id")).count()
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << BUCKETS) - 1)).alias("id")).count()
     every = docs.sparkSession.range(1 << BUCKETS).join(counts, "id", "left")
-    rank = F.coalesce(F.floor(F.log2("count")), F.lit(0)).bitwiseXOR(F.shiftright("id", BUCKETS - SHIFT))
-    return _array_of(every.select("id", F.shiftleft(rank, 64 - SHIFT).alias("k")), "k")
+    return _array_of(every.select("id", F.coalesce(F.floor(F.log2("count")), F.lit(0)).cast("tinyint").alias("k")), "k")
 
 
 def _array_of(cells: DataFrame, name: str) -> DataFrame:
@@ -67,7 +65,8 @@ def _numbers(line: Column, rare: Column) -> Column:
     """A line's word numbers, rarest first."""
     words = F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     # One reference to the table: two would make Spark copy it into each row.
-    return F.sort_array(F.transform(words, lambda h: h.bitwiseXOR(F.get(rare, F.shiftrightunsigned(h, 64 - BUCKETS).cast("int")))))
+    rank = lambda h: F.get(rare, h.bitwiseAND(F.lit((1 << BUCKETS) - 1)).cast("int")).cast("bigint")
+    return F.sort_array(F.transform(words, lambda h: F.shiftleft(rank(h), 64 - SHIFT).bitwiseOR(F.shiftrightunsigned(h, SHIFT))))
 
 
 def _parity(numbers: Column) -> Column:
