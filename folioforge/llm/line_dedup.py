@@ -147,12 +147,14 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -
     met = scratch.write(met.filter(_earlier("a", "b")), "met")
     star = scratch.write(met.filter(_similar("a", "b", percent)).select(*_PAIR).distinct(), "star")
     hits = scratch.write(_verified(star, docs, rare, percent).select("b_doc", "b_line", "b_h").distinct(), "hits")
+    scratch.drop(star)
 
     others = met.select("word", *[F.col(f"b_{c}") for c in _ROW])
     left = others.join(hits, ["b_doc", "b_line", "b_h"], "left_anti")
     before = others.select("word", *[F.col(f"b_{c}").alias(f"a_{c}") for c in _ROW])
     pairs = before.join(left, "word").filter(_earlier("a", "b") & _similar("a", "b", percent)).select(*_PAIR).distinct()
     pairs = scratch.write(pairs, "others")
+    scratch.drop(met)
     more = _verified(pairs, docs, rare, percent).select("b_doc", "b_line", "b_h")
     similar = hits.union(more).distinct().select(F.struct(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")).alias("l"), F.col("b_h").alias("h"), F.lit(True).alias("similar"))
 
