@@ -266,6 +266,40 @@ def test_suffix_array_runs_match_brute_force():
     assert (got == want).all()
 
 
+def test_suffix_array_has_order_and_common_prefixes():
+    rng = np.random.default_rng(3)
+    for n, kinds in ((0, 1), (1, 1), (40, 1), (300, 2), (300, 50)):
+        tokens = rng.integers(0, kinds, n)
+        order, common = html_text.suffix_array(tokens)
+        ends = [tokens[i:].tolist() for i in order]
+        assert ends == sorted(tokens[i:].tolist() for i in range(n))
+        shared = [next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(ends, ends[1:])]
+        assert common.tolist() == shared
+
+
+def test_counted_runs_match_brute_force():
+    rng = random.Random(4)
+    pages = [[rng.choice("ab") for _ in range(rng.choice((0, 3, 8, 60)))] for _ in range(30)]
+    pages += [pages[0], pages[-1]]
+    want = collections.Counter(h for p in pages for h in {html_text._hash(p[i : i + html_text.RUN]) for i in range(len(p) - html_text.RUN + 1)})
+    found, pages_of = html_text.counted_runs(pages)
+    assert len(set(found)) == len(found) and dict(zip(found, pages_of)) == dict(want)
+    assert html_text.counted_runs([]) == html_text.counted_runs([["a"], []]) == ([], [])
+
+
+def test_html_runs_at_any_partitioning(spark):
+    line = "the same notice stands on all pages of this host"
+    own = [" ".join(f"{w}{k}" for w in ("own", "words", "of", "page")) for k in range(40)]
+    rows = [(k, "http://one.example/", f"<div>{line}</div><p>{own[k]}</p>") for k in range(40)]
+    frame_ = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    want = list(enumerate(own))
+    for parts in (1, 40):
+        got = html_text.main_text(frame_.repartition(parts)).collect()
+        assert sorted((r.page_id, r.text) for r in got) == want
+    streams = [html_text.counted_runs([r.split() for r in [line] * k])[1] for k in (1, 2)]
+    assert [set(s) for s in streams] == [{1}, {2}]
+
+
 def test_packing(spark, corpus):
     rows = [r for r in corpus]
     got = packing.pack_documents(frame(spark, rows), shard=30).collect()
