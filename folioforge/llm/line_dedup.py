@@ -137,10 +137,10 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -
     other = (_need(n, percent) < n) | (F.floor(100 * n / percent) > n)  # a smaller or a larger set may be similar enough
     prefix = F.when(other & (n >= least), places)
     # all lines are written: a filter on n would be pushed below and make the numbers twice
-    lines = scratch.write(lines.select("doc_id", "dk", "line_no", n.alias("n"), F.xxhash64("e").alias("h"), prefix.alias("prefix"), F.when(F.size(prefix) > 0, _parity(F.col("e"))).alias("bits")), "lines").filter(F.col("n") >= least)
+    lines = scratch.write(lines.select("doc_id", "dk", "line_no", n.alias("n"), F.xxhash64("e").alias("h"), F.hash("e").alias("g"), prefix.alias("prefix"), F.when(F.size(prefix) > 0, _parity(F.col("e"))).alias("bits")), "lines").filter(F.col("n") >= least)
     first = F.min(F.struct("doc_id", "line_no"))
-    # equal sets have equal prefixes and bits: any line's are the class's
-    classes = scratch.write(lines.groupBy("h", "n").agg(first.alias("l"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "classes")
+    # a class is told apart by 96 bits of two hashes; equal sets have equal prefixes and bits, so any line's are the class's
+    classes = scratch.write(lines.groupBy("h", "g", "n").agg(first.alias("l"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "classes")
     rows = classes.filter(F.size("prefix") > 0).select(F.col("l.doc_id").alias("doc"), F.col("l.line_no").alias("line"), "h", "n", "bits", F.inline("prefix"))
     bucket = W.partitionBy("word").orderBy("b_doc", "b_line").rowsBetween(W.unboundedPreceding, W.currentRow)  # streams a bucket, holds one row
     met = _named(rows, "b").select("word", *[F.col(f"b_{c}") for c in _ROW], *[F.first(f"b_{c}").over(bucket).alias(f"a_{c}") for c in _ROW])
@@ -159,7 +159,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -
     similar = hits.union(more).distinct().select(F.struct(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")).alias("l"), F.col("b_h").alias("h"), F.lit(True).alias("similar"))
 
     marked = classes.drop("prefix", "bits").join(similar, ["h", "l"], "left")
-    every = lines.drop("prefix", "bits").join(marked, ["h", "n"])
+    every = lines.drop("prefix", "bits").join(marked, ["h", "g", "n"])
     goes = F.coalesce("similar", F.lit(False)) | (F.struct("doc_id", "line_no") > F.col("l"))
     return every.filter(goes).select("doc_id", "dk", "line_no", F.col("l.doc_id").alias("class_doc"), F.col("l.line_no").alias("class_line"), F.coalesce("similar", F.lit(False)).alias("similar"))
 
