@@ -7,6 +7,7 @@ simply run again, and a document that can't be parsed gets an error instead of f
 from __future__ import annotations
 
 import json
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,7 +20,7 @@ from folioforge.operators import write_text
 from folioforge.operators.tables import parse_csv
 from folioforge.sources import model
 from folioforge.sources.markdown import read_markdown
-from folioforge.sources.packages import read_docx, read_odt, write_docx, write_odt
+from folioforge.sources.packages import read_docx, read_odt, write_docx, write_odt, write_package
 
 NODE_SCHEMA = f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in model.NODE.split(', '))}>>"
 
@@ -163,6 +164,58 @@ def export(opened: DataFrame, to: str) -> DataFrame:
     return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, content binary, error string")
 
 
+def _facts(docs: DataFrame, facts: Callable[[model.Document], list[dict]], kind: pa.StructType, ddl: str) -> DataFrame:
+    """doc_id and one row for each struct that ``facts`` finds in a DOCX; documents that can't be read have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [attempt(lambda c=c: facts(read_docx(c.as_py() or b"")))[0] or [] for c in b.column("content")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, pa.list_(kind))], names=["doc_id", "facts"])
+
+    own = docs.select("doc_id", "content")
+    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, facts array<struct<{ddl}>>").select("doc_id", F.inline("facts"))
+
+
+_ATTRS = pa.map_(pa.string(), pa.string())
+
+
+def styles_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, ix, style_id, name, kind, parent_id, next_id, is_default, attrs) of the styles of DOCX documents, in
+    their order; of styles with equal ids the last. The document's defaults are a row of kind defaults without an id."""
+
+    def facts(doc: model.Document) -> list[dict]:
+        base = [{"ix": -1, "kind": "defaults", "is_default": True, "attrs": list(doc.defaults.items())}] if doc.defaults else []
+        return base + [s | {"ix": i, "attrs": list(s["attrs"].items())} for i, s in enumerate(doc.styles)]
+
+    names = ["style_id", "name", "kind", "parent_id", "next_id"]
+    kind = pa.struct([("ix", pa.int64()), *((n, pa.string()) for n in names), ("is_default", pa.bool_()), ("attrs", _ATTRS)])
+    return _facts(docs, facts, kind, f"ix:bigint,{','.join(f'{n}:string' for n in names)},is_default:boolean,attrs:map<string,string>")
+
+
+def sections_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, ix, attrs) of the sections of DOCX documents: page, margins, columns, break and references."""
+    kind = pa.struct([("ix", pa.int64()), ("attrs", _ATTRS)])
+    return _facts(docs, lambda d: [{"ix": i, "attrs": list(s.items())} for i, s in enumerate(d.sections)], kind, "ix:bigint,attrs:map<string,string>")
+
+
+def media_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, path, data) of the pictures and other media of DOCX documents."""
+    kind = pa.struct([("path", pa.string()), ("data", pa.binary())])
+    return _facts(docs, lambda d: [{"path": p, "data": x} for p, x in d.media.items()], kind, "path:string,data:binary")
+
+
+def pack(parts: DataFrame) -> DataFrame:
+    """(doc_id, content): packages of rows (doc_id, entries array<struct<path, data binary>>), entries deflated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [write_package([(e["path"], zipfile.ZIP_DEFLATED, e["data"] or b"") for e in es.as_py() or []]) for es in b.column("entries")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, pa.binary())], names=["doc_id", "content"])
+
+    own = parts.select("doc_id", "entries")
+    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, content binary")
+
+
 def package_parts(docs: DataFrame) -> DataFrame:
     """(doc_id, path, is_xml, compression, data) of every entry of packages; others have none."""
     from folioforge.sources.packages import package_parts as parts

@@ -53,6 +53,11 @@ class Node:
 class Document:
     root: Node
     meta: dict[str, str] = field(default_factory=dict)
+    #: Styles, the document's defaults and sections as the formatting module has them; pictures by path.
+    styles: list[dict] = field(default_factory=list)
+    defaults: dict[str, str] = field(default_factory=dict)
+    sections: list[dict[str, str]] = field(default_factory=list)
+    media: dict[str, bytes] = field(default_factory=dict)
 
     @property
     def body(self) -> Node:

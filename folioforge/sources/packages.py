@@ -11,11 +11,17 @@ import zipfile
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape, quoteattr
 
+from folioforge.sources import formatting
 from folioforge.sources.model import Document, Node, new_document
 
 MOST_BYTES = 256 << 20
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+DRAWING = "http://schemas.openxmlformats.org/drawingml/2006/main"
+PICTURE = "http://schemas.openxmlformats.org/drawingml/2006/picture"
+WP = "{http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing}"
+#: Media types that aren't "image/" and the extension.
+_PICTURES = {"jpg": "image/jpeg", "svg": "image/svg+xml", "tif": "image/tiff", "emf": "image/x-emf", "wmf": "image/x-wmf"}
 #: Number formats of OOXML and of the model.
 _NUMBERS = {"bullet": "bullet", "decimal": "decimal", "lowerLetter": "lower_alpha", "upperLetter": "upper_alpha", "lowerRoman": "lower_roman", "upperRoman": "upper_roman"}
 
@@ -31,6 +37,13 @@ def _xml(z: zipfile.ZipFile, name: str):
     return ET.fromstring(z.read(name)) if name in z.namelist() else None
 
 
+def _targets(z: zipfile.ZipFile, part: str) -> dict[str, str]:
+    """Targets of a part's relationships by id."""
+    folder, _, name = part.rpartition("/")
+    rels = _xml(z, f"{folder}/_rels/{name}.rels")
+    return {r.get("Id"): r.get("Target") for r in rels} if rels is not None else {}
+
+
 def package_parts(data: bytes) -> list[tuple[str, bool, int, bytes]]:
     """(path, is XML, compression, bytes) of each entry in the order of the package."""
     with _open(data) as z:
@@ -58,13 +71,18 @@ class _Docx:
             body = _xml(z, "word/document.xml")
             if body is None:
                 raise ValueError("the package has no word/document.xml")
-            rels = _xml(z, "word/_rels/document.xml.rels")
-            self.rels = {r.get("Id"): r.get("Target") for r in rels} if rels is not None else {}
+            self.rels = main = _targets(z, "word/document.xml")
+            self.doc.styles, self.doc.defaults = formatting.styles_of(_xml(z, "word/styles.xml"))
+            self.doc.media = {n.removeprefix("word/"): z.read(n) for n in z.namelist() if re.match("word/media/.", n)}
             self.formats = self.numbering(_xml(z, "word/numbering.xml"))
             for kid in body.find(f"{W}body") if body.find(f"{W}body") is not None else ():
                 self.block(kid, self.doc.body, {})
+            last = body.find(f"{W}body/{W}sectPr")
+            if last is not None:
+                self.doc.sections.append(formatting.section_of(last, self.rels))
             for part, kind, tag in (("comments", "CommentBody", "comment"), ("footnotes", "FootnoteBody", "footnote"), ("endnotes", "EndnoteBody", "endnote")):
                 tree = _xml(z, f"word/{part}.xml")
+                self.rels = _targets(z, f"word/{part}.xml")
                 for note in tree.iter(f"{W}{tag}") if tree is not None else ():
                     if note.get(f"{W}type") in ("separator", "continuationSeparator"):
                         continue
@@ -74,8 +92,10 @@ class _Docx:
             for name in z.namelist():
                 if m := re.fullmatch(r"word/(header|footer)\d*\.xml", name):
                     own = self.doc.root.add(m[1].capitalize(), part=name)
+                    self.rels = _targets(z, name)
                     for kid in _xml(z, name):
                         self.block(kid, own, {})
+            self.rels = main
             core = _xml(z, "docProps/core.xml")
             if core is not None:
                 self.doc.meta = {e.tag.split("}")[1]: e.text or "" for e in core if e.text}
@@ -146,10 +166,10 @@ class _Docx:
             get = lambda path: (x.get(f"{W}val") if (x := pr.find(path)) is not None else None)
             if style := get(f"{W}pStyle"):
                 para.attrs["style_id"] = style
-            if side := get(f"{W}jc"):
-                para.attrs["alignment"] = {"both": "justify", "start": "left", "end": "right"}.get(side, side)
-            if pr.find(f"{W}pageBreakBefore") is not None:
-                para.attrs["page_break_before"] = "true"
+            para.attrs |= formatting.paragraph_attrs(pr)
+            if (section := pr.find(f"{W}sectPr")) is not None:
+                para.attrs["section_index"] = str(len(self.doc.sections))
+                self.doc.sections.append(formatting.section_of(section, self.rels))
             number, level = get(f"{W}numPr/{W}numId"), get(f"{W}numPr/{W}ilvl") or "0"
             if number and number != "0":
                 fmt, start = self.formats.get((number, level), ("decimal", "1"))
@@ -178,13 +198,7 @@ class _Docx:
     def run(self, el, para: Node, attrs: dict[str, str]) -> None:
         attrs, pr = dict(attrs), el.find(f"{W}rPr")
         if pr is not None:
-            on = lambda t: (x := pr.find(f"{W}{t}")) is not None and x.get(f"{W}val") not in ("0", "false", "none")
-            attrs |= {name: "true" for tag, name in (("b", "bold"), ("i", "italic"), ("strike", "strikethrough"), ("u", "underline")) if on(tag)}
-            for tag, name in (("color", "color"), ("highlight", "highlight"), ("rStyle", "character_style"), ("vertAlign", "vertical_align")):
-                if (x := pr.find(f"{W}{tag}")) is not None and x.get(f"{W}val"):
-                    attrs[name] = x.get(f"{W}val")
-            if (x := pr.find(f"{W}sz")) is not None and (x.get(f"{W}val") or "").isdigit():
-                attrs["font_size"] = str(int(x.get(f"{W}val")) / 2)
+            attrs |= formatting.run_attrs(pr)
             if (x := pr.find(f"{W}rPrChange")) is not None and "revision_type" not in attrs:
                 attrs["revision_type"] = "FormatChange"
         for kid in el:
@@ -212,7 +226,12 @@ class _Docx:
                 para.add("FootnoteRef" if tag[0] == "f" else "EndnoteRef", ref=kid.get(f"{W}id", ""))
             elif tag == "drawing":
                 blip = next((b for b in kid.iter() if b.tag.endswith("}blip")), None)
-                para.add("Image" if blip is not None else "Drawing", **({"src": self.rels.get(blip.get(f"{R}embed")) or ""} if blip is not None else {}))
+                own = para.add("Image" if blip is not None else "Drawing", **({"src": self.rels.get(blip.get(f"{R}embed")) or ""} if blip is not None else {}))
+                for x in kid.iter():
+                    if x.tag == f"{WP}docPr" and x.get("descr"):
+                        own.attrs["alt"] = x.get("descr")
+                    elif x.tag == f"{WP}extent":
+                        own.attrs |= {k: x.get(n) for k, n in (("width_emu", "cx"), ("height_emu", "cy")) if (x.get(n) or "").isdigit()}
 
 
 def _field(instruction: str) -> str:
@@ -231,6 +250,10 @@ def _t(text: str, tag: str = "w:t") -> str:
 
 def write_docx(doc: Document) -> bytes:
     links: dict[str, str] = {}
+    pictures: dict[str, str] = {}
+    aside = [(f"word/{n.kind.lower()}{i}.xml", n) for i, n in enumerate((n for n in doc.root.kids if n.kind in ("Header", "Footer")), 1)]
+    ids_of = [f"rIdH{i}" for i in range(1, len(aside) + 1)]
+    ids = {n.attrs.get("part", "").removeprefix("word/"): i for i, (_, n) in zip(ids_of, aside, strict=True)}
     lists: dict[str, dict[str, tuple[str, str]]] = {}
     placed: dict[tuple[str, str, str], str] = {}  # numbers in use since the last paragraph that is no item
     taken = {n.attrs["list_num_id"] for n in doc.root.walk() if "list_num_id" in n.attrs}
@@ -250,17 +273,7 @@ def write_docx(doc: Document) -> bytes:
 
     def run(node: Node) -> str:
         a = node.attrs
-        pr = "".join(f"<w:{t}/>" for n, t in (("bold", "b"), ("italic", "i"), ("strikethrough", "strike")) if a.get(n) == "true")
-        if a.get("code") == "true":
-            pr = f'<w:rStyle w:val="CodeChar"/>{pr}'
-        elif "character_style" in a:
-            pr = f"<w:rStyle w:val={quoteattr(a['character_style'])}/>{pr}"
-        if a.get("underline") == "true":
-            pr += '<w:u w:val="single"/>'
-        if "color" in a:
-            pr += f"<w:color w:val={quoteattr(a['color'])}/>"
-        if "font_size" in a:
-            pr += f'<w:sz w:val="{round(float(a["font_size"]) * 2)}"/>'
+        pr = formatting.run_xml(a | {"character_style": "CodeChar"} if a.get("code") == "true" else a)
         gone = a.get("revision_type") == "Delete"
         out = f"<w:r>{f'<w:rPr>{pr}</w:rPr>' if pr else ''}{_t(node.plain(), 'w:delText' if gone else 'w:t')}</w:r>"
         mark = {"Insert": "ins", "Delete": "del", "MoveTo": "moveTo", "MoveFrom": "moveFrom"}.get(a.get("revision_type", ""))
@@ -287,6 +300,14 @@ def write_docx(doc: Document) -> bytes:
         marks = {"BookmarkStart": "bookmarkStart", "BookmarkEnd": "bookmarkEnd", "CommentStart": "commentRangeStart", "CommentEnd": "commentRangeEnd"}
         if k in marks:
             return f"<w:{marks[k]} w:id={quoteattr(a.get('ref', ''))}" + (f" w:name={quoteattr(a['name'])}" if "name" in a else "") + "/>"
+        if k == "Image" and a.get("src") in doc.media:
+            size = f'cx="{a.get("width_emu", "914400")}" cy="{a.get("height_emu", "914400")}"'
+            own = pictures.setdefault(a["src"], f"rIdM{len(pictures) + 1}")
+            return (
+                f'<w:r><w:drawing><wp:inline><wp:extent {size}/><wp:docPr id="1" name="Picture" descr={quoteattr(a.get("alt", ""))}/><a:graphic><a:graphicData uri="{PICTURE}">'
+                f'<pic:pic><pic:nvPicPr><pic:cNvPr id="1" name="Picture"/><pic:cNvPicPr/></pic:nvPicPr><pic:blipFill><a:blip r:embed="{own}"/><a:stretch><a:fillRect/></a:stretch></pic:blipFill>'
+                f'<pic:spPr><a:xfrm><a:off x="0" y="0"/><a:ext {size}/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></pic:spPr></pic:pic></a:graphicData></a:graphic></wp:inline></w:drawing></w:r>'
+            )
         if k == "Image":
             return f"<w:r>{_t('[' + a.get('alt', '') + ']')}</w:r>" if a.get("alt") else ""
         return ""
@@ -295,14 +316,15 @@ def write_docx(doc: Document) -> bytes:
         a, pr = node.attrs, ""
         if style := a.get("style_id"):
             pr += f"<w:pStyle w:val={quoteattr(style)}/>"
-        if a.get("page_break_before") == "true":
-            pr += "<w:pageBreakBefore/>"
+        before, after = formatting.paragraph_xml(a)
+        pr += before
         if "list_format" in a:
             pr += f'<w:numPr><w:ilvl w:val="{a.get("list_level", "0")}"/><w:numId w:val="{number_of(a)}"/></w:numPr>'
         else:
             placed.clear()
-        if side := a.get("alignment"):
-            pr += f'<w:jc w:val="{"both" if side == "justify" else side}"/>'
+        pr += after
+        if (at := a.get("section_index", "")).isdigit() and int(at) < len(doc.sections):
+            pr += formatting.section_xml(doc.sections[int(at)], ids)
         return f"<w:p>{f'<w:pPr>{pr}</w:pPr>' if pr else ''}{''.join(map(inline, node.kids))}</w:p>"
 
     def block(node: Node) -> str:
@@ -320,8 +342,16 @@ def write_docx(doc: Document) -> bytes:
         return inner
 
     space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    space += f' xmlns:wp="{WP[1:-1]}" xmlns:a="{DRAWING}" xmlns:pic="{PICTURE}"'
     head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
-    body = f"{head}<w:document {space}><w:body>{''.join(map(block, doc.body.kids))}<w:sectPr/></w:body></w:document>"
+    inner = "".join(map(block, doc.body.kids))
+    inline_sections = {n.attrs["section_index"] for n in doc.body.walk() if "section_index" in n.attrs}
+    if doc.sections and str(len(doc.sections) - 1) not in inline_sections:
+        last = doc.sections[-1]
+    else:  # without sections, the first header and footer are everyone's
+        last = {f"{n.kind.lower()}_default": n.attrs.get("part", "").removeprefix("word/") for _, n in reversed(aside)}
+    body = f"{head}<w:document {space}><w:body>{inner}{formatting.section_xml(last, ids) if last else '<w:sectPr/>'}</w:body></w:document>"
+    asides = [(name, n.kind, f"<w:{'hdr' if n.kind == 'Header' else 'ftr'} {space}>{''.join(map(block, n.kids)) or '<w:p/>'}</w:{'hdr' if n.kind == 'Header' else 'ftr'}>") for name, n in aside]
     main = "application/vnd.openxmlformats-officedocument.wordprocessingml."
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/"
     parts: list[tuple[str, str, str, str]] = []  # name, content type, relationship, xml
@@ -338,23 +368,34 @@ def write_docx(doc: Document) -> bytes:
             xml = "".join(f"<w:{tag} w:id={quoteattr(k.attrs.get('note_id', ''))}" + (f" w:author={quoteattr(k.attrs['author'])}" if "author" in k.attrs else "") + f">{''.join(map(block, k.kids))}</w:{tag}>" for k in notes)
             parts.append((f"word/{name}.xml", f"{main}{name}+xml", rel + name, f"{head}<w:{name} {space}>{xml}</w:{name}>"))
     used = sorted({n.attrs["style_id"] for n in doc.root.walk() if n.kind == "Paragraph" and n.attrs.get("style_id")})
-    styles = "".join(f'<w:style w:type="paragraph" w:styleId={quoteattr(s)}><w:name w:val={quoteattr(s)}/></w:style>' for s in used)
-    parts.append(("word/styles.xml", f"{main}styles+xml", f"{rel}styles", f'{head}<w:styles {space}>{styles}<w:style w:type="character" w:styleId="CodeChar"><w:name w:val="Code Char"/></w:style></w:styles>'))
-    rels = "".join(f'<Relationship Id="rId{i}" Type="{t}" Target="{n.removeprefix("word/")}"/>' for i, (n, _, t, _) in enumerate(parts, 1))
-    rels += "".join(f'<Relationship Id="{i}" Type="{rel}hyperlink" Target={quoteattr(u)} TargetMode="External"/>' for u, i in links.items())
+    known = {x["style_id"] for x in doc.styles}
+    styles = formatting.styles_xml(doc.styles, doc.defaults) + "".join(f'<w:style w:type="paragraph" w:styleId={quoteattr(x)}><w:name w:val={quoteattr(x)}/></w:style>' for x in used if x not in known)
+    if "CodeChar" not in known:
+        styles += '<w:style w:type="character" w:styleId="CodeChar"><w:name w:val="Code Char"/></w:style>'
+    parts.append(("word/styles.xml", f"{main}styles+xml", f"{rel}styles", f"{head}<w:styles {space}>{styles}</w:styles>"))
+    parts += [(n, f"{main}{k.lower()}+xml", f"{rel}{k.lower()}", f"{head}{x}") for n, k, x in asides]
+    named = {n: i for i, (n, _) in zip(ids_of, aside, strict=True)}
+    rels = "".join(f'<Relationship Id="{named.get(n, f"rId{i}")}" Type="{t}" Target="{n.removeprefix("word/")}"/>' for i, (n, _, t, _) in enumerate(parts, 1))
+    shared = "".join(f'<Relationship Id="{i}" Type="{rel}hyperlink" Target={quoteattr(u)} TargetMode="External"/>' for u, i in links.items())
+    shared += "".join(f'<Relationship Id="{i}" Type="{rel}image" Target={quoteattr(n)}/>' for n, i in pictures.items())
     r_space = 'xmlns="http://schemas.openxmlformats.org/package/2006/relationships"'
-    types = "".join(f'<Override PartName="/{n}" ContentType="{t}"/>' for n, t, _, _ in parts)
+    types = "".join(f'<Default Extension={quoteattr(e)} ContentType={quoteattr(_PICTURES.get(e, f"image/{e}"))}/>' for e in sorted({n.rpartition(".")[2].lower() for n in pictures}))
+    types += f'<Override PartName="/word/document.xml" ContentType="{main}document.main+xml"/>' + "".join(f'<Override PartName="/{n}" ContentType="{t}"/>' for n, t, _, _ in parts)
     files = [
-        ("[Content_Types].xml", f'{head}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="{main}document.main+xml"/>{types}</Types>'),
+        ("[Content_Types].xml", f'{head}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>{types}</Types>'),
         ("_rels/.rels", f'{head}<Relationships {r_space}><Relationship Id="rId1" Type="{rel}officeDocument" Target="word/document.xml"/></Relationships>'),
         ("word/document.xml", body),
-        ("word/_rels/document.xml.rels", f"{head}<Relationships {r_space}>{rels}</Relationships>"),
+        ("word/_rels/document.xml.rels", f"{head}<Relationships {r_space}>{rels}{shared}</Relationships>"),
         *((n, x) for n, _, _, x in parts),
     ]
+    if shared:
+        own = [n for n, _, _, _ in parts if re.fullmatch(r"word/(comments|footnotes|endnotes|(header|footer)\d+)\.xml", n)]
+        files += [(f"word/_rels/{n.removeprefix('word/')}.rels", f"{head}<Relationships {r_space}>{shared}</Relationships>") for n in own]
     if doc.meta:
         dc = "".join(f"<{'cp' if k in ('keywords', 'lastModifiedBy') else 'dc'}:{k}>{escape(v)}</{'cp' if k in ('keywords', 'lastModifiedBy') else 'dc'}:{k}>" for k, v in sorted(doc.meta.items()) if re.fullmatch(r"[A-Za-z]+", k) and k not in ("hasMacros", "created", "modified"))
         files.append(("docProps/core.xml", f'{head}<cp:coreProperties xmlns:cp="http://schemas.openxmlformats.org/package/2006/metadata/core-properties" xmlns:dc="http://purl.org/dc/elements/1.1/">{dc}</cp:coreProperties>'))
-    return write_package([(n, zipfile.ZIP_DEFLATED, _clean(x).encode()) for n, x in files])
+    stored = [(f"word/{n}", zipfile.ZIP_STORED, doc.media[n]) for n in pictures]
+    return write_package([(n, zipfile.ZIP_DEFLATED, _clean(x).encode()) for n, x in files] + stored)
 
 
 def _clean(xml: str) -> str:
