@@ -11,7 +11,7 @@ import zipfile
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape, quoteattr
 
-from folioforge.sources import formatting
+from folioforge.sources import formatting, odf_formatting
 from folioforge.sources.model import Document, Node, new_document
 
 MOST_BYTES = 256 << 20
@@ -407,6 +407,8 @@ def _clean(xml: str) -> str:
 
 _O = "urn:oasis:names:tc:opendocument:xmlns:"
 OFFICE, TEXT, TABLE, STYLE, FO = (f"{{{_O}{x}:1.0}}" for x in ("office", "text", "table", "style", "xsl-fo-compatible"))
+DRAW = f"{{{_O}drawing:1.0}}"
+SVG = f"{{{_O}svg-compatible:1.0}}"
 XLINK = "{http://www.w3.org/1999/xlink}"
 
 
@@ -421,6 +423,18 @@ class _Odt:
             body = tree.find(f"{OFFICE}body/{OFFICE}text")
             for kid in body if body is not None else ():
                 self.block(kid, self.doc.body, {})
+            sheet = _xml(z, "styles.xml")
+            self.doc.styles, self.doc.defaults = odf_formatting.styles_of(sheet)
+            self.doc.media = {f"media/{n.removeprefix('Pictures/')}": z.read(n) for n in z.namelist() if re.match("Pictures/.", n)}
+            if page := odf_formatting.section_of(sheet):
+                section, asides = page
+                self.doc.sections.append(section)
+                self.styles |= {x.get(f"{STYLE}name"): x for a in sheet.iter(f"{OFFICE}automatic-styles") for x in a.iter(f"{STYLE}style")}
+                for i, (side, kind, el) in enumerate(asides, 1):
+                    own = self.doc.root.add(side.capitalize(), part=f"word/{side}{i}.xml")
+                    section[f"{side}_{kind}"] = f"{side}{i}.xml"
+                    for kid in el:
+                        self.block(kid, own, {})
             meta = _xml(z, "meta.xml")
             if meta is not None:
                 self.doc.meta = {e.tag.split("}")[1]: e.text for e in meta.iter() if e.text and e.text.strip() and not list(e)}
@@ -436,10 +450,7 @@ class _Odt:
                 if name != "Standard":
                     para.attrs["style_id"] = name
             if pr is not None:
-                if pr.get(f"{FO}break-before") == "page":
-                    para.attrs["page_break_before"] = "true"
-                if side := pr.get(f"{FO}text-align"):
-                    para.attrs["alignment"] = {"start": "left", "end": "right"}.get(side, side)
+                para.attrs |= odf_formatting.paragraph_attrs(pr)
             self.inline(el, para, {})
         elif el.tag == f"{TEXT}list":
             level = int(more.get("list_level", -1)) + 1
@@ -479,6 +490,11 @@ class _Odt:
                 para.run(" " * int(kid.get(f"{TEXT}c", "1")), **attrs)
             elif kid.tag == f"{TEXT}page-number":
                 para.add("Field", code="PAGE", field_type="page_number")
+            elif kid.tag == f"{DRAW}frame" and (image := kid.find(f"{DRAW}image")) is not None:
+                own = para.add("Image", src=image.get(f"{XLINK}href", "").replace("Pictures/", "media/", 1))
+                alt = next((x.text for n in ("desc", "title") for x in kid.findall(f"{SVG}{n}") if x.text), None)
+                own.attrs |= {"alt": alt} if alt else {}
+                own.attrs |= {k: str(round(float(v) * 12700)) for k, n in (("width_emu", "width"), ("height_emu", "height")) if (v := odf_formatting.points(kid.get(f"{SVG}{n}")))}
             elif kid.tag == f"{TEXT}note":
                 kind = "Endnote" if kid.get(f"{TEXT}note-class") == "endnote" else "Footnote"
                 para.add(f"{kind}Ref", ref=kid.get(f"{TEXT}id", ""))
@@ -497,10 +513,7 @@ class _Odt:
         pr = style.find(f"{STYLE}text-properties") if style is not None else None
         if pr is None:
             return {"code": "true"} if name == "Code" else {}
-        line = pr.get(f"{STYLE}text-line-through-style", "none")
-        under = pr.get(f"{STYLE}text-underline-style", "none")
-        pairs = (("bold", pr.get(f"{FO}font-weight") == "bold"), ("italic", pr.get(f"{FO}font-style") == "italic"), ("strikethrough", line != "none"), ("underline", under != "none"))
-        return {k: "true" for k, on in pairs if on}
+        return odf_formatting.run_attrs(pr)
 
 
 def read_odt(data: bytes) -> Document:
@@ -508,8 +521,9 @@ def read_odt(data: bytes) -> Document:
 
 
 def write_odt(doc: Document) -> bytes:
-    spans: dict[tuple[str, ...], str] = {}
-    paras: dict[tuple[str, str, str], str] = {}
+    spans: dict[str, str] = {}
+    paras: dict[tuple[str, str], str] = {}
+    pictures: dict[str, str] = {}
 
     def text(s: str) -> str:
         out = escape(s)
@@ -519,19 +533,24 @@ def write_odt(doc: Document) -> bytes:
 
     def inline(node: Node) -> str:
         if node.kind == "Run":
-            key = tuple(k for k in ("bold", "italic", "strikethrough", "underline") if node.attrs.get(k) == "true")
+            key = odf_formatting.run_xml(node.attrs)
             out = text(node.plain())
             if node.attrs.get("code") == "true":
                 out = f'<text:span text:style-name="Code">{out}</text:span>'
             elif key:
                 out = f'<text:span text:style-name="{spans.setdefault(key, f"T{len(spans) + 1}")}">{out}</text:span>'
             return f"<text:a xlink:href={quoteattr(node.attrs['url'])}>{out}</text:a>" if node.attrs.get("url") else out
+        if node.kind == "Image" and node.attrs.get("src") in doc.media:
+            path = pictures.setdefault(node.attrs["src"], "Pictures/" + node.attrs["src"].removeprefix("media/"))
+            size = "".join(f' svg:{n}="{int(node.attrs[k]) / 12700}pt"' for k, n in (("width_emu", "width"), ("height_emu", "height")) if node.attrs.get(k, "").isdigit())
+            alt = f"<svg:desc>{escape(node.attrs['alt'])}</svg:desc>" if node.attrs.get("alt") else ""
+            return f"<draw:frame text:anchor-type=\"as-char\"{size}><draw:image xlink:href={quoteattr(path)}/>{alt}</draw:frame>"
         return {"Tab": "<text:tab/>", "LineBreak": "<text:line-break/>"}.get(node.kind, "") or ("<text:page-number/>" if node.attrs.get("field_type") == "page_number" else "")
 
     def block(node: Node) -> str:
         if node.kind == "Paragraph":
             a = node.attrs
-            key = a.get("style_id", "Standard"), a.get("alignment", ""), a.get("page_break_before", "")
+            key = a.get("style_id", "Standard"), odf_formatting.paragraph_xml(a)
             name = paras.setdefault(key, f"P{len(paras) + 1}")
             inner = "".join(map(inline, node.kids))
             if m := re.fullmatch(r"Heading(\d+)", a.get("style_id", "")):
@@ -547,19 +566,29 @@ def write_odt(doc: Document) -> bytes:
         inner = "".join(map(block, node.kids))
         return f"<text:table-of-content><text:index-body>{inner}</text:index-body></text:table-of-content>" if node.kind == "TableOfContents" else inner
 
+    def automatic() -> str:
+        out = "".join(f'<style:style style:name="{n}" style:family="text"><style:text-properties{key}/></style:style>' for key, n in spans.items())
+        return out + "".join(f'<style:style style:name="{n}" style:family="paragraph" style:parent-style-name={quoteattr(style)}>{own}</style:style>' for (style, own), n in paras.items())
+
     body = "".join(map(block, doc.body.kids))
-    props = {"bold": 'fo:font-weight="bold"', "italic": 'fo:font-style="italic"', "strikethrough": 'style:text-line-through-style="solid"', "underline": 'style:text-underline-style="solid"'}
-    auto = "".join(f'<style:style style:name="{n}" style:family="text"><style:text-properties {" ".join(props[k] for k in key)}/></style:style>' for key, n in spans.items())
-    for (style, side, brk), n in paras.items():
-        own = (f' fo:text-align="{side}"' if side else "") + (' fo:break-before="page"' if brk == "true" else "")
-        auto += f'<style:style style:name="{n}" style:family="paragraph" style:parent-style-name={quoteattr(style)}>{f"<style:paragraph-properties{own}/>" if own else ""}</style:style>'
-    space = " ".join(f'xmlns:{p}="{_O}{x}:1.0"' for p, x in (("office", "office"), ("text", "text"), ("table", "table"), ("style", "style"), ("fo", "xsl-fo-compatible"), ("meta", "meta"))) + ' xmlns:xlink="http://www.w3.org/1999/xlink" xmlns:dc="http://purl.org/dc/elements/1.1/"'
+    auto = automatic()
+    page = doc.sections[0] if doc.sections else {}
+    sides = {n.attrs.get("part", "").removeprefix("word/"): n for n in doc.root.kids if n.kind in ("Header", "Footer")}
+    kinds = [(tag, sides.get(page.get(f"{tag.partition('-')[0]}_{kind}"))) for tag, kind in odf_formatting.ASIDES.items()]
+    asides = "".join(f"<style:{tag}>{''.join(map(block, n.kids))}</style:{tag}>" for tag, n in kinds if n is not None)
+    layout, master = odf_formatting.section_xml(page, asides) if page else ("", "")
+    space = " ".join(f'xmlns:{p}="{_O}{x}:1.0"' for p, x in (("office", "office"), ("text", "text"), ("table", "table"), ("style", "style"), ("fo", "xsl-fo-compatible"), ("meta", "meta"), ("draw", "drawing"), ("svg", "svg-compatible"))) + ' xmlns:xlink="http://www.w3.org/1999/xlink" xmlns:dc="http://purl.org/dc/elements/1.1/"'
     head = '<?xml version="1.0" encoding="UTF-8"?>\n'
     kind = "application/vnd.oasis.opendocument.text"
     content = f'{head}<office:document-content {space} office:version="1.2"><office:automatic-styles>{auto}</office:automatic-styles><office:body><office:text>{body}</office:text></office:body></office:document-content>'
     dc = "".join(f"<dc:{k}>{escape(v)}</dc:{k}>" for k, v in sorted(doc.meta.items()) if k in ("title", "creator", "subject", "description", "language"))
     meta = f'{head}<office:document-meta {space} office:version="1.2"><office:meta>{dc}</office:meta></office:document-meta>'
     entry = lambda p, t: f'<manifest:file-entry manifest:full-path="{p}" manifest:media-type="{t}"/>'
-    manifest = f'{head}<manifest:manifest xmlns:manifest="{_O}manifest:1.0">{entry("/", kind)}{entry("content.xml", "text/xml")}{entry("meta.xml", "text/xml")}</manifest:manifest>'
-    files = [("content.xml", content), ("meta.xml", meta), ("META-INF/manifest.xml", manifest)]
-    return write_package([("mimetype", zipfile.ZIP_STORED, kind.encode()), *((n, zipfile.ZIP_DEFLATED, _clean(x).encode()) for n, x in files)])
+    files = [("content.xml", content), ("meta.xml", meta)]
+    if doc.styles or doc.defaults or page:
+        named = odf_formatting.styles_xml(doc.styles, doc.defaults)
+        files.append(("styles.xml", f'{head}<office:document-styles {space} office:version="1.2"><office:styles>{named}</office:styles><office:automatic-styles>{layout}{automatic() if asides else ""}</office:automatic-styles><office:master-styles>{master}</office:master-styles></office:document-styles>'))
+    entries = "".join(entry(n, "text/xml") for n, _ in files) + "".join(entry(escape(n, {'"': "&quot;"}), _PICTURES.get(e, f"image/{e}")) for n in pictures.values() for e in [n.rpartition(".")[2].lower()])
+    files.append(("META-INF/manifest.xml", f'{head}<manifest:manifest xmlns:manifest="{_O}manifest:1.0">{entry("/", kind)}{entries}</manifest:manifest>'))
+    stored = [(path, zipfile.ZIP_STORED, doc.media[src]) for src, path in pictures.items()]
+    return write_package([("mimetype", zipfile.ZIP_STORED, kind.encode()), *((n, zipfile.ZIP_DEFLATED, _clean(x).encode()) for n, x in files), *stored])

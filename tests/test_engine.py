@@ -98,8 +98,9 @@ def test_packages_round_trip(kind):
     doc.meta = {"title": "A & B", "creator": "me"}
     again = read(write(doc))
     keep = lambda d: [(n.kind, n.plain()) for n in d.body.kids]
-    plain = [(k, t) for k, t in keep(doc)]
-    assert [(k, t.replace("    ", "    ")) for k, t in keep(again)] == [(k, t) for k, t in plain] or kind == "docx"
+    # A picture whose bytes aren't there is written to DOCX as its description.
+    shown = {" and ref": "[alt] and ref"} if kind == "docx" else {}
+    assert keep(again) == [(k, shown.get(t, t)) for k, t in keep(doc)]
     assert [t for k, t in keep(again) if k == "Table"] == [t for k, t in keep(doc) if k == "Table"]
     assert [s for s, _ in blocks(again)][:3] == ["Heading1", None, "Heading1"]
     assert ("both", {"bold": "true", "italic": "true"}) in runs(again.body.kids[1])

@@ -9,8 +9,8 @@ import pytest
 
 from folioforge.operators import write_text
 from folioforge.plans import api
-from folioforge.sources import formatting
-from folioforge.sources.packages import package_parts, read_docx, write_docx, write_package
+from folioforge.sources import formatting, odf_formatting
+from folioforge.sources.packages import package_parts, read_docx, read_odt, write_docx, write_odt, write_package
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 R = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -20,7 +20,7 @@ PARTS = {
 <w:p><w:pPr><w:pStyle w:val="H"/><w:keepNext/><w:spacing w:before="240" w:line="360" w:lineRule="auto"/><w:ind w:left="720" w:hanging="360"/><w:jc w:val="both"/>
 <w:sectPr><w:headerReference w:type="first" r:id="r1"/><w:type w:val="continuous"/><w:pgSz w:w="15840" w:h="12240" w:orient="landscape"/><w:cols w:num="2" w:space="360"/><w:titlePg/></w:sectPr></w:pPr>
 <w:r><w:rPr><w:rFonts w:ascii="Georgia"/><w:b w:val="0"/><w:i/><w:sz w:val="25"/><w:shd w:fill="FFEE00"/><w:lang w:val="de-DE"/></w:rPr><w:t>one</w:t></w:r>
-<w:r><w:drawing><wp:inline><wp:extent cx="100" cy="200"/><wp:docPr id="1" descr="a dot"/><a:blip r:embed="r2"/></wp:inline></w:drawing></w:r></w:p>
+<w:r><w:drawing><wp:inline><wp:extent cx="914400" cy="457200"/><wp:docPr id="1" descr="a dot"/><a:blip r:embed="r2"/></wp:inline></w:drawing></w:r></w:p>
 <w:p><w:r><w:t>two</w:t></w:r></w:p><w:sectPr><w:pgMar w:top="720"/></w:sectPr></w:body></w:document>""",
     "word/_rels/document.xml.rels": f'<Relationships xmlns="{RELS}"><Relationship Id="r1" Type="h" Target="header1.xml"/><Relationship Id="r2" Type="i" Target="media/dot.png"/></Relationships>',
     "word/header1.xml": f'<w:hdr {W} {R}><w:p><w:hyperlink r:id="r1"><w:r><w:t>head</w:t></w:r></w:hyperlink></w:p></w:hdr>',
@@ -46,7 +46,7 @@ def test_docx_formatting_is_read_and_survives_writing(content):
         para, last = doc.body.kids
         assert para.attrs == {"style_id": "H", "keep_next": "true", "spacing_before": "12.0", "line_spacing": "1.5", "indent_left": "36.0", "indent_first_line": "-18.0", "alignment": "justify", "section_index": "0"}
         assert para.kids[0].attrs == {"font_family": "Georgia", "bold": "false", "italic": "true", "font_size": "12.5", "background": "FFEE00", "language": "de-DE"}
-        assert para.kids[1].attrs == {"src": "media/dot.png", "alt": "a dot", "width_emu": "100", "height_emu": "200"} and doc.media == {"media/dot.png": b"\x89PNG dot"}
+        assert para.kids[1].attrs == {"src": "media/dot.png", "alt": "a dot", "width_emu": "914400", "height_emu": "457200"} and doc.media == {"media/dot.png": b"\x89PNG dot"}
         first, final = doc.sections
         assert first == formatting.SECTION | {"page_width": "792.0", "page_height": "612.0", "orientation": "landscape", "columns": "2", "column_spacing": "18.0", "break_type": "continuous", "title_page": "true", "header_first": "header1.xml"}
         assert final == formatting.SECTION | {"margin_top": "36.0"} and "section_index" not in last.attrs
@@ -88,3 +88,28 @@ def test_fact_tables(spark, content):
     assert set(styles) == {(1, None), (1, "N"), (1, "H"), (1, "L")} and styles[1, None].kind == "defaults"
     assert [(r.ix, r.attrs["margin_top"]) for r in api.sections_of(docs).orderBy("ix").collect()] == [(0, "72.0"), (1, "36.0")]
     assert [(r.doc_id, r.path, bytes(r.data)) for r in api.media_of(docs).collect()] == [(1, "media/dot.png", b"\x89PNG dot")]
+
+
+def test_odt_formatting_survives_writing(content):
+    """What both formats can say is the same after DOCX, ODT, ODT and DOCX again; ODT has one page layout."""
+    doc = read_docx(content)
+    for again in (read_odt(write_odt(doc)), read_odt(write_odt(read_odt(write_odt(doc)))), read_docx(write_docx(read_odt(write_odt(doc))))):
+        assert again.defaults == {"font_size": "11.0"} and again.media == doc.media
+        head = next(s for s in again.styles if s["style_id"] == "H")
+        assert head["name"] == "Head & line" and head["parent_id"] == "N" and head["attrs"] == {"spacing_after": "5.0", "bold": "true", "color": "112233"}
+        para = again.body.kids[0]
+        assert para.attrs == {k: v for k, v in doc.body.kids[0].attrs.items() if k != "section_index"}
+        assert para.kids[0].attrs == doc.body.kids[0].kids[0].attrs and para.kids[1].attrs == doc.body.kids[0].kids[1].attrs
+        kept = ("page_width", "page_height", "orientation", "columns", "margin_top", "margin_left")
+        assert [{k: x[k] for k in kept} for x in again.sections] == [{k: doc.sections[0][k] for k in kept}]
+        header = next(k for k in again.root.kids if k.kind == "Header")
+        assert header.plain() == "head" and again.sections[0]["header_first"] == header.attrs["part"].removeprefix("word/")
+
+
+def test_odf_values():
+    assert [odf_formatting.points(x) for x in ("0.5in", "2.54cm", "25.4mm", "12pt", "96px", "1pc", "abc", "", None)] == ["36.0", "72.0", "72.0", "12.0", "72.0", "12.0", None, None, None]
+    space = 'xmlns:s="urn:oasis:names:tc:opendocument:xmlns:style:1.0" xmlns:f="urn:oasis:names:tc:opendocument:xmlns:xsl-fo-compatible:1.0"'
+    text = ET.fromstring(f'<s:text-properties {space} s:text-position="-33% 58%" f:language="en" f:country="US" f:font-weight="700" f:letter-spacing="normal" f:color="red"/>')
+    assert odf_formatting.run_attrs(text) == {"bold": "true", "vertical_align": "subscript", "language": "en-US"}
+    para = ET.fromstring(f'<s:paragraph-properties {space} f:line-height="150%" f:text-align="end" f:keep-together="always" f:margin-left="-1cm"/>')
+    assert odf_formatting.paragraph_attrs(para) == {"alignment": "right", "keep_lines": "true", "line_spacing": "1.5", "indent_left": "-28.3465"}
