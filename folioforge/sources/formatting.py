@@ -9,6 +9,7 @@ import re
 from xml.sax.saxutils import quoteattr
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+W14 = "{http://schemas.microsoft.com/office/word/2010/wordml}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 #: Elements that are switches, by attribute.
@@ -102,7 +103,7 @@ def paragraph_attrs(el) -> dict[str, str]:
     exact = rule in ("exact", "atLeast")
     spaced = _number(line, 20 if exact else 240)
     tabs = ",".join(f"{_number(t.get(f'{W}pos'), 20)}:{t.get(f'{W}val') or 'left'}:{t.get(f'{W}leader') or 'none'}" for t in el.iterfind(f"{W}tabs/{W}tab") if _number(t.get(f"{W}pos"), 20))
-    borders = ",".join(f"{b.tag.removeprefix(W)}:{b.get(f'{W}val') or 'none'}:{_number(b.get(f'{W}sz'), 8) or '0.0'}:{b.get(f'{W}color') or 'auto'}" for x in el.iterfind(f"{W}pBdr") for b in x)
+    borders = _borders(el, "pBdr")
     return _switches(el, _PARAGRAPH_SWITCHES) | _kept(
         alignment={"both": "justify", "start": "left", "end": "right"}.get(side, side), line_spacing=spaced, line_rule={"exact": "exact", "atLeast": "at_least"}[rule] if exact and spaced else None,
         tabs=tabs, borders=borders, background=_fill(el), **lengths,
@@ -112,11 +113,7 @@ def paragraph_attrs(el) -> dict[str, str]:
 def paragraph_xml(a: dict[str, str]) -> tuple[str, str]:
     """The content of a w:pPr before and after w:numPr."""
     early = {k: v for k, v in _PARAGRAPH_SWITCHES.items() if k in ("keep_next", "keep_lines", "page_break_before")}
-    out = ""
-    if borders := a.get("borders"):
-        sides = [b.split(":") for b in borders.split(",")]
-        out += "<w:pBdr>" + "".join(f"<w:{s} w:val={quoteattr(v)} w:sz=\"{round(float(z) * 8)}\" w:color={quoteattr(c)}/>" for s, v, z, c in sides) + "</w:pBdr>"
-    out += _fill_xml(a)
+    out = _borders_xml("pBdr", a.get("borders")) + _fill_xml(a)
     if tabs := a.get("tabs"):
         out += "<w:tabs>" + "".join(f'<w:tab w:val={quoteattr(v)} w:leader={quoteattr(e)} w:pos="{round(float(p) * 20)}"/>' for p, v, e in (t.split(":") for t in tabs.split(","))) + "</w:tabs>"
     out += _switches_xml(a, {k: v for k, v in _PARAGRAPH_SWITCHES.items() if k not in early and k != "contextual_spacing"})
@@ -133,6 +130,97 @@ def paragraph_xml(a: dict[str, str]) -> tuple[str, str]:
     return _switches_xml(a, early), out
 
 
+# Tables and forms. A width is "auto", points as "72.0pt" or a share as "50.0%".
+
+
+def _width(el) -> str | None:
+    if el is None:
+        return None
+    size, kind = el.get(f"{W}w"), el.get(f"{W}type") or ""
+    if kind in ("auto", "nil", ""):
+        return "auto"
+    got = _number(size, {"dxa": 20, "pct": 50}.get(kind, 1))
+    return f"{got}{'pt' if kind == 'dxa' else '%'}" if got and kind in ("dxa", "pct") else None
+
+
+def _width_xml(tag: str, width: str | None) -> str:
+    if m := re.fullmatch(r"(-?[0-9.]+)(pt|%)", width or ""):
+        return f'<w:{tag} w:w="{round(float(m[1]) * (20 if m[2] == "pt" else 50))}" w:type="{"dxa" if m[2] == "pt" else "pct"}"/>'
+    return f'<w:{tag} w:w="0" w:type="auto"/>' if width == "auto" else ""
+
+
+def _borders(el, tag: str) -> str:
+    return ",".join(f"{b.tag.removeprefix(W)}:{b.get(f'{W}val') or 'none'}:{_number(b.get(f'{W}sz'), 8) or '0.0'}:{b.get(f'{W}color') or 'auto'}" for x in el.iterfind(f"{W}{tag}") for b in x)
+
+
+def _borders_xml(tag: str, borders: str | None) -> str:
+    sides = [b.split(":") for b in borders.split(",")] if borders else []
+    inner = "".join(f'<w:{s} w:val={quoteattr(v)} w:sz="{round(float(z) * 8)}" w:color={quoteattr(c)}/>' for s, v, z, c in sides)
+    return f"<w:{tag}>{inner}</w:{tag}>" if inner else ""
+
+
+def table_attrs(el) -> dict[str, str]:
+    """Attributes of a w:tbl: style, width, alignment, borders and the grid's widths."""
+    grid = [_number(c.get(f"{W}w"), 20) or "0.0" for c in el.iterfind(f"{W}tblGrid/{W}gridCol")]
+    pr = el.find(f"{W}tblPr")
+    own = {} if pr is None else {"style_id": _said(pr, "tblStyle"), "width": _width(pr.find(f"{W}tblW")), "alignment": _said(pr, "jc"), "borders": _borders(pr, "tblBorders")}
+    return _kept(column_widths=",".join(grid), **own)
+
+
+def table_xml(a: dict[str, str]) -> str:
+    val = lambda tag, key: f"<w:{tag} w:val={quoteattr(a[key])}/>" if key in a else ""
+    pr = val("tblStyle", "style_id") + _width_xml("tblW", a.get("width")) + val("jc", "alignment") + _borders_xml("tblBorders", a.get("borders"))
+    grid = "".join(f'<w:gridCol w:w="{round(float(c) * 20)}"/>' for c in a["column_widths"].split(",")) if a.get("column_widths") else ""
+    return (f"<w:tblPr>{pr}</w:tblPr>" if pr else "") + (f"<w:tblGrid>{grid}</w:tblGrid>" if grid else "")
+
+
+def row_attrs(el) -> dict[str, str]:
+    pr = el.find(f"{W}trPr")
+    if pr is None:
+        return {}
+    height = _number(_said(pr, "trHeight"), 20)
+    return _switches(pr, {"header_row": "tblHeader", "keep_lines": "cantSplit"}) | _kept(height=height, height_rule=(_said(pr, "trHeight", "hRule") or "atLeast") if height else None)
+
+
+def row_xml(a: dict[str, str]) -> str:
+    high = f'<w:trHeight w:val="{round(float(a["height"]) * 20)}" w:hRule={quoteattr(a.get("height_rule", "atLeast"))}/>' if "height" in a else ""
+    pr = _switches_xml(a, {"keep_lines": "cantSplit"}) + high + _switches_xml(a, {"header_row": "tblHeader"})
+    return f"<w:trPr>{pr}</w:trPr>" if pr else ""
+
+
+def cell_attrs(el) -> dict[str, str]:
+    """Attributes of a w:tcPr, but its spans."""
+    return _kept(width=_width(el.find(f"{W}tcW")), vertical_align=_said(el, "vAlign"), background=_fill(el), borders=_borders(el, "tcBorders"))
+
+
+def cell_xml(a: dict[str, str]) -> tuple[str, str]:
+    """The content of a w:tcPr before and after the spans."""
+    side = f"<w:vAlign w:val={quoteattr(a['vertical_align'])}/>" if "vertical_align" in a else ""
+    return _width_xml("tcW", a.get("width")), _borders_xml("tcBorders", a.get("borders")) + _fill_xml(a) + side
+
+
+def form_attrs(el) -> dict[str, str]:
+    """What a w:sdtPr says of a form control: a checkbox, a list of choices or a text field."""
+    box, choices = el.find(f"{W14}checkbox"), el.find(f"{W}dropDownList")
+    if box is not None:
+        state = next((x.get(f"{W14}val") for x in box.iter(f"{W14}checked")), None)
+        return {"form_type": "checkbox", "form_checked": "true" if state in ("1", "true") else "false"}
+    if choices is not None:
+        options = [x.get(f"{W}displayText") or x.get(f"{W}value") or "" for x in choices.iter(f"{W}listItem")]
+        return {"form_type": "dropdown"} | _kept(form_options=",".join(options))
+    return {"form_type": "text"} if el.find(f"{W}text") is not None else {}
+
+
+def form_xml(a: dict[str, str]) -> str:
+    """The content of a w:sdtPr, or nothing for a paragraph that is no form control."""
+    if a.get("form_type") == "checkbox":
+        return f'<w14:checkbox><w14:checked w14:val="{int(a.get("form_checked") == "true")}"/></w14:checkbox>'
+    if a.get("form_type") == "dropdown":
+        options = a["form_options"].split(",") if a.get("form_options") else []
+        return "<w:dropDownList>" + "".join(f"<w:listItem w:displayText={quoteattr(o)} w:value={quoteattr(o)}/>" for o in options) + "</w:dropDownList>"
+    return "<w:text/>" if a.get("form_type") == "text" else ""
+
+
 # Styles: style_id, name, kind, parent_id, next_id, is_default and a map of attributes.
 
 

@@ -277,12 +277,13 @@ class _Reader:
             else:
                 k += 1
 
+    closes: tuple[str | None, dict[int, int]] = (None, {})  # of the text at hand
+
     def link(self, text: str, at: int) -> tuple[str, str, int] | None:
-        depth, end = 1, at
-        while end < len(text) and depth:
-            depth += (text[end] == "[") - (text[end] == "]")
-            end += 2 if text[end] == "\\" else 1
-        if depth:
+        if self.closes[0] is not text:
+            self.closes = text, _closes(text)
+        end = self.closes[1].get(at)
+        if end is None:
             return None
         label = text[at : end - 1]
         if m := re.compile(r"\(\s*(?:<([^<>\n]*)>|((?:[^\s()\\]|\\.|\([^\s()]*\))*))(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?\s*\)").match(text, end):
@@ -292,6 +293,18 @@ class _Reader:
         return (label, self.refs[key], m.end() if m else end) if key in self.refs else None
 
 
+def _closes(text: str) -> dict[int, int]:
+    """Where each bracket's content begins, and the place behind its closing bracket."""
+    out: dict[int, int] = {}
+    open_at: list[int] = []
+    for m in re.finditer(r"(?s)\\.|[\[\]]", text):
+        if m[0] == "[":
+            open_at.append(m.end())
+        elif m[0] == "]" and open_at:
+            out[open_at.pop()] = m.end()
+    return out
+
+
 def _cells(line: str) -> list[str]:
     text = line.strip().removeprefix("|")
     if text.endswith("|") and not text.endswith("\\|"):

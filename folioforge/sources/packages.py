@@ -6,6 +6,7 @@ an error column; a task never fails for one bad document."""
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from xml.etree import ElementTree as ET
@@ -17,6 +18,7 @@ from folioforge.sources.model import Document, Node, new_document
 MOST_BYTES = 256 << 20
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+MATHS = tuple(f"{{http://schemas.openxmlformats.org/officeDocument/2006/math}}{t}" for t in ("oMath", "oMathPara"))
 DRAWING = "http://schemas.openxmlformats.org/drawingml/2006/main"
 PICTURE = "http://schemas.openxmlformats.org/drawingml/2006/picture"
 WP = "{http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing}"
@@ -133,12 +135,13 @@ class _Docx:
         if tag == "p":
             self.paragraph(el, parent, revision)
         elif tag == "tbl":
-            table = parent.add("Table")
+            table = parent.add("Table", **formatting.table_attrs(el))
             for tr in el.findall(f"{W}tr"):
-                row = table.add("TableRow")
+                row = table.add("TableRow", **formatting.row_attrs(tr))
                 for tc in tr.findall(f"{W}tc"):
                     cell, pr = row.add("TableCell"), tc.find(f"{W}tcPr")
                     if pr is not None:
+                        cell.attrs |= formatting.cell_attrs(pr)
                         if (span := pr.find(f"{W}gridSpan")) is not None:
                             cell.attrs["col_span"] = span.get(f"{W}val", "1")
                         if (merge := pr.find(f"{W}vMerge")) is not None:
@@ -149,11 +152,17 @@ class _Docx:
             content, pr = el.find(f"{W}sdtContent"), el.find(f"{W}sdtPr")
             gallery = pr.find(f".//{W}docPartGallery") if pr is not None else None
             own = parent.add("TableOfContents") if gallery is not None and gallery.get(f"{W}val") == "Table of Contents" else parent
+            before = len(own.kids)
             for kid in content if content is not None else ():
                 self.block(kid, own, revision)
+            if own is parent and pr is not None and (form := formatting.form_attrs(pr)):
+                made = next((k for k in own.kids[before:] if k.kind == "Paragraph"), None)
+                (made or own.add("Paragraph")).attrs |= form
         elif tag in ("ins", "del", "moveTo", "moveFrom"):
             for kid in el:
                 self.block(kid, parent, self.revision(el))
+        elif tag in MATHS:
+            parent.add("Paragraph").add("Equation", source=ET.tostring(el, "unicode"))
 
     @staticmethod
     def revision(el) -> dict[str, str]:
@@ -192,6 +201,8 @@ class _Docx:
             elif tag in ("bookmarkStart", "bookmarkEnd", "commentRangeStart", "commentRangeEnd"):
                 kind = {"bookmarkStart": "BookmarkStart", "bookmarkEnd": "BookmarkEnd", "commentRangeStart": "CommentStart", "commentRangeEnd": "CommentEnd"}[tag]
                 para.add(kind, ref=kid.get(f"{W}id", ""), **({"name": kid.get(f"{W}name")} if kid.get(f"{W}name") else {}))
+            elif tag in MATHS:
+                para.add("Equation", source=ET.tostring(kid, "unicode").strip())
             elif tag in ("smartTag", "sdt", "sdtContent"):
                 self.inlines(kid, para, more, revision)
 
@@ -300,6 +311,8 @@ def write_docx(doc: Document) -> bytes:
         marks = {"BookmarkStart": "bookmarkStart", "BookmarkEnd": "bookmarkEnd", "CommentStart": "commentRangeStart", "CommentEnd": "commentRangeEnd"}
         if k in marks:
             return f"<w:{marks[k]} w:id={quoteattr(a.get('ref', ''))}" + (f" w:name={quoteattr(a['name'])}" if "name" in a else "") + "/>"
+        if k == "Equation":
+            return _fragment(a.get("source", ""))
         if k == "Image" and a.get("src") in doc.media:
             size = f'cx="{a.get("width_emu", "914400")}" cy="{a.get("height_emu", "914400")}"'
             own = pictures.setdefault(a["src"], f"rIdM{len(pictures) + 1}")
@@ -325,24 +338,28 @@ def write_docx(doc: Document) -> bytes:
         pr += after
         if (at := a.get("section_index", "")).isdigit() and int(at) < len(doc.sections):
             pr += formatting.section_xml(doc.sections[int(at)], ids)
-        return f"<w:p>{f'<w:pPr>{pr}</w:pPr>' if pr else ''}{''.join(map(inline, node.kids))}</w:p>"
+        out = f"<w:p>{f'<w:pPr>{pr}</w:pPr>' if pr else ''}{''.join(map(inline, node.kids))}</w:p>"
+        form = formatting.form_xml(a)
+        return f"<w:sdt><w:sdtPr>{form}</w:sdtPr><w:sdtContent>{out}</w:sdtContent></w:sdt>" if form else out
 
     def block(node: Node) -> str:
         if node.kind == "Paragraph":
             return paragraph(node)
         if node.kind == "Table":
             def cell(c: Node) -> str:
-                pr = "".join((f'<w:gridSpan w:val="{c.attrs["col_span"]}"/>' if "col_span" in c.attrs else "", f'<w:vMerge w:val="{c.attrs["row_span"]}"/>' if "row_span" in c.attrs else ""))
+                early, late = formatting.cell_xml(c.attrs)
+                pr = "".join((early, f'<w:gridSpan w:val="{c.attrs["col_span"]}"/>' if "col_span" in c.attrs else "", f'<w:vMerge w:val="{c.attrs["row_span"]}"/>' if "row_span" in c.attrs else "", late))
                 return f"<w:tc>{f'<w:tcPr>{pr}</w:tcPr>' if pr else ''}{''.join(map(block, c.kids)) or '<w:p/>'}</w:tc>"
 
-            return "<w:tbl>" + "".join(f"<w:tr>{''.join(map(cell, r.kids))}</w:tr>" for r in node.kids) + "</w:tbl>"
+            rows = "".join(f"<w:tr>{formatting.row_xml(r.attrs)}{''.join(map(cell, r.kids))}</w:tr>" for r in node.kids)
+            return f"<w:tbl>{formatting.table_xml(node.attrs)}{rows}</w:tbl>"
         inner = "".join(map(block, node.kids))
         if node.kind == "TableOfContents":
             return f'<w:sdt><w:sdtPr><w:docPartObj><w:docPartGallery w:val="Table of Contents"/></w:docPartObj></w:sdtPr><w:sdtContent>{inner}</w:sdtContent></w:sdt>'
         return inner
 
     space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
-    space += f' xmlns:wp="{WP[1:-1]}" xmlns:a="{DRAWING}" xmlns:pic="{PICTURE}"'
+    space += f' xmlns:wp="{WP[1:-1]}" xmlns:a="{DRAWING}" xmlns:pic="{PICTURE}" xmlns:w14="{formatting.W14[1:-1]}"'
     head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
     inner = "".join(map(block, doc.body.kids))
     inline_sections = {n.attrs["section_index"] for n in doc.body.walk() if "section_index" in n.attrs}
@@ -398,6 +415,15 @@ def write_docx(doc: Document) -> bytes:
     return write_package([(n, zipfile.ZIP_DEFLATED, _clean(x).encode()) for n, x in files] + stored)
 
 
+def _fragment(xml: str) -> str:
+    """An equation's XML, or nothing if it isn't one."""
+    try:
+        el = ET.fromstring(xml)
+    except ET.ParseError:
+        return ""
+    return ET.tostring(el, "unicode") if el.tag in MATHS else ""
+
+
 def _clean(xml: str) -> str:
     """Without characters that XML 1.0 can't hold."""
     return re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿\ud800-\udfff]", "", xml)
@@ -409,6 +435,7 @@ _O = "urn:oasis:names:tc:opendocument:xmlns:"
 OFFICE, TEXT, TABLE, STYLE, FO = (f"{{{_O}{x}:1.0}}" for x in ("office", "text", "table", "style", "xsl-fo-compatible"))
 DRAW = f"{{{_O}drawing:1.0}}"
 SVG = f"{{{_O}svg-compatible:1.0}}"
+DC = "{http://purl.org/dc/elements/1.1/}"
 XLINK = "{http://www.w3.org/1999/xlink}"
 
 
@@ -423,6 +450,8 @@ class _Odt:
             body = tree.find(f"{OFFICE}body/{OFFICE}text")
             for kid in body if body is not None else ():
                 self.block(kid, self.doc.body, {})
+            if body is not None and (changes := [c for r in body.iterfind(f"{TEXT}tracked-changes/{TEXT}changed-region") for c in self.change(r)]):
+                self.doc.body.attrs["tracked_changes"] = json.dumps(changes, sort_keys=True)
             sheet = _xml(z, "styles.xml")
             self.doc.styles, self.doc.defaults = odf_formatting.styles_of(sheet)
             self.doc.media = {f"media/{n.removeprefix('Pictures/')}": z.read(n) for n in z.namelist() if re.match("Pictures/.", n)}
@@ -495,6 +524,16 @@ class _Odt:
                 alt = next((x.text for n in ("desc", "title") for x in kid.findall(f"{SVG}{n}") if x.text), None)
                 own.attrs |= {"alt": alt} if alt else {}
                 own.attrs |= {k: str(round(float(v) * 12700)) for k, n in (("width_emu", "width"), ("height_emu", "height")) if (v := odf_formatting.points(kid.get(f"{SVG}{n}")))}
+            elif kid.tag in (f"{OFFICE}annotation", f"{OFFICE}annotation-end"):
+                name = kid.get(f"{OFFICE}name", "")
+                if kid.tag.endswith("-end"):
+                    para.add("CommentEnd", ref=name)
+                else:
+                    para.add("CommentStart", ref=name)
+                    said = {k: kid.findtext(f"{DC}{t}") for k, t in (("author", "creator"), ("date", "date"))}
+                    own = self.doc.root.add("CommentBody", note_id=name, **{k: v for k, v in said.items() if v})
+                    for x in kid:
+                        self.block(x, own, {})
             elif kid.tag == f"{TEXT}note":
                 kind = "Endnote" if kid.get(f"{TEXT}note-class") == "endnote" else "Footnote"
                 para.add(f"{kind}Ref", ref=kid.get(f"{TEXT}id", ""))
@@ -504,6 +543,13 @@ class _Odt:
                     self.block(x, own, {})
             para.run(self.space(kid.tail), **attrs)
 
+    @staticmethod
+    def change(region) -> list[dict[str, str]]:
+        """Id, type, author and date of a changed region; a region without a type says nothing."""
+        own = region.get(f"{TEXT}id") or region.get("{http://www.w3.org/XML/1998/namespace}id") or ""
+        kinds = [x for x in region if x.tag in {f"{TEXT}{t}" for t in ("insertion", "deletion", "format-change")}]
+        return [{"id": own, "type": x.tag.split("}")[1], "author": next((e.text or "" for e in x.iter(f"{DC}creator")), ""), "date": next((e.text or "" for e in x.iter(f"{DC}date")), "")} for x in kinds]
+
     @staticmethod
     def space(text: str | None) -> str:
         return re.sub(r"[ \t\r\n]+", " ", text or "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zipfile
 from xml.etree import ElementTree as ET
 
@@ -10,6 +11,7 @@ import pytest
 from folioforge.operators import write_text
 from folioforge.plans import api
 from folioforge.sources import formatting, odf_formatting
+from folioforge.sources.markdown import read_markdown
 from folioforge.sources.packages import package_parts, read_docx, read_odt, write_docx, write_odt, write_package
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -113,3 +115,50 @@ def test_odf_values():
     assert odf_formatting.run_attrs(text) == {"bold": "true", "vertical_align": "subscript", "language": "en-US"}
     para = ET.fromstring(f'<s:paragraph-properties {space} f:line-height="150%" f:text-align="end" f:keep-together="always" f:margin-left="-1cm"/>')
     assert odf_formatting.paragraph_attrs(para) == {"alignment": "right", "keep_lines": "true", "line_spacing": "1.5", "indent_left": "-28.3465"}
+
+
+def _docx(body: str) -> bytes:
+    spaces = f'{W} xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math" xmlns:w14="http://schemas.microsoft.com/office/word/2010/wordml"'
+    return write_package([("word/document.xml", zipfile.ZIP_DEFLATED, f"<w:document {spaces}><w:body>{body}</w:body></w:document>".encode())])
+
+
+def test_tables_forms_and_equations():
+    table = """<w:tbl><w:tblPr><w:tblStyle w:val="Grid"/><w:tblW w:w="2500" w:type="pct"/><w:jc w:val="center"/><w:tblBorders><w:top w:val="single" w:sz="8" w:color="000000"/></w:tblBorders></w:tblPr>
+<w:tblGrid><w:gridCol w:w="1440"/><w:gridCol w:w="720"/></w:tblGrid><w:tr><w:trPr><w:cantSplit/><w:trHeight w:val="400" w:hRule="exact"/><w:tblHeader/></w:trPr>
+<w:tc><w:tcPr><w:tcW w:w="1440" w:type="dxa"/><w:shd w:fill="AABBCC"/><w:vAlign w:val="center"/></w:tcPr><w:p><w:r><w:t>x</w:t></w:r></w:p></w:tc><w:tc><w:p/></w:tc></w:tr></w:tbl>"""
+    forms = "".join(f"<w:sdt><w:sdtPr>{pr}</w:sdtPr><w:sdtContent>{c}</w:sdtContent></w:sdt>" for pr, c in (
+        ('<w14:checkbox><w14:checked w14:val="1"/></w14:checkbox>', "<w:p><w:r><w:t>yes</w:t></w:r></w:p>"),
+        ('<w:dropDownList><w:listItem w:displayText="a"/><w:listItem w:value="b"/></w:dropDownList>', ""), ("<w:text/>", "<w:p/>"),
+    ))
+    maths = "<w:p><m:oMath><m:r><m:t>e=1</m:t></m:r></m:oMath><w:r><w:t> holds</w:t></w:r></w:p>"
+    doc = read_docx(_docx(table + forms + maths))
+    for again in (doc, read_docx(write_docx(doc))):
+        grid, check, choice, field, equation = again.body.kids
+        assert grid.attrs == {"style_id": "Grid", "width": "50.0%", "alignment": "center", "borders": "top:single:1.0:000000", "column_widths": "72.0,36.0"}
+        assert grid.kids[0].attrs == {"header_row": "true", "keep_lines": "true", "height": "20.0", "height_rule": "exact"}
+        assert [c.attrs for c in grid.kids[0].kids] == [{"width": "72.0pt", "vertical_align": "center", "background": "AABBCC"}, {}]
+        assert (check.attrs, check.plain()) == ({"form_type": "checkbox", "form_checked": "true"}, "yes")
+        assert choice.attrs == {"form_type": "dropdown", "form_options": "a,b"} and field.attrs == {"form_type": "text"}
+        assert [k.kind for k in equation.kids] == ["Equation", "Run"] and equation.plain() == " holds"
+        assert "".join(ET.fromstring(equation.kids[0].attrs["source"]).itertext()) == "e=1"
+    equation.kids[0].attrs["source"] = "<broken"
+    assert read_docx(write_docx(again)).body.kids[-1].plain() == " holds"
+
+
+def test_odt_annotations_and_changes():
+    names = {"office": "office", "text": "text"}
+    space = " ".join(f'xmlns:{p}="urn:oasis:names:tc:opendocument:xmlns:{x}:1.0"' for p, x in names.items()) + ' xmlns:dc="http://purl.org/dc/elements/1.1/"'
+    body = """<text:tracked-changes><text:changed-region text:id="c1"><text:deletion><office:change-info><dc:creator>me</dc:creator><dc:date>2024-01-01</dc:date></office:change-info><text:p>gone</text:p></text:deletion></text:changed-region>
+<text:changed-region text:id="c2"/></text:tracked-changes><text:p>a<office:annotation office:name="n1"><dc:creator>you</dc:creator><dc:date>2024-02-02</dc:date><text:p>why</text:p></office:annotation>b<office:annotation-end office:name="n1"/></text:p>"""
+    xml = f"<office:document-content {space}><office:body><office:text>{body}</office:text></office:body></office:document-content>"
+    doc = read_odt(write_package([("content.xml", zipfile.ZIP_DEFLATED, xml.encode())]))
+    assert json.loads(doc.body.attrs["tracked_changes"]) == [{"id": "c1", "type": "deletion", "author": "me", "date": "2024-01-01"}]
+    assert [k.kind for k in doc.body.kids[0].kids] == ["Run", "CommentStart", "Run", "CommentEnd"] and doc.body.kids[0].plain() == "ab"
+    note = doc.root.kids[1]
+    assert (note.kind, note.attrs, note.plain()) == ("CommentBody", {"note_id": "n1", "author": "you", "date": "2024-02-02"}, "why")
+
+
+def test_brackets_take_linear_time():
+    assert read_markdown("[" * 20_000).body.kids[0].plain() == "[" * 20_000
+    runs = {r.plain(): r.attrs.get("url") for r in read_markdown("[[a] b](u) \\[c](v) [d\\]e](w) `[`x](y)").body.kids[0].kids}
+    assert runs["[a] b"] == "u" and runs["d]e"] == "w" and all(u in (None, "u", "w") for u in runs.values())
