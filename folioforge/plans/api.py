@@ -165,14 +165,14 @@ def export(opened: DataFrame, to: str) -> DataFrame:
 
 
 def _facts(docs: DataFrame, facts: Callable[[model.Document], list[dict]], kind: pa.StructType, ddl: str) -> DataFrame:
-    """doc_id and one row for each struct that ``facts`` finds in a DOCX; documents that can't be read have none."""
+    """doc_id and one row for each struct that ``facts`` finds in a document; those that can't be read have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [attempt(lambda c=c: facts(read_docx(c.as_py() or b"")))[0] or [] for c in b.column("content")]
+            got = [attempt(lambda c=c, f=f: facts(_read(c.as_py(), f.as_py())))[0] or [] for c, f in zip(b.column("content"), b.column("format"), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, pa.list_(kind))], names=["doc_id", "facts"])
 
-    own = docs.select("doc_id", "content")
+    own = _with_format(docs, None)
     return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, facts array<struct<{ddl}>>").select("doc_id", F.inline("facts"))
 
 
@@ -180,8 +180,8 @@ _ATTRS = pa.map_(pa.string(), pa.string())
 
 
 def styles_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, ix, style_id, name, kind, parent_id, next_id, is_default, attrs) of the styles of DOCX documents, in
-    their order; of styles with equal ids the last. The document's defaults are a row of kind defaults without an id."""
+    """(doc_id, ix, style_id, name, kind, parent_id, next_id, is_default, attrs) of the styles of DOCX and ODT
+    documents, in their order; of styles with equal ids the last. The document's defaults are a row of kind defaults without an id."""
 
     def facts(doc: model.Document) -> list[dict]:
         base = [{"ix": -1, "kind": "defaults", "is_default": True, "attrs": list(doc.defaults.items())}] if doc.defaults else []
@@ -193,13 +193,13 @@ def styles_of(docs: DataFrame) -> DataFrame:
 
 
 def sections_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, ix, attrs) of the sections of DOCX documents: page, margins, columns, break and references."""
+    """(doc_id, ix, attrs) of the sections of DOCX and ODT documents: page, margins, columns, break and references."""
     kind = pa.struct([("ix", pa.int64()), ("attrs", _ATTRS)])
     return _facts(docs, lambda d: [{"ix": i, "attrs": list(s.items())} for i, s in enumerate(d.sections)], kind, "ix:bigint,attrs:map<string,string>")
 
 
 def media_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, path, data) of the pictures and other media of DOCX documents."""
+    """(doc_id, path, data) of the pictures and other media of DOCX and ODT documents."""
     kind = pa.struct([("path", pa.string()), ("data", pa.binary())])
     return _facts(docs, lambda d: [{"path": p, "data": x} for p, x in d.media.items()], kind, "path:string,data:binary")
 

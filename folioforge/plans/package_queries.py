@@ -44,6 +44,11 @@ def _at(key: str) -> Column:
     return F.try_element_at("attrs", F.lit(key))
 
 
+def _style_facts(docs: DataFrame) -> DataFrame:
+    got = api.styles_of(docs)
+    return got.select("doc_id", "ix", "style_id", "name", "parent_id", _at("color").alias("colour"), _at("font_size").cast("double").alias("size"), _at("spacing_before").cast("double").alias("before"))
+
+
 @query(
     "docx_styles",
     """SELECT s_nationkey AS doc_id, row_number() OVER w - 1 AS ix, 'S' || s_suppkey AS style_id, s_name AS name, 'S' || lag(s_suppkey) OVER w AS parent_id,
@@ -51,8 +56,18 @@ def _at(key: str) -> Column:
 FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)""",
 )
 def docx_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = api.styles_of(_styled(spark, sf_dir))
-    return got.select("doc_id", "ix", "style_id", "name", "parent_id", _at("color").alias("colour"), _at("font_size").cast("double").alias("size"), _at("spacing_before").cast("double").alias("before"))
+    return _style_facts(_styled(spark, sf_dir))
+
+
+@query(
+    "odt_styles",
+    """SELECT s_nationkey AS doc_id, row_number() OVER w - 1 AS ix, 'S' || s_suppkey AS style_id, s_name AS name, 'S' || lag(s_suppkey) OVER w AS parent_id,
+  CASE WHEN s_suppkey % 3 = 0 THEN printf('%06d', s_suppkey) END AS colour, CASE WHEN s_suppkey % 2 = 0 THEN (s_suppkey % 90 + 10) / 2.0::DOUBLE END AS size, (s_suppkey % 100)::DOUBLE AS before
+FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)""",
+)
+def odt_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The styles of DOCX packages after they were converted to ODT."""
+    return _style_facts(api.convert(_styled(spark, sf_dir), "odt", "docx"))
 
 
 @query(
@@ -119,3 +134,52 @@ def docx_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "text", get("run", "bold").alias("bold"), get("run", "font_size").cast("double").alias("size"), get("run", "font_family").alias("font"),
         get("para", "indent_left").cast("double").alias("indent"), get("para", "line_rule").alias("line_rule"), get("para", "line_spacing").cast("double").alias("line"),
     )
+
+
+@query(
+    "docx_tables",
+    """SELECT l_orderkey AS doc_id, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (WHERE l_returnflag = 'N') AS BIGINT) AS n_headers, sum(l_partkey % 500)::DOUBLE AS cell_widths,
+  any_value(l_orderkey % 100 + 1)::DOUBLE || '%' AS width, string_agg(CAST(l_linenumber AS DOUBLE), ',' ORDER BY l_linenumber) AS column_widths FROM lineitem GROUP BY 1""",
+)
+def docx_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of an order's lines, their properties read, written and read again."""
+    number = lambda c, by: (F.col(c) * by).cast("string")
+    head = F.when(F.col("l_returnflag") == "N", "<w:trPr><w:tblHeader/></w:trPr>").otherwise("")
+    row = F.concat(F.lit("<w:tr>"), head, F.lit('<w:tc><w:tcPr><w:tcW w:type="dxa" w:w="'), (F.col("l_partkey") % 500 * 20).cast("string"), F.lit('"/></w:tcPr><w:p/></w:tc></w:tr>'))
+    grid = F.concat(F.lit('<w:gridCol w:w="'), number("l_linenumber", 20), F.lit('"/>'))
+    pieces = F.array_sort(F.collect_list(F.struct("l_linenumber", grid.alias("grid"), row.alias("row"))))
+    docs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(pieces.alias("pieces"))
+    joined = lambda k: F.array_join(F.transform("pieces", lambda p: p[k]), "")
+    xml = F.concat(
+        F.lit(f'<w:document {_W}><w:body><w:tbl><w:tblPr><w:tblW w:type="pct" w:w="'), ((F.col("doc_id") % 100 + 1) * 50).cast("string"),
+        F.lit('"/></w:tblPr><w:tblGrid>'), joined("grid"), F.lit("</w:tblGrid>"), joined("row"), F.lit("</w:tbl></w:body></w:document>"),
+    )
+    packed = api.pack(docs.select("doc_id", F.array(_entry("word/document.xml", xml)).alias("entries")))
+    opened = api.open_documents(api.convert(packed, "docx", "docx").select("doc_id", "content"), "docx")
+    of = lambda kind: F.filter("nodes", lambda n: n["node_type"] == kind)
+    get = lambda n, k: F.try_element_at(n["attrs"], F.lit(k))
+    first = F.get(of("Table"), F.lit(0))
+    points = F.transform(of("TableCell"), lambda c: F.regexp_replace(get(c, "width"), "pt$", "").cast("double"))
+    headers = F.filter(of("TableRow"), lambda r: get(r, "header_row") == "true")
+    return opened.select("doc_id", F.size(of("TableRow")).cast("bigint").alias("n_rows"), F.size(headers).cast("bigint").alias("n_headers"), F.aggregate(points, F.lit(0.0), lambda a, x: a + x).alias("cell_widths"), get(first, "width").alias("width"), get(first, "column_widths").alias("column_widths"))
+
+
+@query(
+    "docx_forms",
+    """SELECT o_orderkey AS doc_id, CASE o_orderstatus WHEN 'F' THEN 'checkbox' WHEN 'O' THEN 'dropdown' ELSE 'text' END AS form_type, CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END END AS checked,
+  CASE WHEN o_orderstatus = 'O' THEN o_orderpriority || ',' || o_custkey END AS options, o_orderpriority AS text FROM orders""",
+)
+def docx_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form controls of packages that were read, written and read again."""
+    box = F.concat(F.lit('<w14:checkbox><w14:checked w14:val="'), F.when(F.col("o_orderkey") % 2 == 0, "1").otherwise("0"), F.lit('"/></w14:checkbox>'))
+    choices = F.concat(F.lit('<w:dropDownList><w:listItem w:displayText="'), F.col("o_orderpriority"), F.lit('"/><w:listItem w:value="'), F.col("o_custkey").cast("string"), F.lit('"/></w:dropDownList>'))
+    kind = F.when(F.col("o_orderstatus") == "F", box).when(F.col("o_orderstatus") == "O", choices).otherwise("<w:text/>")
+    xml = F.concat(
+        F.lit(f'<w:document {_W} xmlns:w14="http://schemas.microsoft.com/office/word/2010/wordml"><w:body><w:sdt><w:sdtPr>'), kind,
+        F.lit("</w:sdtPr><w:sdtContent><w:p><w:r><w:t>"), F.col("o_orderpriority"), F.lit("</w:t></w:r></w:p></w:sdtContent></w:sdt></w:body></w:document>"),
+    )
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.array(_entry("word/document.xml", xml)).alias("entries"))
+    opened = api.open_documents(api.convert(api.pack(docs), "docx", "docx").select("doc_id", "content"), "docx")
+    of = lambda k: F.get(F.filter("nodes", lambda n: n["node_type"] == k), F.lit(0))
+    get = lambda k: F.try_element_at(of("Paragraph")["attrs"], F.lit(k))
+    return opened.select("doc_id", get("form_type").alias("form_type"), get("form_checked").alias("checked"), get("form_options").alias("options"), of("Text")["text"].alias("text"))
