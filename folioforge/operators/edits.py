@@ -165,17 +165,23 @@ class History:
         self.redo_stack.clear()
 
     def undo(self) -> bool:
-        if not self.undo_stack:
-            return False
-        self.redo_stack.append(self.tree.transact(self.undo_stack.pop()))
-        return True
+        return self._step(self.undo_stack, self.redo_stack)
 
     def redo(self) -> bool:
-        if not self.redo_stack:
+        return self._step(self.redo_stack, self.undo_stack)
+
+    def _step(self, taken: list, given: list) -> bool:
+        """A transaction that fails keeps its place on its stack."""
+        if not taken:
             return False
-        self.undo_stack.append(self.tree.transact(self.redo_stack.pop()))
+        given.append(self.tree.transact(taken[-1]))
+        taken.pop()
         return True
 
+    def clear(self) -> None:
+        self.undo_stack.clear()
+        self.redo_stack.clear()
+
 
 def tree_of(rows: pd.DataFrame) -> Tree:
     tree = Tree()
@@ -190,32 +196,55 @@ def tree_of(rows: pd.DataFrame) -> Tree:
 
 def rows_of(doc_id: int, tree: Tree) -> pd.DataFrame:
     out = []
+    place = {kid: ix for n in tree.nodes.values() for ix, kid in enumerate(n["kids"])}
     for i, n in tree.nodes.items():
-        ix = tree.nodes[n["parent"]]["kids"].index(i) if n["parent"] is not None else 0
-        out.append((doc_id, i, n["parent"], ix, n["kind"], n["text"], json.dumps(n["attrs"], sort_keys=True)))
+        out.append((doc_id, i, n["parent"], place.get(i, 0), n["kind"], n["text"], json.dumps(n["attrs"], sort_keys=True)))
     frame = pd.DataFrame(out, columns=[c.split()[0] for c in NODES.split(", ")])
     frame["parent_id"] = frame["parent_id"].astype("Int64")
     return frame
 
 
+def _replayed(own: pd.DataFrame, log: pd.DataFrame) -> tuple[Tree, list[tuple[int, bool, str | None]]]:
+    """The tree after a log, and of each transaction whether it took effect, else why not."""
+    history, outcomes = History(tree_of(own)), []
+    for number, txn in log.sort_values(["txn", "seq"]).groupby("txn", sort=True):
+        kind = txn["kind"].iloc[0]
+        try:
+            if kind in ("undo", "redo"):
+                done, error = getattr(history, kind)(), f"nothing to {kind}"
+            else:
+                history.edit([(r.kind, None if pd.isna(r.node_id) else int(r.node_id), json.loads(r.args) if isinstance(r.args, str) else {}) for r in txn.itertuples()])
+                done, error = True, None
+        except EditError as e:  # a transaction that fails leaves no trace
+            done, error = False, str(e)
+        outcomes.append((int(number), done, None if done else error))
+    return history.tree, outcomes
+
+
 def apply_log(nodes: DataFrame, ops: DataFrame) -> DataFrame:
     """Node rows after the log: transactions in order, each whole or not at all; ``undo`` and ``redo`` are
-    transactions of their own."""
+    transactions of their own. A document without nodes has none afterwards."""
 
     def fold(key, own: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
-        if not len(own):
-            return rows_of(key[0], Tree())
-        history = History(tree_of(own))
-        for _, txn in log.sort_values(["txn", "seq"]).groupby("txn", sort=True):
-            kinds = list(txn["kind"])
-            if kinds[0] in ("undo", "redo"):
-                getattr(history, kinds[0])()
-                continue
-            one = [(r.kind, None if pd.isna(r.node_id) else int(r.node_id), json.loads(r.args) if isinstance(r.args, str) else {}) for r in txn.itertuples()]
-            try:
-                history.edit(one)
-            except EditError:
-                continue  # a transaction that fails leaves no trace
-        return rows_of(key[0], history.tree)
+        return rows_of(key[0], _replayed(own, log)[0] if len(own) else Tree())
 
     return nodes.groupBy("doc_id").cogroup(ops.groupBy("doc_id")).applyInPandas(fold, NODES)
+
+
+OUTCOMES = "doc_id bigint, txn bigint, done boolean, error string, meta map<string,string>"
+
+
+def log_outcomes(nodes: DataFrame, ops: DataFrame) -> DataFrame:
+    """(doc_id, txn, done, error, meta): what became of each transaction of the log, and on each document's last
+    one its metadata afterwards. Transactions of a document without nodes are not done."""
+
+    def fold(key, own: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
+        if len(own):
+            tree, outcomes = _replayed(own, log)
+        else:
+            tree, outcomes = Tree(), [(int(t), False, "the document has no nodes") for t in sorted(set(log["txn"]))]
+        last = len(outcomes) - 1
+        rows = [(key[0], *o, {k: str(v) for k, v in tree.meta.items()} if i == last else None) for i, o in enumerate(outcomes)]
+        return pd.DataFrame(rows, columns=["doc_id", "txn", "done", "error", "meta"])
+
+    return nodes.groupBy("doc_id").cogroup(ops.groupBy("doc_id")).applyInPandas(fold, OUTCOMES)

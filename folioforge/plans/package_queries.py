@@ -1,11 +1,11 @@
-"""Registered queries over DOCX packages made from the tables, each with its SQL twin."""
+"""Registered queries over packages made from the tables, and over logs of edits, each with its SQL twin."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioforge.operators import tree
+from folioforge.operators import edits, tree
 from folioforge.plans import api
 from folioforge.plans.catalogue import query, table
 
@@ -183,3 +183,25 @@ def docx_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda k: F.get(F.filter("nodes", lambda n: n["node_type"] == k), F.lit(0))
     get = lambda k: F.try_element_at(of("Paragraph")["attrs"], F.lit(k))
     return opened.select("doc_id", get("form_type").alias("form_type"), get("form_checked").alias("checked"), get("form_options").alias("options"), of("Text")["text"].alias("text"))
+
+
+@query(
+    "edit_outcomes",
+    """WITH o AS (SELECT o_custkey AS doc_id, o_orderkey AS txn, o_orderkey % 3 <> 1 AS done, o_orderstatus AS k, o_orderkey % 3 = 0 AS says FROM orders)
+SELECT doc_id, txn, done, CASE WHEN txn = max(txn) OVER (PARTITION BY doc_id) THEN
+  coalesce(CAST(max(txn) FILTER (WHERE says AND k = 'F') OVER (PARTITION BY doc_id) AS VARCHAR), '') || '/' || coalesce(CAST(max(txn) FILTER (WHERE says AND k = 'O') OVER (PARTITION BY doc_id) AS VARCHAR), '') END AS said FROM o""",
+)
+def edit_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log that sets metadata, deletes the root, which can't be, or sets attributes."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("txn"), "o_orderstatus")
+    rest = F.col("txn") % 3
+    kind = F.when(rest == 0, "set_meta").when(rest == 1, "delete").otherwise("set_attrs")
+    said = F.to_json(F.struct(F.col("o_orderstatus").alias("key"), F.col("txn").cast("string").alias("value")))
+    args = F.when(rest == 0, said).when(rest == 2, '{"attrs": {"alignment": "left"}}')
+    node = F.when(rest == 1, F.lit(0)).when(rest == 2, F.lit(2)).cast("bigint")
+    ops = orders.select("doc_id", "txn", F.lit(0).cast("bigint").alias("seq"), kind.alias("kind"), node.alias("node_id"), args.alias("args"))
+    shape = F.array(*[F.struct(F.lit(i).cast("bigint").alias("node_id"), F.lit(p).cast("bigint").alias("parent_id"), F.lit(0).cast("bigint").alias("child_ix"), F.lit(k).alias("node_type")) for i, p, k in ((0, None, "Document"), (1, 0, "Body"), (2, 1, "Paragraph"))])
+    own = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.inline(shape)).withColumns({"text": F.lit(None).cast("string"), "attrs": F.lit("{}")})
+    got = edits.log_outcomes(own, ops)
+    at = lambda k: F.coalesce(F.try_element_at("meta", F.lit(k)), F.lit(""))
+    return got.select("doc_id", "txn", "done", F.when(F.col("meta").isNotNull(), F.concat(at("F"), F.lit("/"), at("O"))).alias("said"))

@@ -8,7 +8,7 @@ from xml.etree import ElementTree as ET
 
 import pytest
 
-from folioforge.operators import write_text
+from folioforge.operators import edits, write_text
 from folioforge.plans import api
 from folioforge.sources import formatting, odf_formatting
 from folioforge.sources.markdown import read_markdown
@@ -162,3 +162,17 @@ def test_brackets_take_linear_time():
     assert read_markdown("[" * 20_000).body.kids[0].plain() == "[" * 20_000
     runs = {r.plain(): r.attrs.get("url") for r in read_markdown("[[a] b](u) \\[c](v) [d\\]e](w) `[`x](y)").body.kids[0].kids}
     assert runs["[a] b"] == "u" and runs["d]e"] == "w" and all(u in (None, "u", "w") for u in runs.values())
+
+
+def test_a_failing_undo_keeps_its_place():
+    t = edits.Tree({0: {"parent": None, "kind": "Document", "text": None, "attrs": {}, "kids": []}})
+    t.insert(0, 0, 1, "Body")
+    h = edits.History(t)
+    h.edit([("insert", 2, {"parent": 1, "ix": 0, "kind": "Paragraph"})])
+    del t.nodes[2]
+    t.nodes[1]["kids"].clear()
+    with pytest.raises(edits.EditError):
+        h.undo()
+    assert len(h.undo_stack) == 1 and not h.redo_stack
+    h.clear()
+    assert not h.undo() and not h.redo()
