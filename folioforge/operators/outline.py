@@ -30,25 +30,29 @@ def sections(lined: DataFrame) -> DataFrame:
     )
 
 
+def _with_numbers(lined: DataFrame, doc: str, order: str, reset: bool) -> DataFrame:
+    """Adds ``number`` to all rows, null but for ordered items. Rows move once: every window starts from ``doc``."""
+    run = W.partitionBy(doc).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    listed = F.col("kind").isin("bullet", "number")
+    rows = lined.withColumn("__group", F.sum(F.when(listed, 0).otherwise(1)).over(run)) if reset else lined.repartition(doc).withColumn("__group", F.lit(0))
+    key = W.partitionBy(doc, "__group", "level", "kind").orderBy(order)
+    first = F.first("start").over(key.rowsBetween(W.unboundedPreceding, W.currentRow))
+    number = (F.row_number().over(key) + F.greatest(first - 1, F.lit(0))).cast("long")
+    return rows.withColumn("number", F.when(F.col("kind") == "number", number)).drop("__group")
+
+
 def numbered(items: DataFrame, doc: str = "doc_id", order: str = "line_no", fmt: Column | None = None, reset: bool = True) -> DataFrame:
     """Adds ``number`` and ``label`` to ordered items of rows with kind, level and start.
 
     Counters run per level and start from the first item's start. With ``reset`` (plain text) any line
     that is no item clears all counters; without it (Markdown) they run through the document."""
-    run = W.partitionBy(doc).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    listed = F.col("kind").isin("bullet", "number")
-    group = F.sum(F.when(listed, 0).otherwise(1)).over(run) if reset else F.lit(0)
-    rows = items.withColumn("__group", group).filter(F.col("kind") == "number")
-    key = W.partitionBy(doc, "__group", "level").orderBy(order)
-    first = F.first("start").over(key.rowsBetween(W.unboundedPreceding, W.currentRow))
-    rows = rows.withColumn("number", (F.row_number().over(key) + F.greatest(first - 1, F.lit(0))).cast("long")).drop("__group")
+    rows = _with_numbers(items, doc, order, reset).filter(F.col("kind") == "number")
     return rows.withColumn("label", markers.item_label(F.lit("decimal") if fmt is None else fmt, F.col("number")))
 
 
 def text_export(lined: DataFrame) -> DataFrame:
     """(doc_id, text): plain text written from lines. A page break writes its mark and its empty paragraph."""
-    number = numbered(lined).select("doc_id", "line_no", "number")
-    rows = lined.join(number, ["doc_id", "line_no"], "left")
+    rows = _with_numbers(lined, "doc_id", "line_no", reset=True)
     indent = F.repeat(F.lit("  "), F.col("level").cast("int"))
     block = (
         F.when(F.col("kind") == "break", "---\n")
@@ -63,8 +67,7 @@ def text_export(lined: DataFrame) -> DataFrame:
 def markdown_blocks(lined: DataFrame) -> DataFrame:
     """(doc_id, markdown): block level Markdown. Blocks are set apart by a blank line, but for two list
     items in a row; every ordered item prints a decimal number; numbering never resets."""
-    number = numbered(lined, reset=False).select("doc_id", "line_no", "number")
-    rows = lined.join(number, ["doc_id", "line_no"], "left").filter((F.col("content") != "") | (F.col("kind") == "break"))
+    rows = _with_numbers(lined, "doc_id", "line_no", reset=False).filter((F.col("content") != "") | (F.col("kind") == "break"))
     listed = F.col("kind").isin("bullet", "number")
     indent = F.repeat(F.lit("  "), F.col("level").cast("int"))
     block = (
