@@ -32,13 +32,17 @@ def literal_map(pairs: dict[str, str]) -> Column:
 
 
 def format_of_bytes(content: Column) -> Column:
-    """By signature: an old compound file, a ZIP package by the names in it, PDF, else text."""
+    """By signature: an old compound file, a ZIP package by the names of its entries, PDF, else text. Only in a
+    package without a directory, one cut off, are the folders looked for anywhere: a few bytes of packed data may spell them too."""
     head = F.hex(F.substring(content, 1, 8))
     names = F.decode(content, "ISO-8859-1")
     has = lambda s: F.contains(names, F.lit(s))
+    entry = lambda s: F.rlike(names, F.lit(rf"(?s)PK\x03\x04.{{26}}{s}"))
+    broken = ~has("PK\x01\x02")
     package = (
-        F.when(has("word/"), "docx").when(has("xl/"), "xlsx").when(has("ppt/"), "pptx")
+        F.when(entry("word/"), "docx").when(entry("xl/"), "xlsx").when(entry("ppt/"), "pptx")
         .when(has("opendocument.text"), "odt").when(has("opendocument.spreadsheet"), "ods").when(has("opendocument.presentation"), "odp")
+        .when(broken & has("word/"), "docx").when(broken & has("xl/"), "xlsx").when(broken & has("ppt/"), "pptx")
         .when(has("content.xml"), "odt").otherwise("docx")
     )
     return (

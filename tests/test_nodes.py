@@ -70,3 +70,19 @@ def test_small_values(spark):
     log = spark.createDataFrame([(1, 1, "remove", "x", None), (1, 2, "set", "x", "v"), (1, 3, "remove", "x", None), (1, 4, "remove", "x", None)], "doc_id int, seq int, kind string, style_id string, attrs string")
     now, errors = styles.apply_style_log(log.select("doc_id", F.lit("y").alias("style_id"), "attrs").limit(0), log)
     assert now.count() == 0 and sorted(r.seq for r in errors.collect()) == [1, 4]
+
+
+def test_bytes_that_spell_a_folder_are_no_entry(spark):
+    def package(*entries):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, body in entries:
+                z.writestr(name, body)
+        return out.getvalue()
+
+    odt = package(("mimetype", "application/vnd.oasis.opendocument.text"), ("content.xml", "xl/ word/ ppt/"))
+    bare = package(("content.xml", "xl/"))
+    rows = [(1, odt), (2, bare), (3, package(("xl/workbook.xml", "word/"))), (4, package(("word/document.xml", "xl/"))), (5, b"PK\x03\x04 cut off xl/")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, content binary")
+    got = {r.doc_id: r.f for r in docs.select("doc_id", formats.format_of_bytes(F.col("content")).alias("f")).collect()}
+    assert got == {1: "odt", 2: "odt", 3: "xlsx", 4: "docx", 5: "xlsx"}
