@@ -9,8 +9,9 @@ elements stop bidding once all slots of the document hold less than the level. S
 In every bucket all classes are compared with the bucket's smallest doc_id, a star and not all pairs;
 full sets confirm each link. Union-find within tasks and alternating star contraction across them turn
 links into components. Only classes of one bucket that are still in different components are then
-compared with each other, so that no link that could join two components is lost; pairs whose whole
-signatures agree in fewer than ``LEAST_SLOTS`` slots are left out there.
+compared with each other, so that no link that could join two components is lost. There a pair is read
+if it shares one of its rarest shingles at places that leave enough others (prefix, length and positional
+filters, as every linked pair does), so that texts with a long passage in common don't all meet.
 
 A row's links are those of its class: ``component_id`` is the smallest doc_id reachable.
 
@@ -34,8 +35,6 @@ from folioforge.llm.language_model import Hashes
 
 WORDS, BANDS, ROWS = 5, 50, 5
 SLOTS = BANDS * ROWS
-#: A pair of similarity 0.75 has 187 equal slots of 250 on average, and fewer than 150 once in 30 million.
-LEAST_SLOTS = 150
 CHUNK = 1 << 15
 _GOLD, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -118,13 +117,13 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = b.slice(lo, 512)
             sets = [shingles(t.as_py(), hashes) for t in part.column("text")]
             sig = signatures(sets)
-            keys, mins = band_keys(sig), small_bytes(sig)
+            keys = band_keys(sig)
             digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             k = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             bands = [list(row) if len(s) else [] for row, s in zip(keys, sets, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(bands, pa.list_(pa.int64())), pa.array(list(mins), pa.list_(pa.int64()))],
-                names=["doc_id", "n", "k1", "k2", "bands", "mins"],
+                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "k1", "k2", "bands"],
             )
 
 
@@ -149,10 +148,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _BITS = 26
 
 
-def _likely(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Documents whose doc_id may be in ``pairs``; never fewer. It spares the others the shuffle."""
+def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose doc_id may be in ``ids`` (id); never fewer. It spares the others the shuffle."""
     spot = F.pmod(F.xxhash64("id"), F.lit(1 << _BITS))
-    ids = pairs.select(F.explode(F.array("lo", "hi")).alias("id"))
     words = ids.select((spot / 64).cast("int").alias("at"), F.expr(f"shiftleft(1L, CAST(pmod(pmod(xxhash64(id), {1 << _BITS}), 64) AS INT))").alias("bit"))
     rows = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2^20 rows at most
     bitmap = np.zeros(1 << (_BITS - 6), np.int64)
@@ -171,13 +169,64 @@ def _likely(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The (lo, hi) whose full sets are similar enough, and those that are not, as ``linked``."""
-    texts = _likely(docs, pairs)
+    texts = _likely(docs, pairs.select(F.explode(F.array("lo", "hi")).alias("id")))
     hi = pairs.join(texts.select(F.col("doc_id").alias("hi"), F.col("text").alias("y")), "hi")
     both = hi.join(texts.select(F.col("doc_id").alias("lo"), F.col("text").alias("x")), "lo")
     tried = both.mapInArrow(_verify, "lo bigint, hi bigint, linked boolean")
     return tried.groupBy("lo", "hi").agg(F.max("linked").alias("linked"))
 
 
+#: Shingles are put in order of rarity by their occurrences, counted in 2^20 buckets of hashes.
+_COUNTS = 20
+
+
+def _bucket(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - _COUNTS)).astype(np.int64)
+
+
+def _prefixes(texts: DataFrame) -> DataFrame:
+    """(rep, c, n, pos, token, short) of texts (rep, c, text): the rarest shingles of each, of which a similar
+    set of whatever size shares one, and whether they are among those that one of at least its size shares."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = Hashes(), np.zeros(1 << _COUNTS, np.int64)
+        for b in batches:
+            for t in b.column("text"):
+                np.add.at(counts, _bucket(shingles(t.as_py(), hashes)), 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["at", "n"])
+
+    rows = texts.select("text").mapInArrow(tally, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # 2^20 rows at most
+    counts = np.zeros(1 << _COUNTS, np.int64)
+    counts[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for b in batches:
+            for rep, c, t in zip(b.column("rep").to_pylist(), b.column("c").to_pylist(), b.column("text"), strict=True):
+                s = shingles(t.as_py(), hashes)
+                n = len(s)
+                some, short = n - -(-3 * n // 4) + 1, n - -(-6 * n // 7) + 1
+                if not n:
+                    continue
+                tokens = s[np.lexsort((s, shared.value[_bucket(s)]))[:some]]
+                pos = np.arange(some)
+                same = lambda x, k=some: pa.array(np.full(k, x, np.int64))
+                yield pa.RecordBatch.from_arrays([same(rep), same(c), same(n), pa.array(pos), pa.array(tokens.view(np.int64)), pa.array(pos < short)], names=["rep", "c", "n", "pos", "token", "short"])
+
+    return texts.select("rep", "c", "text").mapInArrow(run, "rep bigint, c bigint, n bigint, pos bigint, token bigint, short boolean")
+
+
+def _across(prefixes: DataFrame) -> DataFrame:
+    """The (lo, hi) of different components that may be similar: every linked pair is among them."""
+    one = lambda k, rows: rows.select("token", *[F.col(x).alias(f"{k}_{x}") for x in ("rep", "c", "n", "pos")])
+    both = one("a", prefixes.filter("short")).join(one("b", prefixes), "token")
+    most = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
+    able = both.filter("a_c != b_c AND a_n <= b_n AND 4 * a_n >= 3 * b_n").filter(7 * most >= 3 * (F.col("a_n") + F.col("b_n")))
+    return able.select(F.least("a_rep", "b_rep").alias("lo"), F.greatest("a_rep", "b_rep").alias("hi")).distinct()
+
+
 def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over a task's edges: each node with the smallest node it is joined to here."""
     parent: dict[int, int] = {}
@@ -233,7 +282,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs`` (doc_id, text)."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sig = scratch.write(docs.mapInArrow(_describe, "doc_id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>, mins array<bigint>"), "signatures")
+    sig = scratch.write(docs.mapInArrow(_describe, "doc_id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>"), "signatures")
     own = sig.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = scratch.write(own.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = own.join(classes.withColumnRenamed("rep", "doc_id"), ["k1", "k2", "doc_id"], "left_semi")
@@ -248,14 +297,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Classes of one bucket in different components: compared with each other, not again with the smallest.
     placed = buckets.join(found.toDF("rep", "c"), "rep", "left").select("key", "rep", F.coalesce("c", "rep").alias("c"))
     split = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("key")
-    mixed = scratch.write(placed.join(split, "key").join(reps.select(F.col("doc_id").alias("rep"), "mins").dropDuplicates(["rep"]), "rep").select("key", "rep", "c", "mins"), "mixed")
-    a, b = mixed.toDF("key", "lo", "ca", "ma"), mixed.toDF("key", "hi", "cb", "mb")
-    cross = a.join(b, "key").filter("lo < hi AND ca != cb").filter(equal_slots(F.col("ma"), F.col("mb")) >= LEAST_SLOTS).select("lo", "hi").distinct()
+    mixed = scratch.write(placed.join(split, "key").select("rep", "c").distinct(), "mixed")
+    texts = _likely(docs, mixed.select(F.col("rep").alias("id"))).withColumnRenamed("doc_id", "rep")
+    cross = _across(scratch.write(_prefixes(scratch.write(mixed.join(texts, "rep").select("rep", "c", "text"), "texts")), "prefixes"))
     cross = scratch.write(cross.join(tried.select("lo", "hi"), ["lo", "hi"], "left_anti"), "cross")
     more = _linked(cross, docs).filter("linked").select("lo", "hi")
     found = components(links.union(more), scratch)
 
-    rows = sig.drop("bands", "mins").join(classes, ["k1", "k2"], "left")
+    rows = sig.drop("bands").join(classes, ["k1", "k2"], "left")
     rows = rows.join(found.toDF("rep", "c"), "rep", "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.coalesce("c", "rep"))

@@ -78,6 +78,34 @@ def test_near_duplicates_match_all_pairs(spark, corpus):
     assert near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_texts_with_a_long_passage_in_common(spark, monkeypatch):
+    """Few of the pairs of a group that shares a passage, yet not enough of it, are read in full; links are all found."""
+    from folioforge.llm import near_duplicates as near
+
+    rng, sizes = random.Random(8), {}
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = [word() for _ in range(100)]
+    rows = [(i, " ".join(passage + [word() for _ in range(30)])) for i in range(120)]
+    rows += [(200 + i, rows[i][1] + " " + " ".join(word() for _ in range(i % 50))) for i in range(40, 100)]
+    sets, parent = {i: shingle_set(t) for i, t in rows}, {i: i for i, _ in rows}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                assert parent[b] == b, "chains are not meant here"
+                parent[b] = a
+    write = near.Scratch.write
+
+    def counted(self, df, label):
+        out = write(self, df, label)
+        sizes.setdefault(label, out.count())
+        return out
+
+    monkeypatch.setattr(near.Scratch, "write", counted)
+    got = {r.doc_id: r.component_id for r in near_duplicates(frame(spark, rows)).collect()}
+    assert got == parent and sum(i != c for i, c in got.items()) > 30
+    assert sizes["cross"] < 500
+
+
 def test_superminhash_estimates_jaccard():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 1500, dtype=np.uint64)
