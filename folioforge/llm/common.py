@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.scratch import Scratch  # noqa: F401  (operators take it from here)
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: The white space that separates words: \x20 and \x09-\x0D.
@@ -31,32 +31,3 @@ def lower_ascii(c: Column) -> Column:
 def crc_mod(c: Column, n: int) -> Column:
     """crc32 of a column's text, modulo n; null ids count as remainder -1."""
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % n, F.lit(-1))
-
-
-class Scratch:
-    """Written tables in the folder that the cluster names in spark.checkpoint.dir.
-
-    They cut lineage and survive lost executors. Only where that setting is absent, as in local
-    tests, /tmp/checkpoints is used; a cluster without it is an error."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            root = "file:///tmp/checkpoints"
-        self.root = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
-
-    def write(self, df: DataFrame, label: str) -> DataFrame:
-        path = f"{self.root}/{label}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Removes a table that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -86,3 +86,42 @@ def test_bytes_that_spell_a_folder_are_no_entry(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, content binary")
     got = {r.doc_id: r.f for r in docs.select("doc_id", formats.format_of_bytes(F.col("content")).alias("f")).collect()}
     assert got == {1: "odt", 2: "odt", 3: "xlsx", 4: "docx", 5: "xlsx"}
+
+
+def test_chains_of_a_large_document_take_few_rounds(spark, monkeypatch):
+    """2000 styles of one document, none more than eight steps from its root or from going round."""
+    rounds, write = [], tree.Scratch.write
+    monkeypatch.setattr(tree.Scratch, "write", lambda self, df, label: rounds.append(label) or write(self, df, label))
+    rows = [(0, f"{k}", {3: "9", 1: None, 2: "none"}.get(k, f"{k // 3}"), {f"k{k % 3}": f"{k}"}) for k in range(1, 2001)]
+    own = spark.createDataFrame(rows, "doc_id bigint, style_id string, parent_id string, attrs map<string,string>")
+    parents = {i: p for _, i, p, _ in rows}
+
+    def walk(i):
+        out = []
+        while i in parents and i not in out:
+            out.append(i)
+            i = parents[i]
+        return out
+
+    assert {r.style_id: r.chain for r in tree.style_chains(own).collect()} == {i: walk(i) for i in parents}
+    assert len(rounds) <= 7
+    want = {i: {} for i in parents}
+    for i in parents:
+        for x in walk(i):
+            want[i].setdefault(f"k{int(x) % 3}", x)
+    assert {r.style_id: r.attrs for r in tree.resolved_attributes(own).collect()} == want
+
+
+def test_cycles_of_any_length_behind_a_tail(spark):
+    """The tail's styles are smaller than all of the cycle's; attributes of null maps and null values count as they are."""
+    rows = []
+    for c in range(1, 10):
+        rows += [(c, f"a{k}", f"a{k + 1}" if k < 4 else "c0", None if k % 2 else {"t": None, f"a{k}": "x"}) for k in range(5)]
+        rows += [(c, f"c{k}", f"c{(k + 1) % c}", {f"c{k}": f"{k}", "t": "cycle"}) for k in range(c)]
+    got = {(r.doc_id, r.style_id): r for r in tree.style_chains(spark.createDataFrame([r[:3] for r in rows], "doc_id bigint, style_id string, parent_id string")).collect()}
+    attrs = {(r.doc_id, r.style_id): r.attrs for r in tree.resolved_attributes(spark.createDataFrame(rows, "doc_id bigint, style_id string, parent_id string, attrs map<string,string>")).collect()}
+    for c in range(1, 10):
+        assert got[c, "a0"].chain == [f"a{k}" for k in range(5)] + [f"c{k}" for k in range(c)]
+        assert got[c, f"c{c - 1}"].chain == [f"c{c - 1}"] + [f"c{k}" for k in range(c - 1)]
+        assert attrs[c, "a0"] == {"t": None} | {f"a{k}": "x" for k in (0, 2, 4)} | {f"c{k}": f"{k}" for k in range(c)}
+        assert attrs[c, f"c{c - 1}"] == {"t": "cycle"} | {f"c{k}": f"{k}" for k in range(c)}
