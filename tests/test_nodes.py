@@ -6,7 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from folioforge.functions import formats, text
-from folioforge.operators import nodes, revisions, styles, tree
+from folioforge.operators import edits, nodes, revisions, styles, tree
 from folioforge.plans import api
 from folioforge.sources import detect
 
@@ -125,3 +125,15 @@ def test_cycles_of_any_length_behind_a_tail(spark):
         assert got[c, f"c{c - 1}"].chain == [f"c{c - 1}"] + [f"c{k}" for k in range(c - 1)]
         assert attrs[c, "a0"] == {"t": None} | {f"a{k}": "x" for k in (0, 2, 4)} | {f"c{k}": f"{k}" for k in range(c)}
         assert attrs[c, f"c{c - 1}"] == {"t": "cycle"} | {f"c{k}": f"{k}" for k in range(c)}
+
+
+def test_outcomes_come_without_a_call_for_each_document(spark):
+    own = spark.createDataFrame([(d, 0, None, 0, "Document", None, "{}") for d in (1, 2, None)] + [(1, 1, 0, 0, "Body", None, None)], edits.NODES)
+    log = [
+        (1, 1, 1, "set_meta", None, '{"key": "b", "value": "2"}'), (1, 1, 0, "set_meta", None, '{"key": "a", "value": "1"}'), (1, 3, 0, "delete", 0, None), (1, 2, 0, "undo", None, None),
+        (1, 4, 0, "redo", None, None), (1, 5, 0, "undo", None, None), (1, 6, 0, "undo", None, None), (None, 1, 0, "set_meta", None, '{"key": "c", "value": "3"}'), (3, 8, 0, "undo", None, None), (1, None, 0, "undo", None, None),
+    ]
+    got = edits.log_outcomes(own, spark.createDataFrame(log, edits.OPS))
+    assert "CoGroup" not in got._jdf.queryExecution().toString()
+    rows = {(r.doc_id, r.txn): (r.done, r.meta) for r in got.collect()}
+    assert rows == {(1, 1): (True, None), (1, 2): (True, None), (1, 3): (False, None), (1, 4): (True, None), (1, 5): (True, None), (1, 6): (False, {}), (None, 1): (True, {"c": "3"}), (3, 8): (False, {})}
