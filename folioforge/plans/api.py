@@ -119,12 +119,14 @@ def open_documents(docs: DataFrame, fmt: str | None = None) -> DataFrame:
     """(doc_id, format, nodes, meta, error) of documents; the format is found by content if not given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node = pa.struct([("node_id", pa.int64()), ("parent_id", pa.int64()), ("child_ix", pa.int64()), ("depth", pa.int64()), ("node_type", pa.string()), ("text", pa.string()), ("attrs", pa.map_(pa.string(), pa.string()))])
         for b in batches:
-            got = [attempt(lambda c=c, f=f: _read(c.as_py(), f.as_py())) for c, f in zip(b.column("content"), b.column("format"), strict=True)]
-            nodes = [model.to_rows(d) if d else None for d, _ in got]
-            meta = [json.dumps(d.meta, sort_keys=True) if d else None for d, _ in got]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("format"), pa.array(nodes, pa.list_(node)), pa.array(meta, pa.string()), pa.array([e for _, e in got], pa.string())], names=["doc_id", "format", "nodes", "meta", "error"])
+            nodes, meta, errors = model.NodeLists(), [], []
+            for c, f in zip(b.column("content"), b.column("format"), strict=True):
+                doc, error = attempt(lambda c=c, f=f: _read(c.as_py(), f.as_py()))
+                nodes.add(doc)
+                meta.append(json.dumps(doc.meta, sort_keys=True) if doc else None)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("format"), nodes.column(), pa.array(meta, pa.string()), pa.array(errors, pa.string())], names=["doc_id", "format", "nodes", "meta", "error"])
 
     own = _with_format(docs, fmt)
     return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, format string, nodes {NODE_SCHEMA}, meta string, error string")

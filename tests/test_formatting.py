@@ -6,11 +6,12 @@ import json
 import zipfile
 from xml.etree import ElementTree as ET
 
+import pyarrow as pa
 import pytest
 
 from folioforge.operators import edits, write_text
 from folioforge.plans import api
-from folioforge.sources import formatting, odf_formatting
+from folioforge.sources import formatting, model, odf_formatting
 from folioforge.sources.markdown import read_markdown
 from folioforge.sources.packages import package_parts, read_docx, read_odt, write_docx, write_odt, write_package
 
@@ -176,3 +177,55 @@ def test_a_failing_undo_keeps_its_place():
     assert len(h.undo_stack) == 1 and not h.redo_stack
     h.clear()
     assert not h.undo() and not h.redo()
+
+
+def test_plain_packages_are_read_and_written_without_zipfile(monkeypatch):
+    import io
+
+    from folioforge.sources import packages
+
+    def zipped(parts, **more):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", **more) as z:
+            for path, how, data in parts:
+                info = zipfile.ZipInfo(path, (1980, 1, 1, 0, 0, 0))
+                info.compress_type = how
+                z.writestr(info, data)
+        return out.getvalue()
+
+    parts = [("word/document.xml", 8, b"<a/>" * 3000), ("word/empty", 8, b""), ("x/y.bin", 0, b"\x00PK\x01\x02" * 9)]
+    plain = zipped(parts)
+    assert write_package(parts) == write_package(parts, shared=True) == plain
+    odd = [("m\u00fc.xml", 8, b"<b/>"), ("folder/", 0, b"")]
+    assert write_package(parts + odd) == zipped(parts + odd) and write_package([]) == zipped([])
+    for data in (zipped(parts + odd), b"junk" + plain, zipped(parts) + b"\x00"):  # what zipfile alone can read
+        with packages._Package(data) as z, zipfile.ZipFile(io.BytesIO(data)) as want:
+            assert z.namelist() == want.namelist() and all(z.read(n) == want.read(n) for n in want.namelist())
+    broken = bytearray(plain)
+    broken[broken.index(b"word/document.xml") + 20] ^= 0xFF
+    for name, kind in (("word/document.xml", (zipfile.BadZipFile, packages.zlib.error)), ("nothing", KeyError)):
+        with packages._Package(bytes(broken)) as z, pytest.raises(kind):
+            z.read(name)
+    for data in (b"", b"no package", plain[:-9]):
+        with pytest.raises(zipfile.BadZipFile):
+            packages._Package(data)
+
+    def never(*_, **__):
+        raise AssertionError("zipfile was used")
+
+    monkeypatch.setattr(zipfile, "ZipFile", never)
+    body = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>x</w:t></w:r></w:p></w:body></w:document>'
+    doc = read_docx(write_docx(read_docx(write_package([("word/document.xml", 8, body.encode())]))))
+    doc.styles[0]["attrs"]["changed"] = "yes"  # one document's styles are its own, though the part is remembered
+    again = read_docx(write_docx(read_docx(write_package([("word/document.xml", 8, body.encode())]))))
+    assert "changed" not in again.styles[0]["attrs"] and [n.text for n in again.root.walk() if n.kind == "Text"] == ["x"]
+
+
+def test_nodes_in_columns_are_the_rows():
+    doc = read_docx(write_package([(n, zipfile.ZIP_DEFLATED, x.encode()) for n, x in PARTS.items()]))
+    kind = pa.list_(pa.struct([*((n, pa.int64()) for n in ("node_id", "parent_id", "child_ix", "depth")), ("node_type", pa.string()), ("text", pa.string()), ("attrs", pa.map_(pa.string(), pa.string()))]))
+    for docs in ([], [None], [doc, None, model.new_document(), doc]):
+        got = model.NodeLists()
+        for d in docs:
+            got.add(d)
+        assert got.column().equals(pa.array([None if d is None else model.to_rows(d) for d in docs], kind))
