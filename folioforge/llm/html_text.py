@@ -1,16 +1,20 @@
 """Main text of web pages: page structure and a host's suffix array.
 
-Each page is parsed where it lies. Where a page has no article (or main) element, repeated runs decide:
-``RUN`` tokens in a row or more that ``LEAST_PAGES`` pages of the whole host or more hold. The token streams
-of each host's pages are joined, up to ``STREAM`` tokens at a time; a suffix array with common prefixes finds
-the runs and how many of these pages hold each. The numbers of all streams are added up by host, so neither
+Each page is parsed where it lies, and repeated runs of ``RUN`` tokens or more decide on every page. The token
+streams of each host's pages are joined, up to ``STREAM`` tokens at a time; a suffix array with common prefixes
+finds the runs and how many of these pages hold each. The numbers of all streams are added up by host, so neither
 partitions nor the size of a host changes a result, and runs that repeat go back to the pages. A text block
-that lies mostly in such runs is boilerplate and goes; unique runs stay. ``extract`` does the same for the
-pages of one host in memory.
+that lies mostly in such runs is boilerplate and goes; unique runs stay.
 
-An exact check by structure follows, since an article may itself be repeated: what stands inside the
-page's article (or main) element is kept though it repeats, and menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments go though they don't.
+Where a page has an article (or main) element, the streams are its articles' texts, and a run repeats if
+``LEAST_PAGES`` of the host's articles or more and more than half of them hold it: a notice that the site puts
+into its articles. A run that more than half of all articles hold is held by more than half of those of some
+stream, so only such runs are counted over the whole host, and all of them are. Where a page has none, its streams
+are whole pages and ``LEAST_PAGES`` are enough. ``extract`` does the same for the pages of one host in memory.
+
+An exact check by structure follows: of a page with an article only blocks inside stay, and an article that
+lies for the most part in repeated runs is a mirrored or syndicated one and stays whole. Menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles and reader comments go though they don't repeat.
 
 Defined cases: null or empty html gives an empty text of 0 characters; cut-off tags and unclosed
 elements end where the page ends; repeated rows are extracted each for itself; a null or odd url has
@@ -23,7 +27,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,7 @@ from pyspark.sql import functions as F
 from folioforge.llm.common import Scratch, table
 
 RUN, LEAST_PAGES = 8, 3
+FEW = 8  # pages of a host in a task, of which its other pages are looked for
 STREAM = 1 << 20  # tokens of one suffix array, a long page excepted
 
 _TAG = re.compile(
@@ -201,8 +206,9 @@ def _hash(words: list[str]) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def counted_runs(pages: list[list[str]]) -> tuple[list[int], list[int]]:
-    """Hashes of the runs of RUN tokens of pages of one host, each once, and how many of the pages hold it."""
+def counted_runs(pages: list[list[str]], least: int = 1) -> tuple[list[int], list[int]]:
+    """Hashes of the runs of RUN tokens that ``least`` pages or more of one host hold, each once, and how many
+    of the pages hold it."""
     number: dict[str, int] = {}
     words, tokens, page = [], [], []
     for k, own in enumerate(pages):
@@ -216,37 +222,36 @@ def counted_runs(pages: list[list[str]]) -> tuple[list[int], list[int]]:
     order, group, pages_of = _groups(of, np.array(page, np.int64), RUN)
     first = order[np.flatnonzero(np.diff(group, prepend=-1))]  # of each group
     ends = np.concatenate(([0], (of < 0).cumsum()))
-    whole = np.flatnonzero((first + RUN <= n) & (ends[np.minimum(first + RUN, n)] == ends[first]))
+    whole = np.flatnonzero((first + RUN <= n) & (ends[np.minimum(first + RUN, n)] == ends[first]) & (pages_of >= least))
     return [_hash(words[i : i + RUN]) for i in first[whole].tolist()], pages_of[whole].tolist()
 
 
+def _covered(streams: list[list[str]], least: int) -> list[np.ndarray]:
+    """For each page, how many of its first tokens lie in runs that ``least`` pages hold."""
+    number: dict[str, int] = {}
+    tokens, page_of = [], []
+    for k, words in enumerate(streams):
+        tokens += [*(number.setdefault(w, len(number)) for w in words), -k - 1]
+        page_of += [k] * (len(words) + 1)
+    marks = repeated(np.array(tokens, np.int64), np.array(page_of, np.int64), least=least)
+    out, at = [], 0
+    for words in streams:
+        out.append(np.concatenate(([0], marks[at : at + len(words)].cumsum())))
+        at += len(words) + 1
+    return out
+
+
+def _words(texts: list[str]) -> list[str]:
+    return [w for text in texts for w in text.split(" ")]
+
+
 def extract(pages: list[str | None]) -> list[str]:
     """Main texts of pages of one host."""
     parsed = [blocks(p) for p in pages]
-    number: dict[str, int] = {}
-    tokens, page_of, bounds = [], [], []
-    for k, bs in enumerate(parsed):
-        for text, _ in bs:
-            ws = [number.setdefault(w, len(number)) for w in text.split(" ")]
-            bounds.append((len(tokens), len(tokens) + len(ws)))
-            tokens += ws
-            page_of += [k] * len(ws)
-        tokens.append(-k - 1)
-        page_of.append(k)
-    cover = np.concatenate(([0], repeated(np.array(tokens, np.int64), np.array(page_of, np.int64)).cumsum())) if tokens else np.zeros(1)
-    out, i = [], 0
-    for bs in parsed:
-        places = {p for _, p in bs}
-        best = next((p for p in ("article", "main") if p in places), None)
-        kept = []
-        for text, place in bs:
-            a, b = bounds[i]
-            i += 1
-            boiler = 2 * (cover[b] - cover[a]) >= b - a
-            if place == best if best else place != "drop" and not boiler:
-                kept.append(text)
-        out.append("\n".join(kept))
-    return out
+    whole = _covered([_words([t for t, _ in bs]) for bs in parsed], LEAST_PAGES)
+    articles = [[t for t, p in bs if p == best] if (best := _best(bs)) else [] for bs in parsed]
+    inside = _covered([_words(a) for a in articles], _most(sum(map(bool, articles))))
+    return [_own(a, c) if a else _unique(bs, w) for bs, a, w, c in zip(parsed, articles, whole, inside, strict=True)]
 
 
 def _best(parsed: list[tuple[str, str]]) -> str | None:
@@ -255,31 +260,47 @@ def _best(parsed: list[tuple[str, str]]) -> str | None:
     return next((p for p in ("article", "main") if p in places), None)
 
 
-def runs(parsed: list[tuple[str, str]]) -> list[int]:
+def _most(articles: int) -> int:
+    """How many of a host's articles hold what is no article's own."""
+    return max(LEAST_PAGES, articles // 2 + 1)
+
+
+def runs(words: list[str]) -> list[int]:
     """Hashes of all runs of RUN tokens of a page, by their starts."""
-    tokens = [w for text, _ in parsed for w in text.split(" ")]
-    return [_hash(tokens[i : i + RUN]) for i in range(len(tokens) - RUN + 1)]
+    return [_hash(words[i : i + RUN]) for i in range(len(words) - RUN + 1)]
 
 
-def without(parsed: list[tuple[str, str]], repeats: set[int]) -> str:
-    """The text of a page without article or main, less blocks that lie mostly in repeated runs."""
-    cover = np.zeros(sum(len(text.split(" ")) for text, _ in parsed) + 1, np.int64)
-    for i, h in enumerate(runs(parsed)):
+def _marked(words: list[str], repeats: set[int]) -> np.ndarray:
+    """How many of the first tokens lie in repeated runs."""
+    cover = np.zeros(len(words) + 1, np.int64)
+    for i, h in enumerate(runs(words)):
         if h in repeats:
             cover[i] += 1
             cover[i + RUN] -= 1
-    covered = np.concatenate(([0], (cover.cumsum() > 0).cumsum()))
-    kept, at = [], 0
-    for text, place in parsed:
-        end = at + len(text.split(" "))
-        if place != "drop" and 2 * (covered[end] - covered[at]) < end - at:
-            kept.append(text)
-        at = end
-    return "\n".join(kept)
+    return np.concatenate(([0], (cover[:-1].cumsum() > 0).cumsum()))
+
+
+def _boilerplate(texts: list[str], covered: np.ndarray) -> list[bool]:
+    """Which blocks lie mostly in repeated runs."""
+    ends = np.array([0, *(t.count(" ") + 1 for t in texts)]).cumsum()
+    return (2 * (covered[ends[1:]] - covered[ends[:-1]]) >= np.diff(ends)).tolist()
+
+
+def _unique(parsed: list[tuple[str, str]], covered: np.ndarray) -> str:
+    """The text of a page without article or main, less blocks that lie mostly in repeated runs."""
+    marks = _boilerplate([t for t, _ in parsed], covered)
+    return "\n".join(t for (t, place), boiler in zip(parsed, marks, strict=True) if place != "drop" and not boiler)
+
+
+def _own(article: list[str], covered: np.ndarray) -> str:
+    """An article less blocks that lie mostly in repeated runs, unless most of the article does."""
+    if 2 * covered[-1] >= len(covered) - 1:
+        return "\n".join(article)
+    return "\n".join(t for t, boiler in zip(article, _boilerplate(article, covered), strict=True) if not boiler)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts that structure decides; for other pages the html stays."""
+    """The blocks inside the article, one a line; for pages without one the html stays."""
     for b in batches:
         texts, open_ = [], []
         for page in b.column("html"):
@@ -292,58 +313,130 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(texts, pa.string()), pa.array(open_, pa.string())], names=[*names, "text", "open"])
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of the task's pages with their numbers of pages, from a suffix array for each host and
-    about STREAM tokens of pages; a page is never cut, so numbers of one run add up."""
+def _streams(batches: Iterator[pa.RecordBatch], column: str, words: Callable[[str], list[str]]) -> Iterator[dict[str, list]]:
+    """The task's pages by host as (tokens, value), about STREAM tokens at a time; a page is never cut."""
     held, size = defaultdict(list), 0
+    for b in batches:
+        for host, value in zip(b.column("__host"), b.column(column), strict=True):
+            value = value.as_py()
+            own = words(value)
+            held[host.as_py()].append((own, value))
+            size += len(own) + 1
+            if size >= STREAM:
+                yield held
+                held, size = defaultdict(list), 0
+    yield held
+
+
+def _page_words(page: str | None) -> list[str]:
+    return _words([text for text, _ in blocks(page)])
+
+
+def _article_words(text: str) -> list[str]:
+    return _words(text.split("\n"))
+
 
-    def flush() -> Iterator[pa.RecordBatch]:
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of the task's pages with their numbers of pages, from a suffix array for each host and stream;
+    numbers of one run add up."""
+    for held in _streams(batches, "html", _page_words):
         for host, pages in held.items():
-            found, pages_of = counted_runs(pages)
+            found, pages_of = counted_runs([w for w, _ in pages])
             yield pa.RecordBatch.from_arrays([pa.array([host] * len(found), pa.string()), pa.array(found, pa.int64()), pa.array(pages_of, pa.int64())], names=["__host", "run", "pages"])
-        held.clear()
 
-    for b in batches:
-        for host, page in zip(b.column("__host"), b.column("html"), strict=True):
-            words = [w for text, _ in blocks(page.as_py()) for w in text.split(" ")]
-            held[host.as_py()].append(words)
-            size += len(words) + 1
-            if size >= STREAM:
-                yield from flush()
-                size = 0
-    yield from flush()
 
+def _frequent(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Runs that more than half of a host's articles in a stream hold; of hosts with fewer than ``least``
+    articles there the texts, to be looked at together with others of the host."""
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        lists = [sorted(set(runs(blocks(page.as_py())))) for page in b.column("html")]
-        names = [c for c in b.schema.names if c != "html"]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(lists, pa.list_(pa.int64()))], names=[*names, "runs"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _streams(batches, "text", _article_words):
+            hosts, found, texts = [], [], []
+            for host, pages in held.items():
+                few = len(pages) < least
+                new = [t for _, t in pages] if few else counted_runs([w for w, _ in pages], len(pages) // 2 + 1)[0]
+                hosts += [host] * len(new)
+                found += [None] * len(new) if few else new
+                texts += new if few else [None] * len(new)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(texts, pa.string())], names=["__host", "run", "text"])
+
+    return run
+
+
+def _runs(column: str, words: Callable[[str], list[str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [sorted(set(runs(words(page.as_py())))) for page in b.column(column)]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("__host"), pa.array(lists, pa.list_(pa.int64()))], names=["row", "__host", "runs"])
+
+    return run
 
 
 def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def text(page: str | None, article: str | None, repeats: set[int]) -> str:
+        if article is not None:
+            return _own(article.split("\n"), _marked(_article_words(article), repeats))
+        parsed = blocks(page)
+        return _unique(parsed, _marked(_words([t for t, _ in parsed]), repeats))
+
     for b in batches:
-        texts = [without(blocks(page.as_py()), set(r.as_py() or ())) for page, r in zip(b.column("open"), b.column("runs"), strict=True)]
+        columns = (b.column(c) for c in ("open", "text", "runs"))
+        texts = [text(page.as_py(), article.as_py(), set(r.as_py() or ())) for page, article, r in zip(*columns, strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
+def _chosen(pages: DataFrame, held: DataFrame, often: DataFrame) -> DataFrame:
+    """(page_id, url, text) of pages without the blocks of runs that repeat on their hosts."""
+    found = held.join(often, ["__host", "run"]).groupBy("row").agg(F.collect_list("run").alias("runs"))
+    return pages.join(found, "row", "left").select("page_id", "url", "open", "text", "runs").mapInArrow(_choose, "page_id bigint, url string, text string")
+
+
+def _exploded(pages: DataFrame, column: str, words: Callable[[str], list[str]]) -> DataFrame:
+    """(row, __host, run): every run of every page, once a page."""
+    lists = pages.select("row", "__host", column).mapInArrow(_runs(column, words), "row bigint, __host string, runs array<bigint>")
+    return lists.select("row", "__host", F.explode("runs").alias("run"))
+
+
+def _common(articles: DataFrame, scratch: Scratch) -> DataFrame:
+    """(__host, run): the runs that repeat in a host's articles."""
+    schema = "__host string, run bigint, text string"
+    sizes = articles.groupBy("__host").agg(F.count("*").alias("articles")).filter(F.col("articles") >= LEAST_PAGES)
+    first = scratch.write(articles.select("__host", "text").mapInArrow(_frequent(FEW), schema), "frequent")
+    few = first.filter("text IS NOT NULL").select("__host", "text").join(sizes, "__host").select("__host", "text")
+    together = few.repartition("__host").mapInArrow(_frequent(1), schema)
+    likely = first.filter("run IS NOT NULL").select("__host", "run").union(together.select("__host", "run")).distinct()
+    likely = scratch.write(likely, "likely")
+    if likely.isEmpty():
+        return likely
+    here = articles.join(likely.select("__host").distinct(), "__host", "left_semi")
+    held = _exploded(here, "text", _article_words).join(likely, ["__host", "run"]).groupBy("__host", "run").agg(F.count("*").alias("pages"))
+    most = (F.col("pages") >= LEAST_PAGES) & (2 * F.col("pages") > F.col("articles"))
+    return scratch.write(held.join(sizes, "__host").filter(most).select("__host", "run"), "common")
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of rows of page_id, url, html."""
     scratch = Scratch(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("__host"))
-    parsed = scratch.write(rows.mapInArrow(_parse, "page_id bigint, url string, __host string, text string, open string"), "parsed")
-    done = parsed.filter("text IS NOT NULL").select("page_id", "url", "text")
-    rest = parsed.filter("text IS NULL").select("page_id", "url", "__host", "open")
+    parsed = rows.mapInArrow(_parse, "page_id bigint, url string, __host string, text string, open string")
+    parsed = scratch.write(parsed.withColumn("row", F.monotonically_increasing_id()), "parsed")
+    done = parsed.filter("text IS NOT NULL")
+    articles = done.filter("text != ''")
+    common = _common(articles, scratch)
+    if common.isEmpty():
+        done = done.select("page_id", "url", "text")
+    else:
+        hosts = common.select("__host").distinct()
+        with_common = articles.join(hosts, "__host", "left_semi")
+        others = done.join(hosts, "__host", "left_anti").unionByName(done.filter("text = ''").join(hosts, "__host", "left_semi"))
+        done = others.select("page_id", "url", "text").unionByName(_chosen(with_common, _exploded(with_common, "text", _article_words), common))
+    rest = parsed.filter("text IS NULL")
     if not rest.isEmpty():
-        rest = scratch.write(rest.withColumn("row", F.monotonically_increasing_id()), "open")
         hosts = rest.select("__host").distinct()
         own = rows.join(hosts, "__host", "left_semi").select("__host", "html").mapInArrow(_counts, "__host string, run bigint, pages bigint")
         often = own.groupBy("__host", "run").agg(F.sum("pages").alias("pages")).filter(F.col("pages") >= LEAST_PAGES).select("__host", "run")
-        here = rest.select("row", "__host", F.col("open").alias("html")).mapInArrow(_runs, "row bigint, __host string, runs array<bigint>")
-        found = here.select("row", "__host", F.explode("runs").alias("run")).join(often, ["__host", "run"]).groupBy("row").agg(F.collect_list("run").alias("runs"))
-        chosen = rest.join(found, "row", "left").select("page_id", "url", "open", "runs").mapInArrow(_choose, "page_id bigint, url string, text string")
-        done = done.unionByName(chosen)
+        done = done.unionByName(_chosen(rest, _exploded(rest, "open", _page_words), often))
     return done.withColumn("n_chars", F.length("text").cast("long"))
 
 

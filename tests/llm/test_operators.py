@@ -315,6 +315,28 @@ def test_counted_runs_match_brute_force():
     assert html_text.counted_runs([]) == html_text.counted_runs([["a"], []]) == ([], [])
 
 
+def test_html_notices_inside_articles(spark):
+    rng = random.Random(11)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    notice, quote = "this site puts the same notice into most of its articles", "three of the articles quote this sentence of somebody at length"
+    own = [f"{words(9)}\n{words(30)}" + (f"\n{quote}" if k < 3 else "") for k in range(24)]
+    mirror = [f"{words(2)}\n{(same := words(60)) if k == 0 else same}" for k in range(5)]
+    page = lambda text: f"<nav>menu</nav><article>{''.join(f'<p>{x}</p>' for x in text.splitlines())}</article><footer>foot</footer>"
+    rows = [(k, "http://own.example/", page(f"{t}\n{notice}" if k > 9 else t)) for k, t in enumerate(own)]  # 14 of 24 hold it
+    rows += [(100 + k, "http://half.example/", page(f"{t}\n{notice}" if k % 2 else t)) for k, t in enumerate(own)]  # half of them do
+    rows += [(200 + k, "http://mirror.example/", page(t)) for k, t in enumerate(mirror)]
+    rows += [(300 + k, "http://two.example/", page(f"{own[k]}\n{notice}")) for k in range(2)] + [(400, "http://own.example/", "<main><p> </p></main>")]
+    want = dict(enumerate(own)) | {100 + k: f"{t}\n{notice}" if k % 2 else t for k, t in enumerate(own)}
+    want |= {200 + k: t for k, t in enumerate(mirror)} | {300 + k: f"{own[k]}\n{notice}" for k in range(2)} | {400: ""}
+    frame_ = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for parts in (1, 40):
+        got = html_text.main_text(frame_.repartition(parts)).collect()
+        assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want
+    for lo, hi in ((0, 100), (100, 200), (200, 300), (300, 400)):
+        here = [r for r in rows if lo <= r[0] < hi]
+        assert html_text.extract([h for _, _, h in here]) == [want[k] for k, _, _ in here]
+
+
 def test_html_runs_at_any_partitioning(spark):
     line = "the same notice stands on all pages of this host"
     own = [" ".join(f"{w}{k}" for w in ("own", "words", "of", "page")) for k in range(40)]
