@@ -11,7 +11,7 @@ n - ceil(n * percent / 100) + 1 (prefix filter), differ little in size (length f
 shared word at given places enough words are left (positional filter), and 64 parity bits differ in no more
 places than the sets may differ in words. Words that occur once in the
 corpus are not joined. In each word's bucket all classes first meet the earliest class alone, a star;
-only those left without an earlier match then meet the bucket's other classes. Full sets decide.
+only those left without an earlier match then meet the bucket's other classes, if it has any. Full sets decide.
 
 A line is removed if an earlier line of the corpus (by doc_id, then line number) is similar enough,
 whether or not that one is itself removed. Lines of fewer than ``least`` distinct words stay: headings
@@ -48,8 +48,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def rarity(docs: DataFrame) -> DataFrame:
     """One row with an array of 2^BUCKETS numbers: the whole part of log2 of a bucket's occurrences."""
-    lines = docs.filter(F.col("text").isNotNull()).select(F.explode(F.split("text", "\n", -1)).alias("line"))
-    words = lines.select(F.explode(_words(F.col("line"))).alias("w"))
+    flat = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))  # lines don't matter here
+    words = docs.filter(F.col("text").isNotNull()).select(F.explode(_words(flat)).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << BUCKETS) - 1)).alias("id")).count()
     every = docs.sparkSession.range(1 << BUCKETS).join(counts, "id", "left")
     return _array_of(every.select("id", F.coalesce(F.floor(F.log2("count")), F.lit(0)).cast("tinyint").alias("k")), "k")
@@ -142,14 +142,16 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -
     # equal sets have equal prefixes and bits: any line's are the class's
     classes = scratch.write(lines.groupBy("h", "n").agg(first.alias("l"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "classes")
     rows = classes.filter(F.size("prefix") > 0).select(F.col("l.doc_id").alias("doc"), F.col("l.line_no").alias("line"), "h", "n", "bits", F.inline("prefix"))
-    bucket = W.partitionBy("word").orderBy("b_doc", "b_line").rowsBetween(W.unboundedPreceding, W.currentRow)  # streams a bucket, holds one row
-    met = _named(rows, "b").select("word", *[F.col(f"b_{c}") for c in _ROW], *[F.first(f"b_{c}").over(bucket).alias(f"a_{c}") for c in _ROW])
+    bucket = W.partitionBy("word").orderBy("b_doc", "b_line")
+    so_far = bucket.rowsBetween(W.unboundedPreceding, W.currentRow)  # streams a bucket, holds one row
+    ends = F.lead("word").over(bucket).isNull() & (F.row_number().over(bucket) <= 2)  # none but the earliest class is beside it
+    met = _named(rows, "b").select("word", *[F.col(f"b_{c}") for c in _ROW], *[F.first(f"b_{c}").over(so_far).alias(f"a_{c}") for c in _ROW], ends.alias("alone"))
     met = scratch.write(met.filter(_earlier("a", "b")), "met")
     star = scratch.write(met.filter(_similar("a", "b", percent)).select(*_PAIR).distinct(), "star")
     hits = scratch.write(_verified(star, docs, rare, percent).select("b_doc", "b_line", "b_h").distinct(), "hits")
     scratch.drop(star)
 
-    others = met.select("word", *[F.col(f"b_{c}") for c in _ROW])
+    others = met.filter(~F.col("alone")).select("word", *[F.col(f"b_{c}") for c in _ROW])
     left = others.join(hits, ["b_doc", "b_line", "b_h"], "left_anti")
     before = others.select("word", *[F.col(f"b_{c}").alias(f"a_{c}") for c in _ROW])
     pairs = before.join(left, "word").filter(_earlier("a", "b") & _similar("a", "b", percent)).select(*_PAIR).distinct()

@@ -12,6 +12,7 @@ import pytest
 
 from folioforge.llm import html_text, language_model, packing, toxicity
 from folioforge.llm.decontaminate import decontaminate, find_contamination
+from folioforge.llm.common import Scratch
 from folioforge.llm.line_dedup import drop_repeated_lines, removed_lines
 from folioforge.llm.near_duplicates import near_duplicates, one_of_each, signatures
 from folioforge.llm.personal_data import find, mask
@@ -139,6 +140,23 @@ def test_line_dedup_matches_all_pairs(spark, corpus):
     assert removed_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_joins_only_words_of_three_lines_or_more(spark, monkeypatch):
+    met, write = [], Scratch.write
+
+    def noted(self, df, label):
+        out = write(self, df, label)
+        if label == "met":
+            met.extend((r.word, r.alone) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(Scratch, "write", noted)
+    rng = random.Random(6)
+    lines = [" ".join(f"w{k}" for k in rng.sample(range(250), 10)) for _ in range(80)]
+    assert removed_lines(frame(spark, list(enumerate(lines)))).count() == 0
+    rows = collections.Counter(w for w, _ in met)  # the earliest line of a word is not among them
+    assert {alone for _, alone in met} == {True, False} and all(alone == (rows[w] == 1) for w, alone in met)
+
+
 def test_line_dedup_finds_one_word_more_than_nine(spark):
     short = [f"{k}a {k}b {k}c {k}d {k}e {k}f {k}g {k}h newsletter" for k in "xy"]
     rows = [(1, short[0]), (2, short[0] + " today"), (3, short[1] + " today"), (4, short[1]), (5, "p q r s t u v w"), (6, "p q r s t u v w today")]
