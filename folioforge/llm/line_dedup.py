@@ -10,8 +10,9 @@ Two sets with a Jaccard similarity of ``percent`` / 100 share a word among their
 n - ceil(n * percent / 100) + 1 (prefix filter), differ little in size (length filter), and after a
 shared word at given places enough words are left (positional filter), and 64 parity bits differ in no more
 places than the sets may differ in words. Words that occur once in the
-corpus are not joined. In each word's bucket all classes first meet the earliest class alone, a star;
-only those left without an earlier match then meet the bucket's other classes, if it has any. Full sets decide.
+corpus are not joined. In the bucket of a word in few classes (SMALL) all pairs are compared, in that of a word
+in more all classes first meet the earliest class alone, a star; only those left without an earlier match
+then meet the bucket's other classes. Full sets decide.
 
 A line is removed if an earlier line of the corpus (by doc_id, then line number) is similar enough,
 whether or not that one is itself removed. Lines of fewer than ``least`` distinct words stay: headings
@@ -32,12 +33,14 @@ from pyspark.sql import functions as F
 from folioforge.llm.common import SPACE, Scratch, table
 
 PERCENT, LEAST, BUCKETS, SHIFT = 90, 5, 22, 7
+SMALL = 64  # buckets of no more classes compare all pairs where they lie
 _BITS = 22  # of the bitmap that says which lines may stand in a pair: 512 KB
 
 
 def _words(line: Column) -> Column:
     """Words of a line, and empty ones where white space stands at an end or twice."""
-    return F.when(line.rlike(r"[\x09-\x0D]"), F.split(line, r"[\x20\x09-\x0D]+", -1)).otherwise(F.split(line, " ", -1))
+    other = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c")) | F.contains(line, F.lit("\r"))
+    return F.when(other, F.split(line, r"[\x20\x09-\x0D]+", -1)).otherwise(F.split(line, " ", -1))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -46,18 +49,32 @@ def _lines(docs: DataFrame) -> DataFrame:
     return own.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("dk"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
+def _bucket(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - BUCKETS)
+
+
 def rarity(docs: DataFrame) -> DataFrame:
-    """One row with an array of 2^BUCKETS numbers: the whole part of log2 of a bucket's occurrences."""
+    """One row with an array of 2^BUCKETS numbers: what turns the top bits of a bucket's hashes, by
+    exclusive or, into the whole part of log2 of its words' occurrences."""
     flat = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))  # lines don't matter here
     words = docs.filter(F.col("text").isNotNull()).select(F.explode(_words(flat)).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << BUCKETS) - 1)).alias("id")).count()
-    every = docs.sparkSession.range(1 << BUCKETS).join(counts, "id", "left")
-    return _array_of(every.select("id", F.coalesce(F.floor(F.log2("count")), F.lit(0)).cast("tinyint").alias("k")), "k")
+    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("id")).count()
+    cell = (F.col("id") % 4096 * 64 + F.floor(F.log2("count"))).cast("int")  # place in its run and number, sorted as one
+    found = counts.groupBy(F.shiftright("id", 12).alias("run")).agg(F.collect_list(cell).alias("a"))
+    every = docs.sparkSession.range(1 << (BUCKETS - 12)).withColumnRenamed("id", "run").join(found, "run", "left").withColumn("a", F.coalesce("a", F.array().cast("array<int>")))
+    without = F.array_except(F.sequence(F.lit(0), F.lit(4095)), F.transform("a", lambda x: F.shiftright(x, 6)))
+    full = F.sort_array(F.concat("a", F.transform(without, lambda x: x * 64)))
+    top = F.shiftright(F.col("run"), BUCKETS - 12 - SHIFT)  # the first SHIFT bits of a run's hashes
+    return _joined(every.select("run", F.transform(full, lambda x: F.shiftleft(top.bitwiseXOR((x % 64).cast("bigint")), 64 - SHIFT)).alias("a")), "k")
 
 
 def _array_of(cells: DataFrame, name: str) -> DataFrame:
     """One row with the array of a column in the order of ``id``, gathered by way of runs of 4096."""
     runs = cells.groupBy(F.shiftright("id", 12).alias("run")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", name))), lambda x: x[name]).alias("a"))
+    return _joined(runs, name)
+
+
+def _joined(runs: DataFrame, name: str) -> DataFrame:
     return runs.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("run", "a"))), lambda x: x["a"])).alias(name))
 
 
@@ -65,14 +82,14 @@ def _numbers(line: Column, rare: Column) -> Column:
     """A line's word numbers, rarest first."""
     words = F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     # One reference to the table: two would make Spark copy it into each row. Numbers that can't be null are sorted unboxed.
-    rank = lambda h: F.coalesce(F.get(rare, h.bitwiseAND(F.lit((1 << BUCKETS) - 1)).cast("int")), F.lit(0).cast("tinyint")).cast("bigint")
-    return F.sort_array(F.transform(words, lambda h: F.shiftleft(rank(h), 64 - SHIFT).bitwiseOR(F.shiftrightunsigned(h, SHIFT))))
+    # Functions of an array's elements are interpreted, so each step counts.
+    return F.sort_array(F.transform(words, lambda h: F.coalesce(h.bitwiseXOR(rare[_bucket(h)]), F.lit(0).cast("bigint"))))
 
 
 def _parity(numbers: Column) -> Column:
     """64 bits: for each, whether an odd number of the words fall on it. Two sets that differ in k words
     differ in k bits at most."""
-    return F.aggregate(numbers, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    return F.aggregate(numbers, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.hash(x))))  # shifts count modulo 64
 
 
 def _need(n: Column, percent: int) -> Column:
@@ -133,25 +150,32 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -
     rare = scratch.write(rarity(docs), "rarity")
     lines = _lines(docs).withColumn("__rare", rare.scalar()).select("doc_id", "dk", "line_no", _numbers(F.col("line"), F.col("__rare")).alias("e"))
     n, once = F.size("e"), 1 << (64 - SHIFT)  # numbers below are words that occur once
-    places = F.filter(F.transform(F.slice("e", F.lit(1), n - _need(n, percent) + 1), lambda x, i: F.struct(x.alias("word"), i.alias("pos"))), lambda x: x["word"] >= once)
+    places = F.slice("e", F.lit(1), n - _need(n, percent) + 1)
     other = (_need(n, percent) < n) | (F.floor(100 * n / percent) > n)  # a smaller or a larger set may be similar enough
-    prefix = F.when(other & (n >= least), places)
+    prefix = F.when(other & (n >= least) & (F.get(places, n - _need(n, percent)) >= once), places)  # the last is the most frequent
     # all lines are written: a filter on n would be pushed below and make the numbers twice
-    lines = scratch.write(lines.select("doc_id", "dk", "line_no", n.alias("n"), F.xxhash64("e").alias("h"), prefix.alias("prefix"), F.when(F.size(prefix) > 0, _parity(F.col("e"))).alias("bits")), "lines").filter(F.col("n") >= least)
+    lines = scratch.write(lines.select("doc_id", "dk", "line_no", n.alias("n"), F.xxhash64("e").alias("h"), prefix.alias("prefix"), F.when(prefix.isNotNull(), _parity(F.col("e"))).alias("bits")), "lines").filter(F.col("n") >= least)
     first = F.min(F.struct("doc_id", "line_no"))
     # equal sets have equal prefixes and bits: any line's are the class's
-    classes = scratch.write(lines.groupBy("h", "n").agg(first.alias("l"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "classes")
-    rows = classes.filter(F.size("prefix") > 0).select(F.col("l.doc_id").alias("doc"), F.col("l.line_no").alias("line"), "h", "n", "bits", F.inline("prefix"))
-    bucket = W.partitionBy("word").orderBy("b_doc", "b_line")
-    so_far = bucket.rowsBetween(W.unboundedPreceding, W.currentRow)  # streams a bucket, holds one row
-    ends = F.lead("word").over(bucket).isNull() & (F.row_number().over(bucket) <= 2)  # none but the earliest class is beside it
-    met = _named(rows, "b").select("word", *[F.col(f"b_{c}") for c in _ROW], *[F.first(f"b_{c}").over(so_far).alias(f"a_{c}") for c in _ROW], ends.alias("alone"))
-    met = scratch.write(met.filter(_earlier("a", "b")), "met")
-    star = scratch.write(met.filter(_similar("a", "b", percent)).select(*_PAIR).distinct(), "star")
+    classes = lines.groupBy("h", "n").agg(first.alias("l"), F.count(F.lit(1)).alias("lines"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    classes = scratch.write(classes, "classes")
+    own = classes.filter(F.col("prefix").isNotNull()).select(F.col("l.doc_id").alias("doc"), F.col("l.line_no").alias("line"), "h", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
+    bucket = W.partitionBy("word").orderBy("doc", "line", "h")
+    whole = bucket.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    # the filter leaves no null words: else the join would add one to one of its sides, and rows be dealt out twice
+    rows = own.filter(F.col("word") >= once).withColumns({"place": F.row_number().over(bucket), "many": F.count(F.lit(1)).over(whole)})
+    # All classes of a small bucket are here, of a large one the earliest, its star.
+    here = _named(rows.filter((F.col("many") <= SMALL) | (F.col("place") == 1)).drop("place", "many"), "a")
+    there = _named(rows.filter(F.col("place") > 1).drop("place"), "b")
+    met = there.withColumnRenamed("word", "b_word").join(here, (F.col("b_word") == F.col("word")) & _earlier("a", "b") & _similar("a", "b", percent), "left")
+    large, pair = F.col("many") > SMALL, F.col("a_doc").isNotNull()
+    seen = [F.when(large | pair, F.col(c)).alias(c) for c in (f"b_{c}" for c in _ROW)]  # the rest is read no more
+    met = scratch.write(met.select(F.col("b_word").alias("word"), *seen, "a_doc", "a_line", "a_h", large.alias("large"), (F.col("many") == 2).alias("alone")), "met")
+    star = scratch.write(met.filter(F.col("a_doc").isNotNull()).select(*_PAIR).distinct(), "star")
     hits = scratch.write(_verified(star, docs, rare, percent).select("b_doc", "b_line", "b_h").distinct(), "hits")
     scratch.drop(star)
 
-    others = met.filter(~F.col("alone")).select("word", *[F.col(f"b_{c}") for c in _ROW])
+    others = met.filter("large").select("word", *[F.col(f"b_{c}") for c in _ROW])
     left = others.join(hits, ["b_doc", "b_line", "b_h"], "left_anti")
     before = others.select("word", *[F.col(f"b_{c}").alias(f"a_{c}") for c in _ROW])
     pairs = before.join(left, "word").filter(_earlier("a", "b") & _similar("a", "b", percent)).select(*_PAIR).distinct()
@@ -161,6 +185,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -
     similar = hits.union(more).distinct().select(F.struct(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")).alias("l"), F.col("b_h").alias("h"), F.lit(True).alias("similar"))
 
     marked = classes.drop("prefix", "bits").join(similar, ["h", "l"], "left")
+    marked = marked.filter((F.col("lines") > 1) | F.col("similar").isNotNull()).drop("lines")  # of the rest no line goes
     every = lines.drop("prefix", "bits").join(marked, ["h", "n"])
     goes = F.coalesce("similar", F.lit(False)) | (F.struct("doc_id", "line_no") > F.col("l"))
     return every.filter(goes).select("doc_id", "dk", "line_no", F.col("l.doc_id").alias("class_doc"), F.col("l.line_no").alias("class_line"), F.coalesce("similar", F.lit(False)).alias("similar"))
@@ -185,7 +210,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     gone = _listed(removed_lines(docs)).withColumnRenamed("doc_id", "__id").withColumnRenamed("dk", "__dk")
     text = F.coalesce("text", F.lit(""))
-    own = docs.select("doc_id", F.xxhash64("text").alias("__key"), F.when(text == "", 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long").alias("n_lines"))
+    own = docs.select("doc_id", F.xxhash64("text").alias("__key"), F.when(text == "", 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
     both = own.join(gone, (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__dk")), "left")
     count = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
     return both.select("doc_id", "n_lines", F.when(F.col("gone").isNull(), 0).otherwise(count).cast("long").alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))

@@ -157,6 +157,44 @@ def test_line_dedup_joins_only_words_of_three_lines_or_more(spark, monkeypatch):
     assert {alone for _, alone in met} == {True, False} and all(alone == (rows[w] == 1) for w, alone in met)
 
 
+def test_line_dedup_joins_again_only_rows_of_large_buckets(spark, monkeypatch):
+    carried, write = [], Scratch.write
+
+    def noted(self, df, label):
+        out = write(self, df, label)
+        if label == "met":
+            carried.extend(r.b_doc for r in out.collect())
+        return out
+
+    monkeypatch.setattr(Scratch, "write", noted)
+    rng = random.Random(6)
+    lines = [" ".join(f"w{k}" for k in rng.sample(range(250), 10)) for _ in range(80)]
+    assert removed_lines(frame(spark, list(enumerate(lines)))).count() == 0
+    assert carried and set(carried) == {None}  # nothing of them goes on: none is similar, no bucket is large
+
+
+def test_line_dedup_matches_all_pairs_in_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr("folioforge.llm.line_dedup.SMALL", 2)
+    rng = random.Random(7)
+    pool = [[f"w{k}" for k in rng.sample(range(40), 12)] for _ in range(6)]
+    rows = []
+    for i in range(90):
+        words = list(rng.choice(pool))
+        if rng.random() < 0.7:
+            words[rng.randrange(12)] = f"w{rng.randrange(40)}"
+        rows.append((i, " ".join(words[: rng.randrange(10, 13)])))
+    sets = [set(t.split()) for _, t in rows]
+    want = {(i, 0) for i, s in enumerate(sets) if any(190 * len(s & t) >= 90 * (len(s) + len(t)) for t in sets[:i])}
+    assert {(r.doc_id, r.line_no) for r in removed_lines(frame(spark, rows)).collect()} == want and 10 < len(want) < 80
+
+
+def test_line_dedup_compares_with_each_of_two_texts_of_one_id(spark):
+    often = [f"c{k}" for k in range(16)]
+    one, two = " ".join(["r1", "r2", *often[:8]]), " ".join(["r1", "r2", *often[8:]])
+    rows = [(1, one), (1, two), (2, one + " c15"), (3, two + " c0"), *[(10 + k, "\n".join(often)) for k in range(40)]]
+    assert {(r.doc_id, r.line_no) for r in removed_lines(frame(spark, rows)).collect()} == {(2, 0), (3, 0)}
+
+
 def test_line_dedup_finds_one_word_more_than_nine(spark):
     short = [f"{k}a {k}b {k}c {k}d {k}e {k}f {k}g {k}h newsletter" for k in "xy"]
     rows = [(1, short[0]), (2, short[0] + " today"), (3, short[1] + " today"), (4, short[1]), (5, "p q r s t u v w"), (6, "p q r s t u v w today")]
