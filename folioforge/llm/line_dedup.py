@@ -54,8 +54,7 @@ def _bucket(h: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> DataFrame:
-    """One row with an array of 2^BUCKETS numbers: what turns the top bits of a bucket's hashes, by
-    exclusive or, into the whole part of log2 of its words' occurrences."""
+    """One row with an array of 2^BUCKETS numbers: the whole part of log2 of a bucket's occurrences."""
     flat = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))  # lines don't matter here
     words = docs.filter(F.col("text").isNotNull()).select(F.explode(_words(flat)).alias("w"))
     counts = words.groupBy(_bucket(F.xxhash64("w")).alias("id")).count()
@@ -64,8 +63,7 @@ def rarity(docs: DataFrame) -> DataFrame:
     every = docs.sparkSession.range(1 << (BUCKETS - 12)).withColumnRenamed("id", "run").join(found, "run", "left").withColumn("a", F.coalesce("a", F.array().cast("array<int>")))
     without = F.array_except(F.sequence(F.lit(0), F.lit(4095)), F.transform("a", lambda x: F.shiftright(x, 6)))
     full = F.sort_array(F.concat("a", F.transform(without, lambda x: x * 64)))
-    top = F.shiftright(F.col("run"), BUCKETS - 12 - SHIFT)  # the first SHIFT bits of a run's hashes
-    return _joined(every.select("run", F.transform(full, lambda x: F.shiftleft(top.bitwiseXOR((x % 64).cast("bigint")), 64 - SHIFT)).alias("a")), "k")
+    return _joined(every.select("run", F.transform(full, lambda x: (x % 64).cast("tinyint")).alias("a")), "k")
 
 
 def _array_of(cells: DataFrame, name: str) -> DataFrame:
@@ -83,7 +81,8 @@ def _numbers(line: Column, rare: Column) -> Column:
     words = F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     # One reference to the table: two would make Spark copy it into each row. Numbers that can't be null are sorted unboxed.
     # Functions of an array's elements are interpreted, so each step counts.
-    return F.sort_array(F.transform(words, lambda h: F.coalesce(h.bitwiseXOR(rare[_bucket(h)]), F.lit(0).cast("bigint"))))
+    number = lambda h: F.shiftleft(rare[_bucket(h)].cast("bigint"), 64 - SHIFT).bitwiseOR(F.shiftrightunsigned(h, SHIFT))
+    return F.sort_array(F.transform(words, lambda h: F.coalesce(number(h), F.lit(0).cast("bigint"))))
 
 
 def _parity(numbers: Column) -> Column:
@@ -124,7 +123,7 @@ def _earlier(a: str, b: str) -> Column:
 _PAIR = ["a_doc", "a_line", "a_h", "b_doc", "b_line", "b_h"]
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, rare: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs of lines whose full sets are similar enough. Sets are made anew from the texts, and only
     of documents and lines that a bitmap of fixed size says may stand in a pair; they are told apart by their hash."""
     spot = lambda *of: F.pmod(F.xxhash64(*of), F.lit(1 << _BITS))
@@ -135,7 +134,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, rare: DataFrame, percent: int)
     bit = lambda s: F.call_function("shiftright", F.get(bitmap, F.shiftright(s, 6).cast("int")), (s % 64).cast("int")).bitwiseAND(F.lit(1))
     likely = docs.filter(F.col("doc_id").isNotNull()).filter(bit(spot(F.col("doc_id").cast("bigint"))) == 1)
     sets = _lines(likely).filter(bit(spot("doc_id", "line_no")) == 1).withColumn("__rare", rare.scalar()).select(F.col("doc_id").alias("doc"), F.col("line_no").alias("line"), _numbers(F.col("line"), F.col("__rare")).alias("e"))
-    sets = sets.withColumn("h", F.xxhash64("e"))
+    sets = scratch.write(sets.withColumn("h", F.xxhash64("e")), "sets")  # else both ends might read the texts
     one = lambda k: sets.select(*[F.col(c).alias(f"{k}_{c}") for c in ("doc", "line", "h", "e")])
     both = pairs.join(one("b"), ["b_doc", "b_line", "b_h"]).join(one("a"), ["a_doc", "a_line", "a_h"])
     inter = F.size(F.array_intersect("a_e", "b_e"))
@@ -172,7 +171,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -
     seen = [F.when(large | pair, F.col(c)).alias(c) for c in (f"b_{c}" for c in _ROW)]  # the rest is read no more
     met = scratch.write(met.select(F.col("b_word").alias("word"), *seen, "a_doc", "a_line", "a_h", large.alias("large"), (F.col("many") == 2).alias("alone")), "met")
     star = scratch.write(met.filter(F.col("a_doc").isNotNull()).select(*_PAIR).distinct(), "star")
-    hits = scratch.write(_verified(star, docs, rare, percent).select("b_doc", "b_line", "b_h").distinct(), "hits")
+    hits = scratch.write(_verified(star, docs, rare, percent, scratch).select("b_doc", "b_line", "b_h").distinct(), "hits")
     scratch.drop(star)
 
     others = met.filter("large").select("word", *[F.col(f"b_{c}") for c in _ROW])
@@ -181,7 +180,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -
     pairs = before.join(left, "word").filter(_earlier("a", "b") & _similar("a", "b", percent)).select(*_PAIR).distinct()
     pairs = scratch.write(pairs, "others")
     scratch.drop(met)
-    more = _verified(pairs, docs, rare, percent).select("b_doc", "b_line", "b_h")
+    more = _verified(pairs, docs, rare, percent, scratch).select("b_doc", "b_line", "b_h")
     similar = hits.union(more).distinct().select(F.struct(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")).alias("l"), F.col("b_h").alias("h"), F.lit(True).alias("similar"))
 
     marked = classes.drop("prefix", "bits").join(similar, ["h", "l"], "left")
