@@ -1,8 +1,12 @@
 """Node tables, styles and detection on small tables with nulls, empty ones, ties and deep trees."""
 
 import io
+import random
 import zipfile
+from collections import Counter
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from folioforge.functions import formats, text
@@ -127,6 +131,61 @@ def test_cycles_of_any_length_behind_a_tail(spark):
         assert attrs[c, f"c{c - 1}"] == {"t": "cycle"} | {f"c{k}": f"{k}" for k in range(c)}
 
 
+def test_long_chains_are_only_written_as_results(spark, monkeypatch):
+    """Chains of 3000 styles: what is written on the way stays near the size of the table of styles."""
+    sizes, write = [], tree.Scratch.write
+
+    def measured(self, df, label):
+        out = write(self, df, label)
+        if "value" in out.columns:
+            sizes.append(out.agg(F.sum(F.size("value"))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(tree.Scratch, "write", measured)
+    own = spark.range(6000).select((F.col("id") % 2).alias("doc_id"), F.col("id").alias("style_id"), F.when(F.col("id") > 1, F.col("id") - 2).alias("parent_id"))
+    got = tree.style_chains(own).agg(F.count("*"), F.sum(F.size("chain")), F.max(F.when(F.col("style_id") == 5999, F.col("chain")))).first()
+    assert got[:2] == (6000, 3000 * 3001) and got[2] == list(range(5999, 0, -2))
+    assert max(sizes) <= 32 * 6000
+
+
+@pytest.mark.parametrize("sep", [None, "", ", "])
+def test_long_chains_of_any_shape(spark, sep):
+    """Trees, lone chains, cycles with tails and branches, ids that are null, empty, not there or twice, beside short chains."""
+    at, rows = random.Random(7), [(None, "x", None), (None, "y", "x"), (0, "", None), (0, "a", "")]
+    for doc in range(1, 7):
+        n = 300
+        ids = [f"é{k}" if k else "" for k in range(n)]
+        near = [1, 2, 40, 5, 1, 300][doc - 1]
+        rows += [(doc, ids[k], ids[at.randrange(max(0, k - near), k)] if k else [None, ids[70], "none", ids[299], ids[0], None][doc - 1]) for k in range(n)]
+        rows += [(doc, None, ids[200]), (doc, None, None), (doc, "alone", None), (doc, "lost", "none"), (doc, "self", "self"), (doc, "two", "self")]
+    rows += [(7, f"{k}", f"{k - 1}" if k else None) for k in range(50)] + [(7, "twice", "48"), (7, "twice", "3"), (7, "end", "twice")]
+    at.shuffle(rows)
+    parents = {}
+    for doc, i, p in rows:
+        parents.setdefault((doc, i), []).append(p)
+
+    def walks(doc, i, p, seen):
+        seen = [*seen, i]
+        if doc is None or p is None or (doc, p) not in parents or p in seen:
+            return [seen]
+        return [w for q in parents[doc, p] for w in walks(doc, p, q, seen)]
+
+    said = lambda chain: tuple(chain) if sep is None else sep.join(x for x in chain if x is not None)
+    want = Counter((doc, i, said(w)) for doc, i, p in rows for w in walks(doc, i, p, []))
+    own = spark.createDataFrame(rows, "doc_id bigint, style_id string, parent_id string")
+    assert Counter((r.doc_id, r.style_id, tuple(r.chain) if sep is None else r.chain) for r in tree.style_chains(own, sep).collect()) == want
+
+
+def test_parts_of_a_document_have_like_shares_of_links(monkeypatch):
+    monkeypatch.setattr(tree, "COPY", 10)
+    n = 500
+    ids = pa.array(range(n))
+    for up, links in (([None, *range(n - 1)], [k + 1 for k in range(n)]), ([n - 1, *range(n - 1)], [n] * n), ([None, *[0] * (n - 1)], [1] + [2] * (n - 1))):
+        row = tree._paths(pa.table({"doc_id": pa.array([1] * n), "style_id": ids, "parent_id": pa.array(up, "int64"), "label": ids})).to_pylist()[0]
+        of = [sum(links[i] for i in row["ids"][p["lo"] : p["hi"]]) for p in row["parts"]]
+        assert sum(of) == sum(links) and len(of) == -(-sum(links) // (10 * n)) and max(of) <= sum(links) / len(of) + 2 * n
+
+
 def test_outcomes_come_without_a_call_for_each_document(spark):
     own = spark.createDataFrame([(d, 0, None, 0, "Document", None, "{}") for d in (1, 2, None)] + [(1, 1, 0, 0, "Body", None, None)], edits.NODES)
     log = [
